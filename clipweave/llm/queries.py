@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical
+from . import canonical, groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p3_unmatched")
 def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.unmatched_report(p3_found(spark, folder))
+
+
+P4_SQL = r"""
+with recursive ids as (select distinct id, lower(trim(id)) as k, video_id from clip_events where id is not null),
+said as (
+  select distinct id as a, lower(trim(continues_from)) as name, lower(video_id) || ':' || lower(trim(continues_from)) as full_name
+  from clip_events where trim(continues_from) <> ''),
+pairs as (
+  select a, ids.id as b from said join ids on ids.k = said.name
+  union select a, ids.id from said join ids on ids.k = said.full_name
+  union select x.id, y.id from continues_links l join ids x on x.k = lower(trim(l.src_id)) join ids y on y.k = lower(trim(l.dst_id))),
+both_ways as (select a, b from pairs where a <> b union select b, a from pairs where a <> b),
+reach as (select a as n, a as m from both_ways union select r.n, b.b from reach r join both_ways b on b.a = r.m)
+select n as event_id, min(m) as group_id from reach group by n
+"""
+
+
+@query("p4_found", P4_SQL)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.linked_events(table(spark, folder, "clip_events"), table(spark, folder, "continues_links"))
