@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, groups
+from . import canonical, groups, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,14 @@ select n as event_id, min(m) as group_id from reach group by n
 @query("p4_found", P4_SQL)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.linked_events(table(spark, folder, "clip_events"), table(spark, folder, "continues_links"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.repeated_events(table(spark, folder, "clip_events"), table(spark, folder, "event_catalog"), singles=False)
+    return found.where("n >= 2").select("video_id", "first_id", "last_id")
+
+
+@query("p6_collapsed")
+def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.repeated_events(table(spark, folder, "clip_events"), table(spark, folder, "event_catalog"))
