@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, groups, runs
+from . import canonical, fusion, groups, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,35 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p6_collapsed")
 def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return runs.repeated_events(table(spark, folder, "clip_events"), table(spark, folder, "event_catalog"))
+
+
+_SAYS = """(regexp_matches({0}, '[\\p{{L}}\\p{{N}}]') and lower(trim(replace({0}, chr(160), ' '))) not in ({1}))"""
+P1_SQL = f"""
+with long as (
+  {" union all ".join(f"select id, card_id, source, updated_at, '{f}' as field, {f} as value from people_cards" for f in fusion.FIELDS)}),
+many as (select id from people_cards group by id having count(distinct card_id) > 1),
+ranked as (
+  select id, field, card_id, row_number() over (partition by id, field order by
+    case source when 'user' then 0 when 'gemini' then 1 when 'local' then 2 else 3 end,
+    updated_at desc nulls last, card_id desc) as place
+  from long where id in (select id from many) and value is not null
+    and {_SAYS.format("value", ", ".join(f"'{x}'" for x in fusion.STAND_INS))})
+select distinct id as person_id, field, card_id from ranked where place = 1
+"""
+
+
+@query("p1_found", P1_SQL)
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = fusion.fuse(table(spark, folder, "people_cards"))
+    return found.select(F.col("id").alias("person_id"), "field", "card_id")
+
+
+@query("p1_best_cards")
+def p1_best_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.best_cards(table(spark, folder, "people_cards"))
+
+
+@query("p1_voted")
+def p1_voted(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = fusion.fuse(table(spark, folder, "people_cards"), ordered_prior=False)
+    return found
