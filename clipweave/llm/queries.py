@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, fusion, groups, runs
+from . import bpe, canonical, fusion, groups, leaks, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,28 @@ def p1_best_cards(spark: SparkSession, folder: str) -> DataFrame:
 def p1_voted(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = fusion.fuse(table(spark, folder, "people_cards"), ordered_prior=False)
     return found
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("p7_round_trip", "select doc_id, coalesce(text, '') as text from documents")
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.decode_ids(p7_ids(spark, folder), "doc_id")
+
+
+P8_SQL = r"""
+with words as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+grams as (select doc_id, array_to_string(w[i:i + 11], ' ') as gram from words, range(1, 100000) t(i) where i <= len(w) - 11),
+asked as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+item_grams as (select item_id, array_to_string(w[i:i + 11], ' ') as gram from asked, range(1, 100000) t(i) where i <= len(w) - 11)
+select distinct doc_id, item_id from grams join item_grams using (gram)
+"""
+
+
+@query("p8_found", P8_SQL)
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
