@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, canonical, fusion, groups, leaks, runs
+from . import bpe, canonical, fusion, groups, leaks, pii, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,15 @@ select distinct doc_id, item_id from grams join item_grams using (gram)
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    told = pii.sanitise(table(spark, folder, "clips"), "id", ["transcript", "summary"])
+    return pii.found_pieces(told, "id", ["transcript", "summary"]).withColumnRenamed("id", "clip_id")
+
+
+@query("p5_texts")
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    told = pii.sanitise(table(spark, folder, "clips"), "id", ["transcript", "summary"])
+    return told.select("id", "transcript", "summary").distinct()
