@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, canonical, fusion, groups, leaks, pii, runs
+from . import bpe, canonical, fusion, groups, leaks, pii, runs, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +149,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
     told = pii.sanitise(table(spark, folder, "clips"), "id", ["transcript", "summary"])
     return told.select("id", "transcript", "summary").distinct()
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents"))
+
+
+@query("p9_rates")
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, folder, "documents"))
