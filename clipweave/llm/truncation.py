@@ -24,8 +24,12 @@ from ..session import cut as cut_lineage
 
 #: Lengths on either side with which a length is compared, and how far above them a spike stands.
 NEIGHBOURS, SIGMAS, SPIKE_TEXTS = 50, 6.0, 4
-#: Prior odds that a text is cut, at a spike of its source and elsewhere.
-ODDS_AT_SPIKE, ODDS_ELSEWHERE = 20.0, 0.15
+#: Prior odds that a text without final punctuation is cut: where its writer leaves it out, and by how much more where not.
+ODDS, ODDS_PUNCTUATED = 0.1, 100.0
+#: Characters of a word and its blank, at any of which a cut may fall; share of cut texts that end in blanks.
+WORD_CHARS, CUT_AT_BLANK = 6.0, 0.17
+#: What remains of the share where so many words never stood together.
+UNSEEN = {2: 0.05, 3: 0.5}
 #: Mentions by which a share leans on the shorter context; lines of one beginning, and the share with final punctuation from
 #: which a line of that beginning without it is cut.
 LEAN, LINES, PUNCTUATED_SHARE = 3.0, 20, 0.98
@@ -47,6 +51,7 @@ class Reader:
         self.ended = regex.compile(_ENDED)
         self.token = regex.compile(_TOKEN)
         self.trail = regex.compile(_TRAIL)
+        self.object = regex.compile(r'[^{\n]{0,16}\{\s*(?:"|\Z)')
         self.digits = regex.compile("[0-9]+")
 
     def tokens(self, line: str) -> list[str]:
@@ -75,12 +80,13 @@ class Reader:
         return line.count("[") > line.count("]") or line.count("(") > line.count(")")
 
     def is_object(self, text: str) -> bool:
-        return text.lstrip().startswith("{")
+        return self.object.match(text) is not None
 
     def closed(self, text: str) -> bool:
+        """Whether the object that a text begins with, after a few signs perhaps, is complete."""
         try:
-            json.loads(text)
-        except ValueError:
+            json.JSONDecoder().raw_decode(text[text.index("{") :])
+        except (ValueError, RecursionError):
             return False
         return True
 
@@ -93,12 +99,17 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]])
 
     ``e``: words of a sentence, and how often a sentence ends there; ``h``: beginnings of lines after the
     first, and how often such a line is the last; ``p``: beginnings of lines before the last, and how often
-    such a line has final punctuation; ``c``: beginnings of last lines with their last word; ``t``: all words.
+    such a line has final punctuation; ``c``: beginnings of last lines with their last word; ``t``: all words;
+    ``b``: texts with final punctuation, and how many of them have blanks after it.
     """
     core, _ = reader.core(text)
     if not core or reader.is_object(core):
         return
     lines = reader.lines(core)
+    if reader.ended.search(core):
+        c = counts["b", ""]
+        c[0] += 1
+        c[1] += text[-1] in " \t"
     total = counts["t", ""]
     for i, line in enumerate(lines):
         last = i == len(lines) - 1
@@ -115,7 +126,7 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]])
         if last and i:
             # What closing lines end with is counted apart, by their beginning.
             counts["c", f"{head} {tokens[-1] if tokens else ''}"][0] += 1
-        one = two = ""
+        two, one = "", "^"
         for j, t in enumerate(tokens):
             if t in _STOP:
                 continue
@@ -133,7 +144,7 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]])
             total[0] += 1
             total[1] += ends
             if ends:
-                one = two = ""
+                two, one = "", "^"
 
 
 def _learning(column: str):
@@ -166,25 +177,25 @@ def _verdict(reader: Reader, text: str) -> tuple[str, list[str], list[str]]:
     if marked:
         return "cut", [], []
     lines = reader.lines(core)
-    if reader.opens(lines[-1]):
+    if reader.opens(lines[-1]) or core[-1] in ",;:([{":
         return "cut", [], []
-    tokens: list[str] = []
+    tokens = ["^"]
     for t in reader.tokens(lines[-1]):
-        tokens = [] if t in _STOP else [*tokens, t]
+        tokens = ["^"] if t in _STOP else [*tokens, t]
     said = reader.trail.sub("", core)
     if reader.ended.search(said):
         # A number and a point may be the beginning of a longer number.
         number = regex.search(r"(?<![\w.:/-])[0-9]+\.\Z", said)
         if not number:
             return "whole", [], []
-        before: list[str] = []
+        before = ["^"]
         for t in reader.tokens(lines[-1])[:-1]:
-            before = [] if t in _STOP else [*before, t]
+            before = ["^"] if t in _STOP else [*before, t]
         return "number", [], reader.contexts(before, len(before))[:2]
     if said != core:
         return "whole", [], []
     head = reader.head(lines[-1])
-    heads = [head, f"{head} {tokens[-1] if tokens else ''}" if len(lines) > 1 else ""]
+    heads = [head, f"{head} {tokens[-1] if len(tokens) > 1 else ''}" if len(lines) > 1 else ""]
     before = [x for x in lines[:-1] if not x.startswith("#")]
     plain = [x for x in before if reader.trail.sub("", x) == x]
     if any(not reader.ended.search(x) for x in plain):
@@ -211,8 +222,8 @@ def _reading(key: str, source: str, column: str):
                     asked = [("p", heads[0], 0)] if heads else []
                     asked += [("h", heads[0], 0), ("c", heads[1], 0)] if heads and heads[1] else []
                     asked += [("e", c, len(c.split(" "))) for c in contexts]
-                rows.append((k, s, verdict, len(text), len(text.encode()), len(core), len(core.encode()), asked))
-            yield pd.DataFrame(rows, columns=[key, source, "verdict", "chars", "bytes", "core_chars", "core_bytes", "asked"])
+                rows.append((k, s, verdict, text[-1] in " \t", len(text), len(text.encode()), len(core), len(core.encode()), asked))
+            yield pd.DataFrame(rows, columns=[key, source, "verdict", "blank", "chars", "bytes", "core_chars", "core_bytes", "asked"])
 
     return run
 
@@ -250,36 +261,38 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     learnt = cut_lineage(learnt)
     read = rows.mapInPandas(
         _reading(key, source, text),
-        f"`{key}` {kind}, `{source}` string, verdict string, chars bigint, bytes bigint, core_chars bigint, core_bytes bigint, "
+        f"`{key}` {kind}, `{source}` string, verdict string, blank boolean, chars bigint, bytes bigint, core_chars bigint, core_bytes bigint, "
         "asked array<struct<what: string, key: string, size: int>>",
     )
     spikes = broadcast_if_small(length_spikes(rows.where(F.trim(text) != "").select(source, F.length(text).alias("chars"), F.octet_length(text).alias("bytes")), source))
-    c = spikes.where("unit = 'chars'").groupBy(source).agg(F.collect_set("length").alias("at_chars"))
-    b = spikes.where("unit = 'bytes'").groupBy(source).agg(F.collect_set("length").alias("at_bytes"))
+    def at(unit: str) -> DataFrame:
+        found = spikes.where(F.col("unit") == unit).groupBy(source)
+        return broadcast_if_small(found.agg(F.map_from_entries(F.collect_list(F.struct("length", F.col("n") / (F.col("usual") + 0.5)))).alias(f"at_{unit}")))
+
+    stands_out = F.greatest(*[F.try_element_at(F.col(f"at_{unit}"), F.col(c)) for unit in ("chars", "bytes") for c in (unit, f"core_{unit}")])
     placed = (
-        read.join(broadcast_if_small(c), source, "left")
-        .join(broadcast_if_small(b), source, "left")
-        .withColumn(
-            "at_spike",
-            F.coalesce(F.expr("arrays_overlap(at_chars, array(chars, core_chars))"), F.lit(False))
-            | F.coalesce(F.expr("arrays_overlap(at_bytes, array(bytes, core_bytes))"), F.lit(False)),
-        )
+        read.join(at("chars"), source, "left")
+        .join(at("bytes"), source, "left")
+        .withColumn("spike", stands_out)
+        .withColumn("at_spike", F.col("spike").isNotNull())
         .drop("at_chars", "at_bytes", "chars", "bytes", "core_chars", "core_bytes")
     )
     clear = placed.where("verdict in ('cut', 'whole')").select(key, source, (F.col("verdict") == "cut").alias("cut"), "at_spike")
     asked = placed.where("verdict not in ('cut', 'whole')")
     told = (
-        asked.select(key, source, "verdict", "at_spike", F.explode_outer("asked").alias("a"))
-        .select(key, source, "verdict", "at_spike", "a.*")
+        asked.select(key, source, "verdict", "blank", "spike", "at_spike", F.explode_outer("asked").alias("a"))
+        .select(key, source, "verdict", "blank", "spike", "at_spike", "a.*")
         .join(learnt, ["what", "key"], "left")
     )
     total = learnt.where("what = 't'").first()
+    blank = learnt.where("what = 'b'").first()
+    blanks = (blank["ends"] + 0.5) / (blank["n"] + 1.0) if blank else 0.01
     ends_per_token = total["ends"] / total["n"] if total and total["ends"] else 0.1
 
     def mention(size: int, column: str):
         return F.max(F.when((F.col("what") == "e") & (F.col("size") == size), F.col(column)))
 
-    judged = told.groupBy(key, source, "verdict", "at_spike").agg(
+    judged = told.groupBy(key, source, "verdict", "blank", "spike", "at_spike").agg(
         F.max(F.when(F.col("what") == "h", F.col("n"))).alias("head_n"),
         F.max(F.when(F.col("what") == "h", F.col("ends"))).alias("head_last"),
         F.max(F.when(F.col("what") == "c", F.col("n"))).alias("close_n"),
@@ -294,14 +307,15 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     share: Column = F.when(F.col("n1") >= MENTIONS, F.col("ends1") / F.col("n1")).otherwise(0.0)
     for size in (2, 3):
         n, ends = F.coalesce(f"n{size}", F.lit(0)), F.coalesce(f"ends{size}", F.lit(0))
-        share = (ends + LEAN * share) / (n + LEAN)
-    odds = F.when(F.col("at_spike"), ODDS_AT_SPIKE).otherwise(ODDS_ELSEWHERE)
-    by_words = share / ends_per_token < odds
-    punctuated = (F.col("line_n") >= LINES) & (F.col("line_ended") >= PUNCTUATED_SHARE * F.col("line_n"))
+        share = F.when(n == 0, UNSEEN[size] * share).otherwise((ends + LEAN * share) / (n + LEAN))
+    punctuated = F.coalesce((F.col("line_n") >= LINES) & (F.col("line_ended") >= PUNCTUATED_SHARE * F.col("line_n")), F.lit(False))
+    prior = F.coalesce("spike", F.lit(ODDS)) * F.when((F.col("verdict") == "bare") | punctuated, ODDS_PUNCTUATED).otherwise(1.0)
+    after = F.when(F.col("blank"), CUT_AT_BLANK / blanks).otherwise((1 - CUT_AT_BLANK) / (1 - blanks))
+    # A cut falls on the end of these words as seldom as on any other character; a whole text ends there as often as sentences do.
+    by_words = prior * after * ends_per_token / WORD_CHARS > share
     cut = (
         F.when(F.coalesce(closing, F.lit(False)), False)
         .when(F.col("verdict") == "number", F.coalesce("ends2", F.lit(0)) == 0)
-        .when((F.col("verdict") == "bare") | F.coalesce(punctuated, F.lit(False)), True)
         .otherwise(by_words)
     )
     return clear.unionByName(judged.select(key, source, cut.alias("cut"), "at_spike"))
