@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,6 @@ def parse_clock(text: Column) -> Column:
 def clock_seconds(text: Column) -> Column:
     """A clock in seconds: digits under 1000 are seconds already, all else as ``parse_clock``."""
     digits = F.regexp_extract(text, _DIGITS, 1)
-    number = F.expr("null").cast("double")
     number = F.when(digits != "", digits.cast("double"))
     return F.when(number < 1000, number).otherwise(parse_clock(text) / 1000.0)
 
@@ -44,3 +45,42 @@ def clock_seconds(text: Column) -> Column:
 def moment(ms: Column, clock: Column) -> Column:
     """A time in milliseconds, read from the clock where the number is missing."""
     return F.coalesce(ms.cast("bigint"), parse_clock(clock))
+
+
+def parse_ms(value: str | int | float | None) -> int | None:
+    """``parse_clock`` of one value on the driver; numbers are milliseconds."""
+    if value is None or isinstance(value, bool):
+        return None
+    if isinstance(value, int | float):
+        return int(value)
+    if m := re.match(_DIGITS, value):
+        return int(m[1])
+    if not (m := re.search(CLOCK, value)):
+        return None
+    h, minute, s, frac = (x or "0" for x in m.groups())
+    return (int(h) * 3600 + int(minute) * 60 + int(s)) * 1000 + int(frac.ljust(3, "0"))
+
+
+def parse_seconds(value: str | int | float | None) -> float | None:
+    """``clock_seconds`` of one value on the driver."""
+    if isinstance(value, str) and (m := re.match(_DIGITS, value)) and int(m[1]) < 1000:
+        return float(m[1])
+    ms = parse_ms(value)
+    return None if ms is None else ms / 1000
+
+
+def clip_time(value: Column, start: Column, end: Column, relative: Column | bool = False) -> Column:
+    """A time of a clip as video milliseconds within its bounds; ``relative`` times count from its start."""
+    last = F.greatest(start, F.coalesce(end, start))
+    told = F.when(F.lit(relative) if isinstance(relative, bool) else relative, start + value).otherwise(value)
+    return F.greatest(start, F.least(last, told))
+
+
+def event_window(
+    start_ms: Column, start_clock: Column, end_ms: Column, end_clock: Column, cell_ms: Column, hint_ms: Column, clip_start: Column, clip_end: Column
+) -> Column:
+    """``start_ms, end_ms`` of an event: what it states, else its cell, a hint, the clip; the end 30 s on if unstated."""
+    start = clip_time(F.coalesce(start_ms, parse_clock(start_clock), cell_ms, hint_ms, clip_start), clip_start, clip_end)
+    end = F.coalesce(end_ms, parse_clock(end_clock), F.least(start + 30_000, F.coalesce(clip_end, start + 30_000)))
+    end = clip_time(end, clip_start, clip_end)
+    return F.struct(start.alias("start_ms"), F.when(end < start, start + 1000).otherwise(end).alias("end_ms"))
