@@ -33,21 +33,34 @@ def root_mean_square(values: Column, scale: float = 1.0) -> Column:
     return F.sqrt(total / F.size(values)) / scale
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def audio_signals(samples: Column, rate: int = 16_000) -> Column:
     """``loudness, loud_impact, loud_speech, impact_at_ms`` of 16-bit samples: a struct of zeros where there are none."""
     window = max(int(rate * 0.05), 160)
-    rms = F.transform(frames(samples, window), lambda f: root_mean_square(f, 32768.0))
-    median, peak = upper_median(rms), F.array_max(rms)
-    spike = peak / F.greatest(median, F.lit(1e-4))
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    loud = longest_run(F.transform(rms, lambda r: r >= F.greatest(median * 4, F.lit(0.08))))
-    heard = F.size(rms) > 0
-    return F.struct(
-        F.when(heard, F.round(F.least(root_mean_square(samples, 32768.0) * 8, F.lit(1.0)), 3)).otherwise(0.0).alias("loudness"),
-        F.when(heard, F.round(clamp((spike - 4.0) / 8.0), 3)).otherwise(0.0).alias("loud_impact"),
-        F.when(heard, F.round(F.least(loud * (window / rate) / 2.0, F.lit(1.0)), 3)).otherwise(0.0).alias("loud_speech"),
-        F.when(heard, F.floor((F.array_position(rms, peak) - 1) * window / rate * 1000).cast("int")).otherwise(0).alias("impact_at_ms"),
-    )
+
+    def signals(x: Column) -> Column:
+        rms, median, peak, whole = x["rms"], x["median"], x["peak"], x["whole"]
+        loud = longest_run(F.transform(rms, lambda r: r >= F.greatest(median * 4, F.lit(0.08))))
+        heard = lambda value, none: F.when(F.size(rms) > 0, value).otherwise(none)
+        return F.struct(
+            heard(F.round(F.least(whole * 8, F.lit(1.0)), 3), 0.0).alias("loudness"),
+            heard(F.round(clamp((peak / F.greatest(median, F.lit(1e-4)) - 4.0) / 8.0), 3), 0.0).alias("loud_impact"),
+            heard(F.round(F.least(loud * (window / rate) / 2.0, F.lit(1.0)), 3), 0.0).alias("loud_speech"),
+            heard(F.floor((F.array_position(rms, peak) - 1) * window / rate * 1000).cast("int"), 0).alias("impact_at_ms"),
+        )
+
+    def measured(s: Column) -> Column:
+        return once(
+            F.transform(frames(s, window), lambda f: root_mean_square(f, 32768.0)),
+            lambda rms: F.struct(rms.alias("rms"), upper_median(rms).alias("median"), F.array_max(rms).alias("peak"), root_mean_square(s, 32768.0).alias("whole")),
+        )
+
+    return once(once(samples, measured), signals)
 
 
 def iou(a: Column, b: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import moment
@@ -42,21 +43,50 @@ def _split(schema: str) -> list[str]:
     return [p for p in schema.split(", ") if p]
 
 
+class Tables(Mapping):
+    """Tables by name, each built when first asked for, so a question plans only what it reads."""
+
+    def __init__(self, makers: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._makers = dict(makers._makers if isinstance(makers, Tables) else makers)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        made = self._makers[name]
+        if not isinstance(made, DataFrame):
+            made = self._makers[name] = made()
+        return made
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def plus(self, name: str, df: DataFrame) -> Tables:
+        return Tables(self._makers | {name: df})
+
+
 @dataclass(frozen=True)
 class FootageGraph:
     """Node and edge tables; every operator returns a new graph and leaves this one as it is."""
 
-    nodes: dict[str, DataFrame]
-    edges: dict[str, DataFrame]
+    nodes: Tables
+    edges: Tables
     spark: SparkSession
 
     @staticmethod
-    def of(spark: SparkSession, nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> FootageGraph:
-        empty = lambda schema: spark.createDataFrame([], schema)
+    def of(spark: SparkSession, nodes: Mapping, edges: Mapping) -> FootageGraph:
+        """A graph of the given tables (DataFrames or functions that make them); missing ones are empty."""
+
+        def table_of(made, schema: str) -> Callable[[], DataFrame]:
+            def make() -> DataFrame:
+                df = spark.range(0).drop("id") if made is None else made if isinstance(made, DataFrame) else made()
+                return conform(df, f"{schema}, {AUDIT}")
+
+            return make
+
+        get = lambda tables, k: (tables._makers if isinstance(tables, Tables) else tables).get(k)
         return FootageGraph(
-            {k: conform(nodes[k], f"{s}, {AUDIT}") if k in nodes else empty(f"{s}, {AUDIT}") for k, s in NODES.items()},
-            {k: conform(edges[k], f"{_EDGE}, {AUDIT}") if k in edges else empty(f"{_EDGE}, {AUDIT}") for k in EDGES},
-            spark,
+            Tables({k: table_of(get(nodes, k), s) for k, s in NODES.items()}), Tables({k: table_of(get(edges, k), _EDGE) for k in EDGES}), spark
         )
 
     def node(self, label: str) -> DataFrame:
@@ -71,10 +101,10 @@ class FootageGraph:
         return df
 
     def with_node(self, label: str, df: DataFrame) -> FootageGraph:
-        return replace(self, nodes=self.nodes | {label: conform(df, f"{NODES[label]}, {AUDIT}")})
+        return replace(self, nodes=self.nodes.plus(label, conform(df, f"{NODES[label]}, {AUDIT}")))
 
     def with_edge(self, name: str, df: DataFrame) -> FootageGraph:
-        return replace(self, edges=self.edges | {name: conform(df, f"{_EDGE}, {AUDIT}")})
+        return replace(self, edges=self.edges.plus(name, conform(df, f"{_EDGE}, {AUDIT}")))
 
     def inventory(self) -> DataFrame:
         """``label, n`` of every label that has nodes."""
@@ -105,7 +135,7 @@ class FootageGraph:
             # The ids of a video's nodes begin with its id.
             owner = F.regexp_extract("src_id", "^[^:]*", 0)
             edges[k] = df.where(~owner.isin(video_ids)).unionByName(other.edges[k].where(owner.isin(video_ids)), allowMissingColumns=True)
-        return FootageGraph(nodes, edges, self.spark)
+        return FootageGraph(Tables(nodes), Tables(edges), self.spark)
 
 
 def last_write(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -133,46 +163,60 @@ def _edge(df: DataFrame, src, src_kind: str, dst, dst_kind: str, role=None) -> D
 def graph_of_tables(spark: SparkSession, folder: str) -> FootageGraph:
     """The graph of the tables of a data folder (``videos, clips, clip_events, people_cards, vehicle_cards, event_catalog``)."""
     t = lambda name: table(spark, folder, name)
-    videos = t("videos").groupBy(F.col("video_id").alias("id")).agg(
-        F.min("source_name").alias("source_name"), F.max("duration_s").alias("duration_s"), F.min("status").alias("status"), F.min("original_uri").alias("original_uri")
-    )
-    clips = t("clips").where("id is not null").groupBy("id").agg(
-        F.min("video_id").alias("video_id"), F.min("local_id").alias("local_id"), F.min("clip_index").alias("index"), F.min("start_ms").alias("start_ms"),
-        F.max("end_ms").alias("end_ms"), F.max("transcript").alias("transcript"), F.max("summary").alias("summary"),
-    )
-    events = t("clip_events").where("id is not null").groupBy("id").agg(
-        F.min("video_id").alias("video_id"), F.min("source_name").alias("source_name"), F.min("clip_id").alias("clip_id"), F.min("type").alias("type"),
-        F.min(moment(F.col("start_ms"), F.col("start_timestamp"))).alias("start_ms"), F.min(moment(F.col("end_ms"), F.col("end_timestamp"))).alias("end_ms"),
-        F.min("start_timestamp").alias("start_timestamp"), F.min("end_timestamp").alias("end_timestamp"), F.min("seek_s").alias("seek_s"),
-        F.max("confidence").alias("confidence"), F.min("summary").alias("summary"), F.min("evidence").alias("evidence"),
-        F.first("people_ids", ignorenulls=True).alias("subject_ids"), F.first("vehicle_ids", ignorenulls=True).alias("vehicle_ids"),
-        F.min("continues_from").alias("continues_from"),
-    )
-    role = F.when(F.col("is_cop"), "officer").when(~F.col("is_cop"), "civilian").otherwise("unknown")
-    people = last_write(t("people_cards").drop("description", "signature", "source"), "id", "updated_at", "card_id").withColumn("role", role)
-    vehicles = t("vehicle_cards").where("id is not null").groupBy("id").agg(
-        F.min("video_id").alias("video_id"), F.min("local_id").alias("local_id"), F.min("color").alias("color"), F.min("plate").alias("plate"), F.min("analysis").alias("analysis")
-    )
-    types = t("event_catalog")
-    topics = types.select(F.split_part("id", F.lit("_"), F.lit(1)).alias("id")).distinct()
-    typed = types.select(F.col("id").alias("src_id"), F.split_part("id", F.lit("_"), F.lit(1)).alias("dst_id"))
-    local = lambda c: F.concat("video_id", F.lit(":"), c)
-    involved = _edge(events.select("id", "video_id", F.explode("subject_ids").alias("x")), F.col("id"), "event", local(F.col("x")), "person").unionByName(
-        _edge(events.select("id", "video_id", F.explode("vehicle_ids").alias("x")), F.col("id"), "event", local(F.col("x")), "vehicle")
-    )
-    roles = people.select(F.col("id").alias("dst_id"), F.col("role").alias("r"))
-    involved = involved.join(roles, "dst_id", "left").withColumn("role", F.col("r")).drop("r")
-    first, following = clip_chain(clips)
+    once = lambda df, *columns: df.where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in columns])
+
+    def videos() -> DataFrame:
+        rows = t("videos").withColumn("id", F.col("video_id"))
+        return rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("source_name", "status", "original_uri")], F.max("duration_s").alias("duration_s"))
+
+    def clips() -> DataFrame:
+        rows = t("clips").withColumnRenamed("clip_index", "index").where("id is not null")
+        return rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("video_id", "local_id", "index", "start_ms")], *[F.max(c).alias(c) for c in ("end_ms", "transcript", "summary")])
+
+    def events() -> DataFrame:
+        rows = t("clip_events").where("id is not null").withColumns(
+            {"start_ms": moment(F.col("start_ms"), F.col("start_timestamp")), "end_ms": moment(F.col("end_ms"), F.col("end_timestamp"))}
+        )
+        one = ("video_id", "source_name", "clip_id", "type", "start_ms", "end_ms", "start_timestamp", "end_timestamp", "seek_s", "summary", "evidence")
+        return rows.groupBy("id").agg(
+            *[F.min(c).alias(c) for c in one], F.max("confidence").alias("confidence"), F.first("people_ids", ignorenulls=True).alias("subject_ids")
+        )
+
+    def people() -> DataFrame:
+        role = F.when(F.col("is_cop"), "officer").when(~F.col("is_cop"), "civilian").otherwise("unknown")
+        return last_write(t("people_cards").drop("description", "signature", "source"), "id", "updated_at", "card_id").withColumn("role", role)
+
+    def topic(c: str) -> Column:
+        return F.split_part(c, F.lit("_"), F.lit(1))
+
+    def involves() -> DataFrame:
+        rows = t("clip_events").where("id is not null")
+        node = F.concat("video_id", F.lit(":"), "x")
+        who = _edge(rows.select("id", "video_id", F.explode("people_ids").alias("x")), F.col("id"), "event", node, "person").drop("role")
+        cars = _edge(rows.select("id", "video_id", F.explode("vehicle_ids").alias("x")), F.col("id"), "event", node, "vehicle")
+        return who.join(people().select(F.col("id").alias("dst_id"), "role"), "dst_id", "left").unionByName(cars)
+
+    clip_ids = lambda: t("clips").withColumnRenamed("clip_index", "index").where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("video_id", "index", "start_ms")])
+    event_rows = lambda: t("clip_events").where("id is not null")
+    types = lambda: t("event_catalog")
     return FootageGraph.of(
         spark,
-        {"video": videos, "clip": clips, "event": events.drop("vehicle_ids", "continues_from"), "person": people, "vehicle": vehicles, "event_type": types, "topic": topics},
         {
-            "contains": _edge(events, F.col("clip_id"), "clip", F.col("id"), "event"),
-            "involves": involved,
-            "instance_of": _edge(events.join(types.select(F.col("id").alias("type")), "type"), F.col("id"), "event", F.col("type"), "event_type"),
-            "in_topic": typed,
-            "continues": _edge(events.where("continues_from is not null"), F.col("continues_from"), "event", F.col("id"), "event"),
-            "starts_at": first,
-            "next": following,
+            "video": videos,
+            "clip": clips,
+            "event": events,
+            "person": people,
+            "vehicle": lambda: once(t("vehicle_cards"), "video_id", "local_id", "color", "plate", "analysis"),
+            "event_type": types,
+            "topic": lambda: types().select(topic("id").alias("id")).distinct(),
+        },
+        {
+            "contains": lambda: _edge(event_rows(), F.col("clip_id"), "clip", F.col("id"), "event"),
+            "involves": involves,
+            "instance_of": lambda: _edge(event_rows().join(types().select(F.col("id").alias("type")), "type"), F.col("id"), "event", F.col("type"), "event_type"),
+            "in_topic": lambda: types().select(F.col("id").alias("src_id"), topic("id").alias("dst_id")),
+            "continues": lambda: _edge(event_rows(), F.col("continues_from"), "event", F.col("id"), "event"),
+            "starts_at": lambda: clip_chain(clip_ids())[0],
+            "next": lambda: clip_chain(clip_ids())[1],
         },
     )
