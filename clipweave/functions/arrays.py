@@ -29,8 +29,9 @@ def frames(values: Column, size: int) -> Column:
 
 
 def root_mean_square(values: Column, scale: float = 1.0) -> Column:
+    """The root of the mean square over ``scale``; null for an empty array."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return F.sqrt(total / F.size(values)) / scale
+    return F.when(F.size(values) > 0, F.sqrt(total / F.size(values)) / scale)
 
 
 def once(value: Column, then) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ..functions.clock import parse_seconds
@@ -103,9 +103,10 @@ class Footage:
         What the statement would do is read from its parsed plan, so words inside its texts don't matter.
         """
         spark = self.graph.spark
-        if re.search(r";\s*\S", statement):
-            raise blocks.PipelineError("one statement at a time")
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement.rstrip().rstrip(";"))
+        try:
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement.rstrip().rstrip(";"))
+        except PySparkException as e:
+            raise blocks.PipelineError(f"not one statement: {str(e)[:200]}") from e
         names = [plan.getClass().getSimpleName()]
         stack = [plan]
         while stack:

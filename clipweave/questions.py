@@ -235,7 +235,7 @@ _TYPED = "typed as (select id, video_id, type, cast(nullif(regexp_extract(clip_i
 
 
 def _typed(spark: SparkSession, folder: str) -> DataFrame:
-    return graph(spark, folder).node("event").where("type is not null").withColumn("idx", F.regexp_extract("clip_id", "clip_([0-9]+)$", 1).cast("int"))
+    return graph(spark, folder).node("event").where("type is not null").withColumn("idx", F.nullif(F.regexp_extract("clip_id", "clip_([0-9]+)$", 1), F.lit("")).cast("int"))
 
 
 @query(
@@ -519,7 +519,7 @@ def nms_pandas(spark: SparkSession, folder: str) -> DataFrame:
 @query("identity_fold")
 def identity_fold(spark: SparkSession, folder: str) -> DataFrame:
     cards = table(spark, folder, "people_cards").dropDuplicates(["card_id"])
-    index = F.regexp_extract("first_clip", "([0-9]+)$", 1).cast("int")
+    index = F.coalesce(F.nullif(F.regexp_extract("first_clip", "([0-9]+)$", 1), F.lit("")), F.lit("0")).cast("int")
     return identity.consolidate(cards.withColumn("clip_index", index).withColumn("position", F.col("card_id")).withColumn("sighting_id", F.col("card_id").cast("string")))
 
 
