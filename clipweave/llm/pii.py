@@ -57,7 +57,7 @@ _D = "(?:" + "|".join(DIGITS) + ")"
 _DOT = r"(?:\.|\s+dot\s+|\s?[\[({]\s?dot\s?[\])}]\s?)"
 _AT = r"(?:@|\s+at\s+|\s?[\[({]\s?at\s?[\])}]\s?)"
 _JOIN = rf"(?:{_DOT}|[_+-]|\s+(?:underscore|dash|hyphen|minus|plus)\s+)"
-_EMAIL = rf"(?<![\w@.+-])[a-z0-9]+(?:{_JOIN}[a-z0-9]+)*{_AT}[a-z][a-z0-9-]*(?:{_DOT}[a-z][a-z0-9-]*)+(?![\w@])"
+_EMAIL = rf"(?<![\w@.+-])[a-z0-9]+(?:{_JOIN}[a-z0-9]+)*{_AT}[a-z][a-z0-9-]*(?:{_DOT}[a-z][a-z0-9-]*)+(?![\w@+]|-\w|\s+(?:at|dot|plus|dash|hyphen|minus|underscore)\s|\s?[\[({{]\s?(?:at|dot)\b)"
 _SPOKEN = rf"(?<![\w])(?:plus\s+)?{_D}(?:[\s-]+{_D}){{6,}}(?![\w])"
 _EXT = r"(?:,?\s?(?:extension|ext\.?|x)\s?\d{1,6})?"
 _PHONE = rf"""(?<![\w.+/@-])(?:
@@ -263,11 +263,11 @@ def disclosure(texts: DataFrame, columns: Sequence[str]) -> DataFrame:
 def protected_terms(
     terms: DataFrame, bits: float = DISCLOSURE_BITS, capitalised: float = CAPITALISED, slots: int = SLOTS
 ) -> DataFrame:
-    """``term, role`` of the terms above the threshold; role is ``F`` (first name), ``L`` (surname) or ``B`` (either)."""
+    """``term, role`` of the terms above the threshold, or with half of their mentions in slots; role is ``F`` (first name), ``L`` (surname) or ``B`` (either)."""
     particles, fixed = F.col("term").isin(*PARTICLES), F.col("term").isin(*TITLES)
     role = F.when(F.col("first") > 2 * F.col("last"), "F").when(F.col("last") > 2 * F.col("first"), "L").otherwise("B")
     return terms.where(
-        (F.col("bits") >= bits) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
+        ((F.col("bits") >= bits) | (2 * F.col("slot") >= F.col("n"))) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
         & ~particles & ~fixed & (F.length("term") > 1)
     ).select("term", role.alias("role"))
 
