@@ -12,6 +12,7 @@ and punctuation too, joining first names, initials, particles and surnames to on
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -252,22 +253,26 @@ def _counting(columns: list[str]):
 
 
 def disclosure(texts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every term of the corpus with its counts and ``bits``, the information it gives about a person's slot."""
+    """Every term of the corpus with its counts and ``bits``, the information it gives about a person's slot.
+
+    ``most_bits`` is what a term would give that stands in such slots only.
+    """
     counts = texts.select(*columns).mapInPandas(_counting(list(columns)), _COUNTS)
     terms = cut(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "inside", "capitalised", "slot", "first", "last")]))
     total = terms.agg(F.sum("n").alias("all_n"), F.sum("slot").alias("all_slot"))
     all_n, all_slot = total.first()
-    return terms.withColumn("bits", F.log2(F.col("slot") / F.col("n")) - F.log2(F.lit((all_slot or 1) / (all_n or 1))))
+    most = math.log2((all_n or 1) / (all_slot or 1))
+    return terms.withColumn("bits", F.log2(F.col("slot") / F.col("n")) + most).withColumn("most_bits", F.lit(most))
 
 
 def protected_terms(
     terms: DataFrame, bits: float = DISCLOSURE_BITS, capitalised: float = CAPITALISED, slots: int = SLOTS
 ) -> DataFrame:
-    """``term, role`` of the terms above the threshold, or with half of their mentions in slots; role is ``F`` (first name), ``L`` (surname) or ``B`` (either)."""
+    """``term, role`` of the terms above the threshold, or above half of what certainty would give if that is less; role is ``F`` (first name), ``L`` (surname) or ``B`` (either)."""
     particles, fixed = F.col("term").isin(*PARTICLES), F.col("term").isin(*TITLES)
     role = F.when(F.col("first") > 2 * F.col("last"), "F").when(F.col("last") > 2 * F.col("first"), "L").otherwise("B")
     return terms.where(
-        ((F.col("bits") >= bits) | (2 * F.col("slot") >= F.col("n"))) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
+        (F.col("bits") >= F.least(F.lit(bits), F.col("most_bits") / 2)) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
         & ~particles & ~fixed & (F.length("term") > 1)
     ).select("term", role.alias("role"))
 
