@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     The check itself reads at most ``rows + 1`` rows.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def broadcast_hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """``broadcast`` for tables derived from ``df`` by a constant factor, if it has at most ``rows`` rows; one check for all."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda derived: derived
