@@ -28,9 +28,9 @@ FIELDS = ("clothes", "description", "signature")
 #: Sources by trust; every other source, and null, counts as the last one.
 TRUST = ("user", "gemini", "local")
 OTHER = "other"
-#: Texts that only stand for a missing value, in lower case without outer blanks.
+#: Texts that only stand for a missing value, in lower case without outer blanks; "none" is a value, as of a person without glasses.
 STAND_INS = (
-    "unknown", "unk", "n/a", "na", "n.a.", "null", "nil", "nan", "none", "not available", "not known",
+    "unknown", "unk", "n/a", "na", "n.a.", "null", "nil", "nan", "not available", "not known",
     "not visible", "not specified", "unspecified", "unreadable", "illegible", "missing", "no data", "empty",
     "blank", "undefined", "undetermined", "unclear", "tbd", "tba", "see prior card", "see above", "see notes",
     "same as before", "as before",
