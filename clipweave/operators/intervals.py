@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Levels under a top block; 2**22 ms are about 70 minutes.
 LEVELS = 22
+#: Top blocks that one interval may meet before the blocks are made larger, and the largest ones.
+SPAN_BLOCKS, MOST_LEVELS = 4096, 44
 #: Rows gathered before a vectorised pass.
 BATCH_ROWS = 200_000
 
@@ -169,20 +171,29 @@ def _whole(levels: int):
     return run
 
 
-def merge_intervals(intervals: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _levels(longest: int | None) -> int:
+    """Levels under a top block, so that the longest interval does not meet too many of them."""
+    return LEVELS if not longest else max(LEVELS, min(MOST_LEVELS, longest.bit_length() - SPAN_BLOCKS.bit_length() + 1))
+
+
+def merge_intervals(intervals: DataFrame, levels: int | None = None) -> DataFrame:
     """Continuous periods of each entity and the gaps between them.
 
     ``intervals``: columns ``k0, k1`` (the entity; strings, not null), ``s, e`` (bigint) and ``event``
-    (bigint that stands for the record); further columns are ignored. Rows with a null, and rows
+    (bigint that stands for the record); further columns are ignored. An interval longer than some
+    thousand top blocks, as a mistyped clock may give, makes the top blocks larger. Rows with a null, and rows
     whose end is not after their start, have no extent and are left out; repeated rows and ties change
     nothing; an empty table gives an empty result. Returns ``k0, k1, kind, s, e, events_many`` with
     kind ``period`` or ``gap``; ``events_many`` tells whether a period holds two or more records.
     """
+    whole = intervals.select("k0", "k1", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"), "event").where(
+        "k0 is not null and k1 is not null and event is not null and s < e"
+    )
+    if levels is None:
+        levels = _levels(whole.agg(F.max(F.col("e") - F.col("s"))).first()[0])
     top = 1 << levels
     cut_up = (
-        intervals.select("k0", "k1", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"), "event")
-        .where("k0 is not null and k1 is not null and event is not null and s < e")
-        .withColumn("chunk", F.explode(F.sequence(F.shiftright("s", levels), F.shiftright(F.col("e") - 1, levels))))
+        whole.withColumn("chunk", F.explode(F.sequence(F.shiftright("s", levels), F.shiftright(F.col("e") - 1, levels))))
         .select(
             "k0",
             "k1",

@@ -61,3 +61,9 @@ def test_presence_reads_dirty_events(spark):
 
 def test_presence_of_nothing(spark):
     assert presence(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_an_absurdly_long_interval(spark):
+    rows = [("v", "p", 5, 10**17, 1), ("v", "p", 10**17, 10**17 + 5, 2), ("v", "q", 1, 2, 3), ("v", "q", 4, 6, 4)]
+    got = {tuple(r) for r in merge_intervals(spark.createDataFrame(rows, "k0 string, k1 string, s bigint, e bigint, event bigint")).collect()}
+    assert got == {("v", "p", "period", 5, 10**17 + 5, True), ("v", "q", "period", 1, 2, False), ("v", "q", "period", 4, 6, False), ("v", "q", "gap", 2, 4, None)}
