@@ -13,8 +13,9 @@ and punctuation too, joining first names, initials, particles and surnames to on
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+import re
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -79,22 +80,28 @@ _ID = r"""(?<![\w.+/@-])(?:
   | [a-z]\d{10}
   | [a-z]\d{7}
   )(?![\w@]|[-.]\d)"""
-_NAME_OF_STREET = rf"(?!(?:{'|'.join((*NOT_IN_STREETS, *DIGITS))})\b)[\p{{L}}][\p{{L}}'’-]*"
+_NAME_OF_STREET = rf"(?!(?:{'|'.join((*NOT_IN_STREETS, *DIGITS))})\b)[^\W\d_](?:[^\W\d_]|['’-])*"
 _ADDRESS = rf"""(?<![\w#.:/-])(?:\d{{1,5}}[a-z]?|{_D}(?:\s{_D}){{0,4}})\s(?P<street>(?:{_NAME_OF_STREET}\s){{1,3}}?(?:{'|'.join(STREETS)}))\b
    (?:\.?,?\s(?:apartment|apt\.?|suite|ste\.?|flat|room)\s\#?(?:\d+[a-z]?|{_D}(?:\s{_D})*)\b|\.?,?\s\#\s?\d+[a-z]?\b)?"""
 _WORD = r"[\p{L}][\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*"
 
 
+_DIGIT_WORDS, _STREETS = frozenset(DIGITS), frozenset(STREETS)
+
+
 class Patterns:
     """Compiled patterns; made once per task."""
 
     def __init__(self):
-        flags = regex.IGNORECASE | regex.VERBOSE
-        self.email = regex.compile(_EMAIL, regex.IGNORECASE)
-        self.spoken = regex.compile(_SPOKEN, regex.IGNORECASE)
-        self.phone, self.id, self.address = (regex.compile(p, flags) for p in (_PHONE, _ID, _ADDRESS))
+        flags = re.IGNORECASE | re.VERBOSE
+        self.email = re.compile(_EMAIL, re.IGNORECASE)
+        self.spoken = re.compile(_SPOKEN, re.IGNORECASE)
+        self.phone, self.id, self.address = (re.compile(p, flags) for p in (_PHONE, _ID, _ADDRESS))
+        self.four = re.compile(r"\d{4}")
+        self.digit = re.compile(_D, re.IGNORECASE)
         self.word = regex.compile(_WORD)
-        self.digit = regex.compile(_D, regex.IGNORECASE)
+        #: First words of sentences: after the text's start or a sign that no sentence goes on over.
+        self.start = regex.compile(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}} ,'’-]\s*){_WORD}")
 
     def _said(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Phones (ten digits, 555 after the area) and identity numbers (nine digits) written out in words."""
@@ -115,24 +122,33 @@ class Patterns:
                 else:
                     i += 1
 
-    def shaped(self, text: str) -> list[tuple[int, int, str]]:
-        """Spans with a form of their own, without overlap; earlier kinds take precedence."""
+    def shaped(self, text: str, words: Collection[str] | None = None) -> list[tuple[int, int, str]]:
+        """Spans with a form of their own, without overlap; earlier kinds take precedence.
+
+        ``words``, those of the text in lower case, tell which kinds cannot be in it.
+        """
+        words = self.word.findall(text.lower()) if words is None else words
         spans: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, kind: str) -> None:
             if all(end <= s or start >= e for s, e, _ in spans):
                 spans.append((start, end, kind))
 
-        low = text.lower()
-        if "@" in text or " dot " in low or "dot" in low and "at" in low or "[at]" in low or "(at)" in low:
+        if "@" in text or "dot" in words or "at" in words and ("{at" in text or "(at" in text or "[at" in text or "." in text):
             for m in self.email.finditer(text):
                 add(*m.span(), "email")
-        for start, end, kind in self._said(text):
-            add(start, end, kind)
-        for kind, pattern in (("phone", self.phone), ("id_number", self.id), ("address", self.address)):
-            for m in pattern.finditer(text):
-                if kind != "address" or not _cased(text) or self._proper(m):
+        spoken = not _DIGIT_WORDS.isdisjoint(words)
+        if spoken:
+            for start, end, kind in self._said(text):
+                add(start, end, kind)
+        if self.four.search(text):
+            for kind, pattern in (("phone", self.phone), ("id_number", self.id)):
+                for m in pattern.finditer(text):
                     add(*m.span(), kind)
+        if not _STREETS.isdisjoint(words):
+            for m in self.address.finditer(text):
+                if not _cased(text) or self._proper(m):
+                    add(*m.span(), "address")
         return spans
 
     def _proper(self, m) -> bool:
@@ -192,42 +208,75 @@ for _c in BEFORE_NAMES:
 _CUES = dict(_CUES)
 
 
-def _count(texts: Sequence[str], p: Patterns, counts: dict[str, list[int]]) -> None:
-    """Adds to ``term -> [n, inside, capitalised, slot, first, last]``."""
+def _masked(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
+    """A text with its spans blacked out, every other sign in its place."""
+    for s, e, _ in spans:
+        text = text[:s] + "\0" * (e - s) + text[e:]
+    return text
+
+
+class _Counts:
+    """Counts of a task: mentions, words inside sentences of cased texts as written, and ``[slot, first, last]``."""
+
+    def __init__(self):
+        self.n, self.inside, self.slots = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+
+    def rows(self) -> pd.DataFrame:
+        inside: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for word, n in self.inside.items():
+            c = inside[word.lower()]
+            c[0] += n
+            c[1] += n * word[0].isupper()
+        none, never = [0, 0], [0, 0, 0]
+        return pd.DataFrame(
+            [(k, n, *inside.get(k, none), *self.slots.get(k, never)) for k, n in self.n.items()],
+            columns=["term", "n", "inside", "capitalised", "slot", "first", "last"],
+        )
+
+
+def _count(texts: Sequence[str], p: Patterns, counts: _Counts) -> None:
     for text in texts:
-        t = Tokens(text, p.word, p.shaped(text))
-        cased = _cased(text)
-        for i, low in enumerate(t.low):
-            c = counts[low]
-            c[0] += 1
-            if cased and i and t.gap[i] in (" ", ", "):
-                c[1] += 1
-                c[2] += t.text[i][0].isupper()
+        words = p.word.findall(text.lower())
+        if spans := p.shaped(text, words):
+            text = _masked(text, spans)
+            words = p.word.findall(text.lower())
+        low_text = text.lower()
+        counts.n.update(words)
+        cased = text != low_text
+        if cased:
+            counts.inside.update(p.word.findall(p.start.sub("\0", text)))
+        told = set(words)
+        if told.isdisjoint(_TITLES) and not any(told.issuperset(c) for c in BEFORE_NAMES):
+            continue
+        t = Tokens(text, p.word, ())
         for i in _slots(t):
-            run = [i]
-            if cased:
-                comma = False
-                for j in range(i + 1, min(i + 5, len(t.low))):
-                    gap = t.gap[j]
-                    initial = len(t.text[j - 1]) == 1 and gap == ". "
-                    if gap == ", " and len(run) == 1 and t.text[j][0].isupper():
-                        comma = True
-                    elif gap != " " and not initial:
-                        break
-                    if t.text[j][0].isupper() or t.low[j] in _PARTICLES:
-                        run.append(j)
-                    else:
-                        break
-                names = [j for j in run if t.text[j][0].isupper() and len(t.low[j]) > 1 and t.low[j] not in _PARTICLES]
-                if len(names) >= 2:
-                    first, last = (names[-1], names[0]) if comma and len(names) == 2 else (names[0], names[-1])
-                    if not comma or len(names) == 2:
-                        counts[t.low[first]][4] += 1
-                        counts[t.low[last]][5] += 1
-                for j in names:
-                    counts[t.low[j]][3] += 1
-            elif len(t.low[i]) > 1:
-                counts[t.low[i]][3] += 1
+            names = _run(t, i) if cased else [i]
+            names = [j for j in names if len(t.low[j]) > 1 and t.low[j] not in _PARTICLES]
+            for j in names:
+                counts.slots[t.low[j]][0] += 1
+            if cased and len(names) >= 2:
+                # "Surname, First name" if a comma follows the first of two.
+                comma = "," in t.gap[names[0] + 1]
+                first, last = (names[1], names[0]) if comma else (names[0], names[-1])
+                if not comma or len(names) == 2:
+                    counts.slots[t.low[first]][1] += 1
+                    counts.slots[t.low[last]][2] += 1
+
+
+def _run(t: Tokens, i: int) -> list[int]:
+    """The capitalised words of a slot, up to five, over initials, particles and one comma."""
+    if not t.text[i][0].isupper() and t.low[i] not in _PARTICLES:
+        return []
+    run, last = [i], i
+    for j in range(i + 1, min(i + 5, len(t.low))):
+        gap, capital = t.gap[j], t.text[j][0].isupper()
+        linked = gap == " " or (gap == ". " and len(t.text[j - 1]) == 1) or (gap == ", " and len(run) == 1 and capital)
+        if not linked or not (capital or t.low[j] in _PARTICLES):
+            break
+        last = j
+        if capital:
+            run.append(last)
+    return [j for j in run if t.text[j][0].isupper()]
 
 
 _COUNTS = "term string, n bigint, inside bigint, capitalised bigint, slot bigint, first bigint, last bigint"
@@ -236,18 +285,14 @@ _COUNTS = "term string, n bigint, inside bigint, capitalised bigint, slot bigint
 def _counting(columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Patterns()
-        counts: dict[str, list[int]] = defaultdict(lambda: [0] * 6)
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["term", "n", "inside", "capitalised", "slot", "first", "last"])
-
+        counts = _Counts()
         for pdf in batches:
             for c in columns:
                 _count([x for x in pdf[c] if x], p, counts)
-            if len(counts) > 200_000:
-                yield rows()
-                counts.clear()
-        yield rows()
+            if len(counts.n) > 200_000:
+                yield counts.rows()
+                counts = _Counts()
+        yield counts.rows()
 
     return run
 
@@ -335,10 +380,10 @@ def personal_data(text: str | None, p: Patterns, lexicon: dict[str, str]) -> lis
     """All spans of one text in order: ``start, end, kind``."""
     if not text:
         return []
-    spans = p.shaped(text)
-    t = Tokens(text, p.word, spans)
-    if not lexicon.keys().isdisjoint(t.low):
-        spans += [(s, e, "name") for s, e in _names(text, t, lexicon)]
+    words = p.word.findall(text.lower())
+    spans = p.shaped(text, words)
+    if not lexicon.keys().isdisjoint(words):
+        spans += [(s, e, "name") for s, e in _names(text, Tokens(text, p.word, spans), lexicon)]
     return sorted(spans)
 
 
