@@ -11,7 +11,7 @@ stand at the end of texts (page numbers, signatures, tags) are endings of their
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,10 +94,10 @@ class Reader:
 _STOP = frozenset(".?!。！？")
 
 
-def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]]) -> None:
-    """Adds one text to the counts of ``(what, key)``, each ``[n, ends]``.
+def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]], contexts: Counter, ends_at: Counter) -> None:
+    """Adds one text to the counts of ``(what, key)``, each ``[n, ends]``, and to those of contexts.
 
-    ``e``: words of a sentence, and how often a sentence ends there; ``h``: beginnings of lines after the
+    ``contexts`` and ``ends_at``: words of a sentence, and how often a sentence ends there; ``h``: beginnings of lines after the
     first, and how often such a line is the last; ``p``: beginnings of lines before the last, and how often
     such a line has final punctuation; ``c``: beginnings of last lines with their last word; ``t``: all words;
     ``b``: texts with final punctuation, and how many of them have blanks after it.
@@ -111,6 +111,8 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]])
         c[0] += 1
         c[1] += text[-1] in " \t"
     total = counts["t", ""]
+    said: list[str] = []
+    ended: list[str] = []
     for i, line in enumerate(lines):
         last = i == len(lines) - 1
         head = reader.head(line)
@@ -136,32 +138,34 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]])
             ends = final or tokens[j + 1] in _STOP
             three = f"{two} {t}" if two else ""
             two, one = (f"{one} {t}" if one else ""), t
-            for context in (three, two, one):
-                if context:
-                    c = counts["e", context]
-                    c[0] += 1
-                    c[1] += ends
+            said += (three, two, one) if three else (two, one)
             total[0] += 1
-            total[1] += ends
             if ends:
+                ended += (three, two, one) if three else (two, one)
+                total[1] += 1
                 two, one = "", "^"
+    contexts.update(said)
+    ends_at.update(ended)
 
 
 def _learning(column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+        contexts, ends_at = Counter(), Counter()
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["what", "key", "n", "ends"])
+            told = [(*k, *v) for k, v in counts.items()] + [("e", k, n, ends_at[k]) for k, n in contexts.items()]
+            for held in (counts, contexts, ends_at):
+                held.clear()
+            return pd.DataFrame(told, columns=["what", "key", "n", "ends"])
 
         for pdf in batches:
             for text in pdf[column]:
                 if text:
-                    _learn(reader, text, counts)
-            if len(counts) > 300_000:
+                    _learn(reader, text, counts, contexts, ends_at)
+            if len(contexts) > 300_000:
                 yield rows()
-                counts.clear()
         yield rows()
 
     return run
@@ -246,8 +250,8 @@ def length_spikes(lengths: DataFrame, source: str) -> DataFrame:
 def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``key, source, cut, at_spike`` for every text that is not null, empty or blank.
 
-    Null sources are a source of their own; further columns are ignored; repeated rows are judged each;
-    texts are read whole. What is put after a cut ("…", "[cont", replacement characters, blanks) is set
+    Null sources are a source of their own; further columns are ignored; ``key`` is taken as unique, so
+    rows that repeat it in full may come out once; texts are read whole. What is put after a cut ("…", "[cont", replacement characters, blanks) is set
     aside first.
     """
     kind = documents.schema[key].dataType.simpleString()
