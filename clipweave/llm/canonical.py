@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_hint, broadcast_if_small
 
 #: Words that people put around a value of each kind without changing what it means.
 FILLERS: Mapping[str, Sequence[str]] = {
@@ -113,10 +113,12 @@ def map_values(values: DataFrame, reference: DataFrame, fillers: Mapping[str, Se
     smallest. Texts longer than any name and its edits are unmatched without being cut to pieces.
     """
     forms = name_forms(reference)
+    # All that is joined here has a few rows for each name.
+    small = broadcast_hint(reference)
 
     def equal(how: str) -> DataFrame:
         best = forms.where(F.col("how") == how).groupBy("kind", "form").agg(F.min(F.struct("rank", "entry")).alias(f"as_{how}"))
-        return broadcast_if_small(best.withColumnRenamed("form", how))
+        return small(best.withColumnRenamed("form", how))
 
     names = (
         forms.where("rank = 0")
@@ -140,7 +142,7 @@ def map_values(values: DataFrame, reference: DataFrame, fillers: Mapping[str, Se
         .withColumn("same", F.least("as_letters", "as_sorted")["entry"])
     )
     pieces = (
-        asked.join(broadcast_if_small(sizes), "kind", "left")
+        asked.join(small(sizes), "kind", "left")
         .select(
             "kind",
             "value",
@@ -156,7 +158,7 @@ def map_values(values: DataFrame, reference: DataFrame, fillers: Mapping[str, Se
         )
         .select("kind", "value", "letters", "same", "p.*")
     )
-    p, n = pieces.alias("p"), broadcast_if_small(names).alias("n")
+    p, n = pieces.alias("p"), small(names).alias("n")
     shares = F.expr(
         "p.kind = n.kind and p.piece = n.piece and abs(p.start - n.at) <= n.k and abs(length(p.letters) - n.len) <= n.k"
     )
@@ -202,26 +204,3 @@ def unmatched_report(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("kind").agg(
         F.count("*").alias("records"), F.count_if(F.col("canonical") == UNMATCHED).alias("unmatched")
     )
-
-
-def map_records(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """``kind, record_id, canonical`` of ``kind, record_id, value`` whose value isn't an entry byte for byte.
-
-    One row for each record; records without id or value have none, repeated rows count once. A record
-    whose rows disagree takes the entry of its smallest value.
-    """
-    entries = broadcast_if_small(reference.select("kind", F.col("entry").alias("value")).distinct())
-    typed = (
-        records.where("kind is not null and record_id is not null and value is not null")
-        .join(entries, ["kind", "value"], "left_anti")
-        .groupBy("kind", "record_id")
-        .agg(F.min("value").alias("value"))
-    )
-    return typed.join(map_values(typed, reference), ["kind", "value"]).select("kind", "record_id", "canonical")
-
-
-def unmatched_report(mapped: DataFrame) -> DataFrame:
-    """How many records of each kind mean no entry: ``kind, records, unmatched``."""
-    return mapped.groupBy("kind").agg(
-        F.count("*").alias("records"), F.count_if(F.col("canonical") == UNMATCHED).alias("unmatched")
-    )
