@@ -281,6 +281,8 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
         .withColumn("at_spike", F.col("spike").isNotNull())
         .drop("at_chars", "at_bytes", "chars", "bytes", "core_chars", "core_bytes")
     )
+    # A few words of each text go on from here twice; the texts are read once.
+    placed = cut_lineage(placed)
     clear = placed.where("verdict in ('cut', 'whole')").select(key, source, (F.col("verdict") == "cut").alias("cut"), "at_spike")
     asked = placed.where("verdict not in ('cut', 'whole')")
     told = (
