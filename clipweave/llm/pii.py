@@ -98,6 +98,7 @@ class Patterns:
         self.spoken = re.compile(_SPOKEN, re.IGNORECASE)
         self.phone, self.id, self.address = (re.compile(p, flags) for p in (_PHONE, _ID, _ADDRESS))
         self.four = re.compile(r"\d{4}")
+        self.letters = re.compile(r"[^\W\d_]+")
         self.digit = re.compile(_D, re.IGNORECASE)
         self.word = regex.compile(_WORD)
         #: First words of sentences: after the text's start or a sign that no sentence goes on over.
@@ -125,9 +126,11 @@ class Patterns:
     def shaped(self, text: str, words: Collection[str] | None = None) -> list[tuple[int, int, str]]:
         """Spans with a form of their own, without overlap; earlier kinds take precedence.
 
-        ``words``, those of the text in lower case, tell which kinds cannot be in it.
+        ``words``, those of the text in lower case, tell which kinds cannot be in it. A kind is left out only
+        where its pattern cannot match: digits and streets also stand inside joined words ("six-one", "Street's").
         """
         words = self.word.findall(text.lower()) if words is None else words
+        parts = [x for w in words if not w.isalpha() for x in self.letters.findall(w)]
         spans: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, kind: str) -> None:
@@ -137,15 +140,17 @@ class Patterns:
         if "@" in text or "dot" in words or "at" in words and ("{at" in text or "(at" in text or "[at" in text or "." in text):
             for m in self.email.finditer(text):
                 add(*m.span(), "email")
-        spoken = not _DIGIT_WORDS.isdisjoint(words)
-        if spoken:
+        if not (_DIGIT_WORDS.isdisjoint(words) and _DIGIT_WORDS.isdisjoint(parts)):
             for start, end, kind in self._said(text):
                 add(start, end, kind)
-        if self.four.search(text):
-            for kind, pattern in (("phone", self.phone), ("id_number", self.id)):
-                for m in pattern.finditer(text):
-                    add(*m.span(), kind)
-        if not _STREETS.isdisjoint(words):
+        four = self.four.search(text)
+        if four or "+" in text:
+            for m in self.phone.finditer(text):
+                add(*m.span(), "phone")
+        if four:
+            for m in self.id.finditer(text):
+                add(*m.span(), "id_number")
+        if not (_STREETS.isdisjoint(words) and _STREETS.isdisjoint(parts)):
             for m in self.address.finditer(text):
                 if not _cased(text) or self._proper(m):
                     add(*m.span(), "address")

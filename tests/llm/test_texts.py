@@ -92,6 +92,22 @@ def test_shapes(text, want):
     assert [(k, text[s:e]) for s, e, k in pii.personal_data(text, pii.Patterns(), {})] == [want]
 
 
+#: Forms that a gate in front of the patterns must let through.
+GATED = {
+    "call +33 612 345 678 now": ("phone", "+33 612 345 678"),
+    "call +34 612-345-678 now": ("phone", "+34 612-345-678"),
+    "call +48 601 234 567 now": ("phone", "+48 601 234 567"),
+    "call +49 30 123 456 now": ("phone", "+49 30 123 456"),
+    "dialed six-one-seven-five-five-five-oh-one-two-three today": ("phone", "six-one-seven-five-five-five-oh-one-two-three"),
+    "We saw 551 Saltmarsh Street's lights.": ("address", "551 Saltmarsh Street"),
+}
+
+
+@pytest.mark.parametrize(("text", "want"), GATED.items())
+def test_gates_let_every_form_through(text, want):
+    assert [(k, text[s:e]) for s, e, k in pii.personal_data(text, pii.Patterns(), {})] == [want]
+
+
 @pytest.mark.parametrize("text", ["Case number 77-125-25, please.", "ticket 513 198 the desk", "badge 4238 on scene", "channel 6 go ahead", "plate starts with K L 8 4", "we turned onto weir cross lane", "clip 495 stays pending because Street lamp", "it happened around 03:27", "radio check on one five five", "", None])
 def test_what_is_no_personal_data(text):
     assert pii.personal_data(text, pii.Patterns(), {}) == []
