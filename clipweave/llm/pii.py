@@ -89,6 +89,42 @@ _WORD = r"[\p{L}][\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*"
 _DIGIT_WORDS, _STREETS = frozenset(DIGITS), frozenset(STREETS)
 
 
+def _pieces(digits: Sequence[int], plus: bool) -> list[tuple[int, int, str]]:
+    """``start, length, kind`` of the numbers in a run of spoken digits.
+
+    The run's length decides: 7 or 10 digits, 11 after a leading one or zero and up to 15 after "plus" are
+    a phone, 9 an identity number. Any other run is split where its phones have the exchange 555, so that
+    the most of them and then the fewest digits outside a number remain; without one, more than 10 digits
+    are one identity number, as nothing tells its parts, and 8 are none.
+    """
+    n = len(digits)
+    if n in (7, 10) or n == 11 and digits[0] in (0, 1) or plus and n <= 15:
+        return [(0, n, "phone")]
+    if n == 9:
+        return [(0, n, "id_number")]
+    # From the end: the best reading of each rest as (phones with 555, - digits outside, - numbers), and its first number.
+    best, first = [(0, 0, 0)] * (n + 1), [(1, "")] * n
+    for i in range(n - 1, -1, -1):
+        told, out, numbers = best[i + 1]
+        best[i] = (told, out - 1, numbers)
+        for size, at in ((11, 4), (10, 3), (9, None), (7, 0)):
+            if i + size > n or size == 11 and digits[i] not in (0, 1):
+                continue
+            told, out, numbers = best[i + size]
+            named = at is not None and list(digits[i + at : i + at + 3]) == [5, 5, 5]
+            if (score := (told + named, out, numbers - 1)) > best[i]:
+                best[i], first[i] = score, (size, "id_number" if at is None else "phone")
+    if not best[0][0]:
+        return [(0, n, "id_number")] if n > 10 else []
+    pieces, i = [], 0
+    while i < n:
+        size, kind = first[i]
+        if kind:
+            pieces.append((i, size, kind))
+        i += size
+    return pieces
+
+
 class Patterns:
     """Compiled patterns; made once per task."""
 
@@ -105,23 +141,11 @@ class Patterns:
         self.start = regex.compile(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}} ,'’-]\s*){_WORD}")
 
     def _said(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """Phones (ten digits, 555 after the area) and identity numbers (nine digits) written out in words."""
+        """Phones and identity numbers written out in words, one run of digits at a time."""
         for m in self.spoken.finditer(text):
             words = [(w.start(), w.end(), DIGITS[w[0].lower()]) for w in self.digit.finditer(text, m.start(), m.end())]
-            digits, i = [w[2] for w in words], 0
-            while i < len(digits):
-                left = len(digits) - i
-                for n, at, kind in ((11, 4, "phone"), (10, 3, "phone"), (7, 0, "phone"), (9, 0, "id_number")):
-                    if left < n:
-                        continue
-                    if kind == "phone" and (digits[i + at : i + at + 3] != [5, 5, 5] or (n == 11 and digits[i] != 1)):
-                        continue
-                    first = m.start() if i == 0 else words[i][0]
-                    yield first, words[i + n - 1][1], kind
-                    i += n
-                    break
-                else:
-                    i += 1
+            for i, n, kind in _pieces([w[2] for w in words], m[0][0] in "pP"):
+                yield m.start() if i == 0 else words[i][0], words[i + n - 1][1], kind
 
     def shaped(self, text: str, words: Collection[str] | None = None) -> list[tuple[int, int, str]]:
         """Spans with a form of their own, without overlap; earlier kinds take precedence.

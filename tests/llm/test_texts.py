@@ -108,6 +108,26 @@ def test_gates_let_every_form_through(text, want):
     assert [(k, text[s:e]) for s, e, k in pii.personal_data(text, pii.Patterns(), {})] == [want]
 
 
+#: Numbers in words whose length tells what they are, and longer runs that 555 splits.
+SPOKEN = {
+    "call four nine five one two three four": [("phone", "four nine five one two three four")],
+    "call six one seven four nine five one two three four": [("phone", "six one seven four nine five one two three four")],
+    "call one six one seven four nine five one two three four": [("phone", "one six one seven four nine five one two three four")],
+    "call oh one six three two nine six oh one three three": [("phone", "oh one six three two nine six oh one three three")],
+    "call plus four four one six three two nine six oh one three three": [("phone", "plus four four one six three two nine six oh one three three")],
+    "id five five five one two three four five six": [("id_number", "five five five one two three four five six")],
+    "after six nine oh eight five five five zero one two zero": [("phone", "nine oh eight five five five zero one two zero")],
+    "nine two nine five four two six two one six oh eight five five five zero one two zero": [("id_number", "nine two nine five four two six two one"), ("phone", "six oh eight five five five zero one two zero")],
+    "four two four two four two four two four two four two four": [("id_number", "four two four two four two four two four two four two four")],
+    "ticket four two four two four two four two": [],
+}
+
+
+@pytest.mark.parametrize(("text", "want"), SPOKEN.items())
+def test_spoken_numbers_by_their_length(text, want):
+    assert [(k, text[s:e]) for s, e, k in pii.personal_data(text, pii.Patterns(), {})] == want
+
+
 @pytest.mark.parametrize("text", ["Case number 77-125-25, please.", "ticket 513 198 the desk", "badge 4238 on scene", "channel 6 go ahead", "plate starts with K L 8 4", "we turned onto weir cross lane", "clip 495 stays pending because Street lamp", "it happened around 03:27", "radio check on one five five", "", None])
 def test_what_is_no_personal_data(text):
     assert pii.personal_data(text, pii.Patterns(), {}) == []
