@@ -486,6 +486,20 @@ def content_sha256(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", fingerprint(F.col("text").cast("binary"), F.octet_length("text")).alias("print"))
 
 
+_BYTES = "encode(text)"
+
+
+@query(
+    "content_sha256_all",
+    f"""select doc_id, sha256(encode(cast(octet_length({_BYTES}) as varchar)) || {_BYTES}[1:1048576]
+      || case when octet_length({_BYTES}) > 2097152 then {_BYTES}[octet_length({_BYTES}) - 1048575:octet_length({_BYTES})] else ''::blob end) as print from documents""",
+)
+def content_sha256_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every document, null where there is no text; ``content_sha256`` has those of up to 1 MiB only."""
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", fingerprint(F.col("text").cast("binary"), F.octet_length("text")).alias("print"))
+
+
 @query(
     "video_transcripts",
     with_graph("""select video_id, string_agg('## ' || coalesce(local_id, id) || chr(10) || coalesce(nullif(trim(transcript), ''), '(no speech)'), chr(10) || chr(10) order by idx nulls first, id) as value from clip group by 1"""),

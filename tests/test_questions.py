@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from clipweave import (
@@ -20,6 +22,22 @@ def test_query_without_sql_runs(spark, tiny, name):
     assert queries.QUERIES[name](spark, tiny).count() > 0
 
 
+def test_fingerprints_of_documents_of_any_length(spark, tmp_path):
+    mib = 1 << 20
+    texts = [None, "", "short é", "a" * mib, "é" * (mib // 2) + "b", "a" * (2 * mib), "a" * mib + "é" * (mib // 2) + "c", "xé" * mib]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+
+    def want(t):
+        b = t.encode()
+        return hashlib.sha256(str(len(b)).encode() + b[:mib] + (b[-mib:] if len(b) > 2 * mib else b"")).hexdigest()
+
+    q = queries.QUERIES["content_sha256_all"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["print"] for r in q.collect()} == {i: None if t is None else want(t) for i, t in enumerate(texts)}
+    more, less = differences(q, queries.ORACLE["content_sha256_all"], str(tmp_path))
+    assert not more and not less
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
