@@ -160,8 +160,41 @@ def _edge(df: DataFrame, src, src_kind: str, dst, dst_kind: str, role=None) -> D
     ).where("src_id is not null and dst_id is not null").distinct()
 
 
+def _name(said: Column) -> Column:
+    """A name regardless of case and surrounding blanks."""
+    return F.regexp_replace(F.lower(said), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
+def continues(events: DataFrame, links: DataFrame) -> DataFrame:
+    """``continues`` edges from an event to one that continues it: as ``continues_from`` states and as users linked them.
+
+    Names are read regardless of case and surrounding blanks, in ``continues_from`` also without the leading
+    ``video_id:``; a name of no event links nothing, one of several ids that differ only by case all of them.
+    An edge that users made has their last note.
+    """
+    rows = events.where("id is not null")
+    known = rows.select(_name(F.col("id")).alias("name"), "id").distinct()
+    said, own = _name(F.col("continues_from")), F.concat(F.lower("video_id"), F.lit(":"))
+    stated = (
+        rows.where(said != "")
+        .select(F.col("id").alias("dst_id"), F.explode(F.array_distinct(F.array_compact(F.array(said, F.concat(own, said))))).alias("name"))
+        .distinct()
+        .join(known, "name")
+        .select(F.col("id").alias("src_id"), "dst_id", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("note"))
+    )
+    made = links.select(_name(F.col("src_id")).alias("a"), _name(F.col("dst_id")).alias("b"), F.col("corrected_at").cast("timestamp").alias("at"), F.col("correction_note").alias("note"))
+    by_user = (
+        made.join(known.select(F.col("name").alias("a"), F.col("id").alias("src_id")), "a")
+        .join(known.select(F.col("name").alias("b"), F.col("id").alias("dst_id")), "b")
+        .select("src_id", "dst_id", "at", "note")
+    )
+    last = stated.unionByName(by_user).groupBy("src_id", "dst_id").agg(F.max(F.struct("at", "note")).alias("last"))
+    event = F.lit("event")
+    return last.select("src_id", event.alias("src_kind"), "dst_id", event.alias("dst_kind"), F.col("last.note").alias("correction_note"), F.col("last.at").alias("corrected_at"))
+
+
 def graph_of_tables(spark: SparkSession, folder: str) -> FootageGraph:
-    """The graph of the tables of a data folder (``videos, clips, clip_events, people_cards, vehicle_cards, event_catalog``)."""
+    """The graph of the tables of a data folder (``videos, clips, clip_events, continues_links, people_cards, vehicle_cards, event_catalog``)."""
     t = lambda name: table(spark, folder, name)
     once = lambda df, *columns: df.where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in columns])
 
@@ -215,7 +248,7 @@ def graph_of_tables(spark: SparkSession, folder: str) -> FootageGraph:
             "involves": involves,
             "instance_of": lambda: _edge(event_rows().join(types().select(F.col("id").alias("type")), "type"), F.col("id"), "event", F.col("type"), "event_type"),
             "in_topic": lambda: types().select(F.col("id").alias("src_id"), topic("id").alias("dst_id")),
-            "continues": lambda: _edge(event_rows(), F.col("continues_from"), "event", F.col("id"), "event"),
+            "continues": lambda: continues(t("clip_events"), t("continues_links")),
             "starts_at": lambda: clip_chain(clip_ids())[0],
             "next": lambda: clip_chain(clip_ids())[1],
         },

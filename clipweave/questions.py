@@ -271,6 +271,23 @@ def event_chain_islands(spark: SparkSession, folder: str) -> DataFrame:
     select a as start_id, b as end_id, min(hops) as hops from reach where a in (select id from event) and b in (select id from event) group by 1, 2""",
 )
 def event_chain_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains of the names that equal an event id byte for byte, as the SQL asks; ``event_chain_paths_all`` has all chains of the graph."""
+    e = table(spark, folder, "clip_events").where("id is not null and continues_from is not null")
+    exact = e.select(F.col("continues_from").alias("src_id"), F.col("id").alias("dst_id")).distinct()
+    return fixed.event_chain(graph(spark, folder).with_edge("continues", exact)).select("start_id", "end_id", "hops")
+
+
+@query(
+    "event_chain_paths_all",
+    """with recursive ids as (select distinct id, lower(trim(id)) as name from clip_events where id is not null),
+    said as (select distinct id, lower(trim(continues_from)) as name, lower(video_id) || ':' || lower(trim(continues_from)) as whole from clip_events where id is not null and trim(continues_from) <> ''),
+    step as (select i.id as a, s.id as b from said s join ids i on i.name = s.name or i.name = s.whole
+      union select x.id, y.id from continues_links l join ids x on x.name = lower(trim(l.src_id)) join ids y on y.name = lower(trim(l.dst_id))),
+    reach as (select a, b, [a, b] as path from step where a <> b
+      union all select r.a, s.b, list_append(r.path, s.b) from reach r join step s on s.a = r.b where not list_contains(r.path, s.b))
+    select a as start_id, b as end_id, cast(min(len(path) - 1) as int) as hops from reach group by 1, 2""",
+)
+def event_chain_paths_all(spark: SparkSession, folder: str) -> DataFrame:
     return fixed.event_chain(graph(spark, folder)).select("start_id", "end_id", "hops")
 
 

@@ -251,3 +251,30 @@ def test_catalog(catalog):
     c = Catalog(dict(catalog.definitions), dict(catalog.topics))
     assert c.learn([{"id": "Door Knock", "description": "somebody knocks at a door", "aliases": ["knock", "Knock"]}, {"id": "bad", "description": "short"}]) == ["door_knock"]
     assert c.definitions["door_knock"]["aliases"] == ["knock"]
+
+
+def test_continues_edges_from_loose_names_and_users(spark):
+    from clipweave.plans.graph import continues
+
+    events = spark.createDataFrame(
+        [("v:a", "v", None), ("v:b", "v", "v:a"), ("v:c", "v", " V:B "), ("v:d", "v", "C"), ("v:e", "v", "null"), ("v:f", "v", ""), ("w:x", None, "v:a"), (None, "v", "v:a")],
+        "id string, video_id string, continues_from string",
+    )
+    links = spark.createDataFrame(
+        [("v:D", "v:e ", "old", "2024-01-01"), ("v:d", "v:e", "new", "2024-02-01"), ("v:a", "v:b", "seen", None), (None, "v:a", "x", None), ("v:zz", "v:a", "x", None)],
+        "src_id string, dst_id string, correction_note string, corrected_at string",
+    )
+    got = {(r["src_id"], r["dst_id"]): r["correction_note"] for r in continues(events, links).collect()}
+    assert got == {("v:a", "v:b"): "seen", ("v:b", "v:c"): None, ("v:c", "v:d"): None, ("v:d", "v:e"): "new", ("v:a", "w:x"): None}
+
+
+def test_the_graph_of_tables_has_the_links_of_users(spark, tiny):
+    from clipweave.plans.graph import graph_of_tables
+    from clipweave.sources.tables import table
+
+    edges = graph_of_tables(spark, tiny).edge("continues")
+    assert edges.where("corrected_at is not null").count() > 0
+    ids = table(spark, tiny, "clip_events").select("id").distinct()
+    links = table(spark, tiny, "continues_links").select("src_id", "dst_id").distinct()
+    both = links.join(ids.withColumnRenamed("id", "src_id"), "src_id").join(ids.withColumnRenamed("id", "dst_id"), "dst_id")
+    assert both.count() > 0 and both.join(edges, ["src_id", "dst_id"], "left_anti").count() == 0
