@@ -381,6 +381,31 @@ def local_tags(spark: SparkSession, folder: str) -> DataFrame:
     return tagged.select("id", F.array_join(rules.local_tags(empty, F.coalesce("names", empty), empty), ",").alias("tags"))
 
 
+@query(
+    "local_tags_all",
+    with_graph(
+        f""", {_HITS_SQL}, named as (select id, list(definition order by rank) as names from hits group by id),
+        typed as (select clip_id as id, list(distinct type order by type) as types from clip_events where id is not null and type is not null group by 1),
+        tags as (select c.id, list_concat(case when trim(coalesce(transcript, '')) <> '' then ['speech'] else ['no_speech'] end,
+          case when coalesce(len(regexp_extract_all(coalesce(transcript, ''), '(?i)\\b({_COMMANDS})\\b')), 0) >= 2 then ['repeated_commands'] else [] end, coalesce(names, []), coalesce(types, [])) as t
+          from clip c left join named on named.id = c.id left join typed on typed.id = c.id),
+        placed as (select id, tag, min(i) as i from (select id, unnest(t) as tag, generate_subscripts(t, 1) as i from tags) group by 1, 2)
+        select id, string_agg(tag, ',' order by i) as tags from placed group by 1"""
+    ),
+)
+def local_tags_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of every clip with the types of its events and its repeated commands; the tables hold no counts, labels or sounds of a clip."""
+    clips, hits = _hits(spark, folder)
+    names = hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "definition"))), lambda x: x["definition"]).alias("names"))
+    events = table(spark, folder, "clip_events").where("id is not null")
+    types = events.groupBy(F.col("clip_id").alias("id")).agg(F.array_sort(F.collect_set("type")).alias("types"))
+    nothing, zero = F.lit(None).cast("double"), F.lit(0)
+    flags = {**{f"{t}_count": zero for t in ("person", "vehicle", "object")}, "needs_vision": F.lit(False), "loud_impact": nothing, "yelling": nothing}
+    tagged = clips.join(names, "id", "left").join(types, "id", "left").withColumns(flags).withColumn("repeated_commands", text.repeated_commands(F.col("transcript")))
+    empty = F.array().cast("array<string>")
+    return tagged.select("id", F.array_join(rules.local_tags(empty, F.coalesce("names", empty), F.coalesce("types", empty)), ",").alias("tags"))
+
+
 @query(
     "clip_windows",
     """with v as (select video_id, max(duration_s) as d from videos group by 1 having max(duration_s) > 0)
@@ -443,6 +468,21 @@ def signature_text(spark: SparkSession, folder: str) -> DataFrame:
     return p.withColumns(only).select("id", text.signature().alias("clothes"))
 
 
+_SIGNATURE_SQL = ", ".join(
+    f"case when lower(trim(coalesce({k}, ''))) not in ('', 'null', 'n/a', 'unreadable', 'unknown') then trim({k}) end" for k in text.SIGNATURE if k != "race"
+)
+
+
+@query(
+    "signature_text_all",
+    f"""select id, concat_ws(' | ', {_SIGNATURE_SQL}) as signature
+    from (select *, row_number() over (partition by id order by updated_at desc nulls last, card_id desc) as place from people_cards where id is not null) where place = 1""",
+)
+def signature_text_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The signature of every person over all attributes that the cards have (no race); ``signature_text`` has the clothes only."""
+    return graph(spark, folder).node("person").select("id", text.signature().alias("signature"))
+
+
 @query("upsert_last_writer_wins", with_graph("select id, local_id, clothes, hair from person"))
 def upsert_last_writer_wins(spark: SparkSession, folder: str) -> DataFrame:
     return last_write(table(spark, folder, "people_cards"), "id", "updated_at", "card_id").select("id", "local_id", "clothes", "hair")

@@ -6,6 +6,7 @@ from clipweave import (
     queries,
     questions,  # noqa: F401 - registers its queries
 )
+from clipweave.sources.tables import table
 from tests.oracle import differences
 
 EVERY = sorted(queries.ORACLE)
@@ -43,3 +44,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_signatures_and_tags_use_more_than_one_part(spark, tiny):
+    signatures = [r["signature"] for r in queries.QUERIES["signature_text_all"](spark, tiny).collect()]
+    assert max(len(s.split(" | ")) for s in signatures) == 7
+    types = {r["type"] for r in table(spark, tiny, "clip_events").select("type").distinct().collect()}
+    tags = [set(r["tags"].split(",")) for r in queries.QUERIES["local_tags_all"](spark, tiny).collect()]
+    assert any(t & types for t in tags)
