@@ -70,17 +70,53 @@ def parse_seconds(value: str | int | float | None) -> float | None:
 
 
 def clip_time(value: Column, start: Column, end: Column, relative: Column | bool = False) -> Column:
-    """A time of a clip as video milliseconds within its bounds; ``relative`` times count from its start."""
+    """A time of a clip as video milliseconds within its bounds, null for none; ``relative`` times count from its start."""
     last = F.greatest(start, F.coalesce(end, start))
     told = F.when(F.lit(relative) if isinstance(relative, bool) else relative, start + value).otherwise(value)
-    return F.greatest(start, F.least(last, told))
+    return F.when(told.isNotNull(), F.greatest(start, F.least(last, told)))
 
 
 def event_window(
     start_ms: Column, start_clock: Column, end_ms: Column, end_clock: Column, cell_ms: Column, hint_ms: Column, clip_start: Column, clip_end: Column
 ) -> Column:
-    """``start_ms, end_ms`` of an event: what it states, else its cell, a hint, the clip; the end 30 s on if unstated."""
-    start = clip_time(F.coalesce(start_ms, parse_clock(start_clock), cell_ms, hint_ms, clip_start), clip_start, clip_end)
-    end = F.coalesce(end_ms, parse_clock(end_clock), F.least(start + 30_000, F.coalesce(clip_end, start + 30_000)))
-    end = clip_time(end, clip_start, clip_end)
-    return F.struct(start.alias("start_ms"), F.when(end < start, start + 1000).otherwise(end).alias("end_ms"))
+    """``start_ms, end_ms, clock, end_clock, seek_s`` of an event of a clip.
+
+    The start is what the event states, else its cell, a hint, the clip's start; the end what it states, else
+    30 s on; an end before the start is put a second after it. No end lies beyond the clip's.
+    """
+    last = F.greatest(clip_start, F.coalesce(clip_end, clip_start))
+    stated = lambda ms, text: clip_time(F.coalesce(ms, parse_clock(text)), clip_start, last)
+    start = F.coalesce(stated(start_ms, start_clock), cell_ms, hint_ms, clip_start)
+    told = F.coalesce(stated(end_ms, end_clock), F.least(last, start + 30_000))
+    end = F.when(told < start, F.least(last, start + 1000)).otherwise(told)
+    return F.struct(
+        start.alias("start_ms"), end.alias("end_ms"), format_clock(start).alias("clock"), format_clock(end).alias("end_clock"), (start / 1000.0).alias("seek_s")
+    )
+
+
+def minute_clock(ms: Column) -> Column:
+    """Milliseconds as ``MM:SS`` with minutes beyond 59; null and negative read ``00:00``."""
+    total = F.floor(F.greatest(F.coalesce(ms.cast("bigint"), F.lit(0)), F.lit(0)) / 1000).cast("bigint")
+    return F.format_string("%02d:%02d", F.floor(total / 60).cast("bigint"), total % 60)
+
+
+def padded_clock(ms: Column) -> Column:
+    """Milliseconds as ``MM:SS``, or ``HH:MM:SS`` from an hour on; null and negative read ``00:00``."""
+    text = format_clock(ms)
+    return F.when(F.length(text) == 7, F.concat(F.lit("0"), text)).otherwise(text)
+
+
+def transcript_timeline(start_ms: Column, segments: Column, transcript: Column, limit: int = 40) -> Column:
+    """The first segments of a clip with their clocks, a line each; else its transcript; else ``(no speech)``."""
+    start = F.coalesce(start_ms, F.lit(0))
+    line = lambda at, text: F.concat(F.lit("["), format_clock(at), F.lit("] "), F.trim(text))
+    said = F.filter(F.slice(segments, 1, limit), lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    lines = F.transform(said, lambda s: line(start + F.coalesce(s["start_ms"], F.lit(0)), s["text"]))
+    whole = F.when(F.trim(F.coalesce(transcript, F.lit(""))) != "", line(start, transcript)).otherwise("(no speech)")
+    return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), whole)
+
+
+def cell_timeline(cells: Column) -> Column:
+    """The picture cells of a clip (their video milliseconds) with index and clock, a line each."""
+    lines = F.transform(cells, lambda ms, i: F.concat(F.format_string("cell_%02d at ", i), format_clock(ms), F.lit(" ("), ms.cast("string"), F.lit("ms)")))
+    return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("(no splice cells)"))

@@ -16,13 +16,18 @@ SIGNATURE = ("race", "gender", "hair", "glasses", "clothes", "shoes", "bag", "di
 ROLES = ("potential_suspect", "officer", "civilian", "unknown")
 
 
+def strip(text: Column) -> Column:
+    """A text without white space, also the unbreakable, at its ends."""
+    return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
 def slug(text: Column) -> Column:
     """Lower case with every other sign as one underscore, at most 48 letters."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", "_"), "^_+|_+$", ""), 1, 48)
 
 
 def one_line(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.regexp_replace(strip(text), r"[\s\u00a0]+", " ")
 
 
 def normal_plate(text: Column) -> Column:
@@ -33,7 +38,7 @@ def normal_plate(text: Column) -> Column:
 
 def clean(text: Column, default: Column | str = "unknown") -> Column:
     """An attribute in lower case; a default for texts that state nothing, ``none`` for those that state none."""
-    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    low = F.lower(strip(F.coalesce(text, F.lit(""))))
     return F.when(low.isin(*BLANK), F.lit(default) if isinstance(default, str) else default).when(low.isin(*NONE), "none").otherwise(low)
 
 
@@ -44,9 +49,9 @@ def is_officer(value: Column, role: Column) -> Column:
 
 
 def signature(person: Column | None = None) -> Column:
-    """The known attributes of a person joined by `` | ``."""
+    """The known attributes of a person, cleaned, joined by `` | ``."""
     of = lambda k: F.col(k) if person is None else person[k]
-    return F.concat_ws(" | ", *[F.when(~clean(of(k), "").isin("", "unknown"), F.trim(of(k))) for k in SIGNATURE])
+    return F.concat_ws(" | ", *[F.when(~clean(of(k), "").isin("", "unknown"), clean(of(k), "")) for k in SIGNATURE])
 
 
 def phrase_count(text: Column, phrase: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ordered_distinct
-from ..functions.clock import format_clock
+from ..functions.clock import format_clock, padded_clock
 from ..functions.text import phrase_count
 from ..session import broadcast_if_small
 
@@ -56,48 +56,74 @@ def candidates(signals: DataFrame, rules: DataFrame, hits: DataFrame, key: str =
 
 
 def local_events(clips: DataFrame, found: DataFrame, hits: DataFrame, key: str = "id") -> DataFrame:
-    """One event for each clip and supported definition, at its first phrase in catalog order or at the impact."""
+    """One event for each clip and supported definition, until the clip's end.
+
+    By a keyword it starts with its first phrase in catalog order, by signals with the clip; only a loud
+    impact starts where it was heard.
+    """
     first = hits.groupBy(key, "definition").agg(F.min_by(F.struct("start_ms", "phrase"), "rank").alias("w"))
-    impact = F.col("start_ms") + F.coalesce("impact_at_ms", F.lit(0)) if "impact_at_ms" in clips.columns else F.col("start_ms")
-    at = clips.select(key, "video_id", F.col("start_ms"), impact.alias("impact"))
+    heard = F.when(F.col("definition") == "loud_impact", F.col("impact_at_ms")) if "impact_at_ms" in clips.columns else F.lit(None).cast("int")
+    at = clips.select(key, "video_id", "start_ms", "end_ms", *(["impact_at_ms"] if "impact_at_ms" in clips.columns else []))
+    # Confidences, sources and modalities of the two kinds.
+    word = F.col("by") == "keyword"
+    evidence = F.struct(F.when(word, "transcript").otherwise("signal").alias("modality"), F.when(word, F.col("w.phrase")).otherwise(F.col("definition")).alias("value"))
+    start = F.when(word, F.coalesce("w.start_ms", "start_ms")).otherwise(F.col("start_ms") + F.coalesce(heard, F.lit(0)))
     return (
         found.join(first, [key, "definition"], "left")
         .join(at, key)
         .select(
-            key, "video_id", F.col("definition").alias("type"), F.coalesce("w.start_ms", "impact", "start_ms").alias("start_ms"),
-            F.when(F.col("by") == "keyword", F.concat(F.lit("transcript | "), F.col("w.phrase"))).otherwise("audio | signal").alias("evidence"),
-            F.when(F.col("by") == "keyword", 0.6).otherwise(0.4).alias("confidence"), F.lit("local").alias("source"),
+            key, "video_id", F.col("definition").alias("type"), "rank", start.alias("start_ms"), "end_ms", F.array(evidence).alias("evidence"),
+            F.when(word, 0.7).otherwise(0.6).alias("confidence"), F.when(word, "keyword").otherwise("local_signals").alias("source"),
         )
         .withColumn("clock", format_clock(F.col("start_ms")))
         .withColumn("event_id", F.concat_ws(":", key, "type", "start_ms"))
     )
 
 
-def is_key_clip(event_types: Column) -> Column:
-    """Whether a clip is looked at closely: by its sounds, its commands or the kinds of its events."""
-    return (
-        F.coalesce(F.col("loud_impact") >= 0.7, F.lit(False))
-        | F.coalesce(F.col("yelling") >= 0.7, F.lit(False))
-        | F.coalesce(F.col("loud_speech") >= 0.7, F.lit(False))
-        | F.coalesce(F.col("repeated_commands") >= 2, F.lit(False))
-        | F.coalesce(F.arrays_overlap(event_types, F.array(*map(F.lit, KEY_EVENTS))), F.lit(False))
+def evidence_lines(definition: Column, evidence: Column) -> Column:
+    """``definition | modality | value`` of every piece of evidence that has a value."""
+    told = F.filter(evidence, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return F.transform(told, lambda x: F.concat_ws(" | ", definition, F.coalesce(F.nullif(x["modality"], F.lit("")), F.lit("note")), x["value"]))
+
+
+def is_key_clip(*names: Column) -> Column:
+    """Whether a clip is looked at closely: by its sounds, its commands or the names of its events, keywords and candidates.
+
+    ``loud_speech`` counts where there is no yelling.
+    """
+    holds = lambda cond: F.coalesce(cond, F.lit(False))
+    key = F.array(*map(F.lit, KEY_EVENTS))
+    out = (
+        holds(F.col("loud_impact") >= 0.7)
+        | holds(F.coalesce(F.nullif("yelling", F.lit(0.0)), "loud_speech") >= 0.7)
+        | holds(F.col("repeated_commands") >= 2)
     )
+    for told in names:
+        out = out | holds(F.arrays_overlap(told, key))
+    return out
+
+
+def asks_model(key_clip: Column, events: Column, hits: Column) -> Column:
+    """Whether a clip is worth a model's look: a key clip, or one with events, keywords, people or vehicles."""
+    some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return key_clip | F.coalesce(F.size(events) > 0, F.lit(False)) | F.coalesce(F.size(hits) > 0, F.lit(False)) | some("person_count") | some("vehicle_count")
 
 
 def scene_prior(entities: DataFrame) -> DataFrame:
-    """``video_id, land, water, scene`` from the labels that were seen."""
+    """``video_id, land, water, scene``: what was seen of each; ``land`` if there is some of it and not less than of water."""
+    label = F.lower("label")
     return (
         entities.groupBy("video_id")
-        .agg(F.count_if(F.col("label").isin(*LAND)).alias("land"), F.count_if(F.col("label").isin(*WATER)).alias("water"))
-        .withColumn("scene", F.when(F.col("land") >= F.col("water"), "land").otherwise("water"))
+        .agg(F.count_if(label.isin(*LAND)).alias("land"), F.count_if(label.isin(*WATER)).alias("water"))
+        .withColumn("scene", F.when((F.col("land") >= F.col("water")) & (F.col("land") > 0), "land").otherwise("other"))
     )
 
 
 def denoise(entities: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Entities without what is rare on a road, in scenes on land, and without unsure objects."""
-    rare = F.col("label").isin(*RARE_ON_ROAD) & (F.coalesce("scene", F.lit("land")) == "land")
-    unsure = (F.col("type") == "object") & (F.col("confidence") < 0.45)
-    return entities.join(scenes.select("video_id", "scene"), "video_id", "left").where(~rare & ~unsure).drop("scene")
+    """Entities without what belongs to water or is rare on a road, in scenes on land, and without unsure objects."""
+    odd = F.coalesce(F.lower("label").isin(*RARE_ON_ROAD, *WATER), F.lit(False)) & (F.coalesce("scene", F.lit("other")) == "land")
+    unsure = F.coalesce((F.col("type") == "object") & (F.coalesce("confidence", F.lit(0.0)) < 0.45), F.lit(False))
+    return entities.join(scenes.select("video_id", "scene"), "video_id", "left").where(~odd & ~unsure).drop("scene")
 
 
 def inventory(entities: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -152,19 +178,15 @@ def local_summary(labels: Column, people: Column, tags: Column) -> Column:
     said = F.trim(F.coalesce("transcript", F.lit("")))
     speech = F.when(said != "", F.concat(F.lit("Speech: "), F.substring(said, 1, 400), F.when(F.length(said) > 400, "…").otherwise(""))).otherwise("No speech transcribed.")
     listed = lambda head, arr, sep, tail: F.when(F.size(arr) > 0, F.concat(F.lit(head), F.array_join(arr, sep), F.lit(tail))).otherwise("")
-    padded = lambda ms: F.format_string("%02d:%02d:%02d", F.floor(ms / 3_600_000), F.floor(ms % 3_600_000 / 60_000), F.floor(ms % 60_000 / 1000))
     return F.concat(
-        F.lit("Clip "), F.col("id"), F.lit(" ("), padded(F.col("start_ms")), F.lit("–"), padded(F.coalesce("end_ms", "start_ms")), F.lit("). Visible: "),
+        F.lit("Clip "), F.col("id"), F.lit(" ("), padded_clock(F.col("start_ms")), F.lit("–"), padded_clock(F.col("end_ms")), F.lit("). Visible: "),
         F.col("person_count").cast("string"), F.lit(" person(s), "), F.col("vehicle_count").cast("string"), F.lit(" vehicle(s), "),
         F.col("object_count").cast("string"), F.lit(" object(s)"), listed(" (", labels, ", ", ")"), F.lit("."),
         listed(" People: ", F.slice(people, 1, 4), " ", "."), F.lit(" "), speech, listed(" Tags: ", tags, ", ", "."),
     )
 
 
-def first_roles(involved: DataFrame, suspect_types: list[str], order: list[str]) -> DataFrame:
-    """The first qualifying event of each person decides: ``person_id, role, at, event_type``."""
-    marked = involved.where(F.col("type").isin(suspect_types) & ~F.coalesce("is_cop", F.lit(False)))
-    first = marked.groupBy("person_id").agg(F.min_by(F.struct("type", "start_ms"), F.struct(*order)).alias("f"))
-    officers = involved.groupBy("person_id").agg(F.bool_or("is_cop").alias("cop"), F.bool_and("is_cop").alias("all_cop"))
-    role = F.when(F.col("f").isNotNull(), "potential_suspect").when(F.col("cop"), "officer").when(F.col("all_cop").isNotNull(), "civilian").otherwise("unknown")
-    return officers.join(first, "person_id", "left").select("person_id", role.alias("role"), F.col("f.start_ms").alias("at"), F.col("f.type").alias("event_type"))
+def person_line(person: Column) -> Column:
+    """A person of a clip in one line: the signature, else the clothes, else the description."""
+    told = [F.nullif(F.trim(F.coalesce(person[k], F.lit(""))), F.lit("")) for k in ("signature", "clothes", "description")]
+    return F.concat(person["id"], F.lit(": "), F.coalesce(*told, F.lit("person")))

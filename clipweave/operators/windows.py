@@ -52,24 +52,29 @@ def first_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def event_chains(edges: DataFrame) -> DataFrame:
-    """``start_id, end_id, hops`` of all pairs that a path of edges ``src_id, dst_id`` connects.
+def event_chains(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """``start_id, end_id, hops`` of all pairs that a path of edges ``src_id, dst_id`` connects, by the fewest steps.
 
-    Paths of doubled length are joined in each round, so a chain of n events takes log2(n) rounds. The
-    result itself has a row per pair, as the question asks. Circular links end where they return.
+    ``starts`` (``start_id``) limits the pairs to those that begin there. Steps of length 1, 2, 4, ... stand in
+    a table of their own, which has a row per event in a linear chain; what the starts reach within ``2^k``
+    steps goes on by the steps of that length, so a chain of n events takes log2(n) rounds and no pair is
+    made that is not in the result. A round without a new pair is the last one, also in circles.
     """
-    step = cut(edges.where("src_id <> dst_id").select(F.col("src_id").alias("start_id"), F.col("dst_id").alias("end_id"), F.lit(1).alias("hops")).distinct())
-    paths, n = step, step.count()
+    step = cut(edges.where("src_id <> dst_id and src_id is not null and dst_id is not null").select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct())
+    first = step.select(F.col("at").alias("start_id")).distinct()
+    if starts is not None:
+        first = first.join(starts.select("start_id").distinct(), "start_id", "left_semi")
+    reached = cut(first.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops")))
+    n, length = reached.count(), 1
     while n:
-        more = paths.alias("a").join(paths.alias("b"), F.col("a.end_id") == F.col("b.start_id")).select(
-            "a.start_id", "b.end_id", (F.col("a.hops") + F.col("b.hops")).alias("hops")
-        ).where("start_id <> end_id")
-        longer = cut(paths.unionByName(more).groupBy("start_id", "end_id").agg(F.min("hops").alias("hops")))
-        was, n = n, longer.count()
-        paths = longer
+        further = reached.join(step, F.col("end_id") == F.col("at")).select("start_id", F.col("to").alias("end_id"), (F.col("hops") + length).alias("hops"))
+        more = cut(reached.unionByName(further).groupBy("start_id", "end_id").agg(F.min("hops").alias("hops")))
+        was, n, reached = n, more.count(), more
         if n == was:
             break
-    return paths
+        step = cut(step.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to").distinct())
+        length *= 2
+    return reached.where("hops > 0")
 
 
 def keyed_chain(rows: DataFrame, group: list[str], index: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """A pipeline of blocks over the footage graph: one source, filters, joins, one output.
 
-Each bound node is a struct column (``e`` event, ``p`` person, ``v`` vehicle, ``o`` object, ``pl``
-plate, ``c`` clip, ``vid`` video), so a pipeline is one lazy plan in which Catalyst prunes the nested
-columns and pushes the predicates. A filter on a node that an optional join has bound applies after
-that join. Every block states what must be bound; that is checked before anything runs.
+The steps are read first and executed at the end, when the columns are known that they need: each bound
+node (``e`` event, ``p`` person, ``v`` vehicle, ``o`` object, ``pl`` plate, ``c`` clip, ``vid`` video, ``t``
+topic, ``nxt`` next event) is asked from the graph with those columns only and stands in the plan as plain
+columns with its name as prefix, so filters reach its scan. A filter on a node that an optional join has
+bound applies after that join. Every block states what must be bound; that is checked before anything runs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import json
 import shlex
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -67,11 +67,10 @@ DEFAULT_OUTPUT = {
     "events": "return_events", "people": "return_people", "vehicles": "return_vehicles", "objects": "return_objects",
     "plates": "return_plates", "clips": "return_clips", "videos": "return_videos",
 }
-_IN_FULL = ["with_clip", "with_people", "with_topic", "return_events"]
 #: The recipes and their blocks.
 RECIPES: dict[str, list[dict]] = {
-    "all_dui": [{"block": "events"}, {"block": "topic", "query": "dui"}, *({"block": b} for b in _IN_FULL)],
-    "all_miranda": [{"block": "events"}, {"block": "topic", "query": "miranda"}, *({"block": b} for b in _IN_FULL)],
+    "all_dui": [{"block": "events"}, {"block": "topic", "query": "dui"}, {"block": "with_clip"}, {"block": "with_people"}, {"block": "with_topic"}, {"block": "return_events"}],
+    "all_miranda": [{"block": "events"}, {"block": "topic", "query": "miranda"}, {"block": "with_clip"}, {"block": "with_people"}, {"block": "with_topic"}, {"block": "return_events"}],
     "all_arrests": [{"block": "events"}, {"block": "topic", "query": "arrest"}, {"block": "with_clip"}, {"block": "with_people"}, {"block": "return_events"}],
     "all_stops": [{"block": "events"}, {"block": "topic", "query": "traffic stop"}, {"block": "with_clip"}, {"block": "with_people"}, {"block": "return_events"}],
     "events_in_timeframe": [{"block": "events"}, {"block": "timeframe"}, {"block": "with_clip"}, {"block": "with_people"}, {"block": "return_events"}],
@@ -123,14 +122,36 @@ def parse_pipeline(spec: Any) -> list[dict]:
             return parse_pipeline(json.loads(text))
         except json.JSONDecodeError as e:
             raise PipelineError(f"not JSON: {e}") from e
-    if text in RECIPES:
-        return recipe_steps(text)
-    return parse_pipeline([p.strip() for p in text.split("|") if p.strip()])
+    steps = []
+    for part in (p.strip() for p in text.split("|")):
+        if part:
+            steps += _recipe_of(part) or [_step_of(part)]
+    if not steps:
+        raise PipelineError("an empty pipeline")
+    return steps
+
+
+def _words(token: str) -> list[str]:
+    try:
+        return shlex.split(token)
+    except ValueError as e:
+        raise PipelineError(f"{token!r}: {e}") from e
+
+
+def _recipe_of(token: str) -> list[dict] | None:
+    """The steps of a recipe in the short form, ``name key=value ...``."""
+    name, *rest = _words(token)
+    if name not in RECIPES or name in {**SOURCES, **OUTPUTS} and not rest:
+        return None
+    pairs = [w.partition("=") for w in rest]
+    if bad := [k for k, eq, _ in pairs if not eq]:
+        raise PipelineError(f"recipe {name} takes key=value only: {bad[0]!r}")
+    return recipe_steps(name, **{k: v for k, _, v in pairs})
 
 
 def _step_of(token: str) -> dict:
     """One token of the short form: a block, then ``key=value`` or a bare word for its first parameter."""
-    name, *rest = shlex.split(token)
+    name, *rest = _words(token)
     step, names = {"block": name}, _params(name)
     for word in rest:
         key, eq, value = word.partition("=")
@@ -177,23 +198,21 @@ def contains(column: Column, text: str) -> Column:
     return F.contains(F.lower(column), F.lit(text.lower()))
 
 
-def one_of(ids: str, node: str) -> Column:
-    """Whether a node is meant by a local id or the end of its id."""
-    if not ids:
+def one_of(s: Assembly, person_id: str) -> Column:
+    """Whether a person is meant by a local id or the end of its id."""
+    if not person_id:
         raise PipelineError("an empty id")
-    return (F.col(f"{node}.local_id") == ids) | F.endswith(F.col(f"{node}.id"), F.lit(ids))
+    return (s.col("p", "local_id") == person_id) | F.endswith(s.col("p", "id"), F.lit(person_id))
 
 
-@dataclass
-class _State:
-    graph: FootageGraph
-    catalog: Catalog
-    df: DataFrame | None = None
-    source: str = ""
-    bound: list[str] = field(default_factory=list)
-    joined: set[str] = field(default_factory=set)
-    output: str = ""
-    resolved: dict = field(default_factory=dict)
+class Assembly:
+    """A question as it is put together: what is bound, which columns are needed, and the steps to execute."""
+
+    def __init__(self, graph: FootageGraph):
+        self.graph = graph
+        self.bound: list[str] = []
+        self.needs: dict[str, dict[str, None]] = {}
+        self.steps: list[Callable[[DataFrame | None], DataFrame]] = []
 
     def need(self, block: str, *any_of: str) -> str:
         found = next((b for b in any_of if b in self.bound), None)
@@ -201,19 +220,96 @@ class _State:
             raise PipelineError(f"{block} needs {' or '.join(any_of)} in scope")
         return found or ""
 
+    def col(self, node: str, column: str) -> Column:
+        """A column of a bound node, which is thereby needed."""
+        self.needs.setdefault(node, {})[column] = None
+        return F.col(f"{node}_{column}")
+
+    def _named(self, node: str, label: str) -> DataFrame:
+        columns = list(self.needs.get(node) or {"id": None})
+        own = [c for c in columns if c != "edge_role"]
+        df = self.graph.node(label, *(own or ["id"]))
+        return df.select(*[F.col(c).alias(f"{node}_{c}") for c in df.columns])
+
+    def source(self, node: str, label: str) -> None:
+        self.bound.append(node)
+        self.steps.append(lambda _: self._named(node, label))
+
     def where(self, condition: Column) -> None:
-        self.df = self.df.where(condition)
+        self.steps.append(lambda df: df.where(condition))
+
+    def attach(self, node: str, label: str, edge: str, kinds: tuple[str | None, str | None], near: str, far: str, at: str, how: str = "left", role: bool = False) -> None:
+        """Joins the nodes ``node`` at the ``far`` end of an edge, at the bound node ``at`` of its ``near`` end."""
+        key, other = self.col(at, "id"), self.col(node, "id")
+        self.bound.append(node)
+
+        def step(df: DataFrame) -> DataFrame:
+            with_role = role and "edge_role" in self.needs[node]
+            pairs = self.graph.edge(edge, *kinds, role=with_role)
+            pairs = pairs.select(F.col(near).alias("_k"), F.col(far).alias("_n"), *([F.col("role").alias(f"{node}_edge_role")] if with_role else [])).distinct()
+            right = pairs.join(self._named(node, label), F.col("_n") == other).drop("_n")
+            return df.join(right, key == F.col("_k"), how).drop("_k")
+
+        self.steps.append(step)
+
+    def join(self, make: Callable[[], DataFrame], key: Column, on: str, how: str = "left") -> None:
+        """Joins a table of its own, made when the question is executed, by its column ``on``."""
+        self.steps.append(lambda df: df.join(make(), key == F.col(on), how).drop(on))
+
+    def then(self, step: Callable[[DataFrame], DataFrame]) -> None:
+        self.steps.append(step)
+
+    def run(self) -> DataFrame:
+        df = None
+        for step in self.steps:
+            df = step(df)
+        return df
+
+    def with_clip(self) -> None:
+        self.attach("c", "clip", "contains", ("clip", "event"), "dst_id", "src_id", "e")
+
+    def with_people(self, how: str = "left") -> None:
+        self.attach("p", "person", "involves", ("event", "person"), "src_id", "dst_id", "e", how, role=True)
 
-    def attach(self, name: str, label: str, edge: DataFrame, near: str, far: str, key: str, how: str = "left", role: bool = False) -> None:
-        """Joins the nodes at the far end of an edge as the struct ``name``."""
-        node = self.graph.node(label)
-        pairs = edge.select(F.col(near).alias("_k"), F.col(far).alias("_n"), *([F.col("role").alias("_r")] if role else [])).distinct()
-        right = pairs.join(node.select(F.struct(*node.columns).alias(name)), F.col("_n") == F.col(f"{name}.id"))
-        if role:
-            right = right.withColumn(name, F.col(name).withField("edge_role", F.col("_r")))
-        right = right.select("_k", name)
-        self.df = self.df.join(right, F.col(key) == F.col("_k"), how).drop("_k")
-        self.bound.append(name)
+    def with_topics(self) -> None:
+        """Both hops are one optional pattern: the inner join of the two edges comes first."""
+        key, g = self.col("e", "id"), self.graph
+        self.bound.append("t")
+
+        def hops() -> DataFrame:
+            of_type = g.edge("instance_of", role=False).select(F.col("src_id").alias("_k"), F.col("dst_id").alias("_t"))
+            topics = g.edge("in_topic", role=False).select(F.col("src_id").alias("_t"), F.col("dst_id").alias("t_id"))
+            return of_type.join(topics, "_t").join(g.node("topic", "id").select(F.col("id").alias("t_id")), "t_id").select("_k", "t_id").distinct()
+
+        self.join(hops, key, "_k")
+
+    def clock(self, node: str, which: str) -> Column:
+        """A clock of a node: its own text, else its milliseconds."""
+        ms = self.col(node, f"{which}_ms")
+        return F.coalesce(self.col(node, f"{which}_timestamp"), F.when(ms.isNotNull(), format_clock(ms)))
+
+    def clocks(self, node: str) -> list[Column]:
+        return [self.clock(node, w).alias(f"{w}_timestamp") for w in ("start", "end")]
+
+    def named(self, node: str, **columns: str) -> list[Column]:
+        return [self.col(node, c).alias(name) for name, c in columns.items()]
+
+    def plain(self, node: str, *columns: str) -> list[Column]:
+        return [self.col(node, c).alias(c) for c in columns]
+
+    def people(self) -> Column:
+        """People as events list them, with their role on the event."""
+        parts = self.named("p", id="local_id", role="edge_role", clothes="clothes", potential_suspect="potential_suspect")
+        return F.collect_set(F.struct(*parts)).alias("people")
+
+    def event_list(self) -> Column:
+        return F.collect_set(F.struct(*self.named("e", type="type"), self.clock("e", "start").alias("start_timestamp"), *self.plain("e", "video_id"))).alias("events")
+
+    def event_columns(self) -> list[Column]:
+        return [*self.named("e", event_id="id", video_id="video_id", source_name="source_name", event_type="type"), *self.clocks("e"), *self.plain("e", "seek_s", "summary")]
+
+    def clip_columns(self) -> list[Column]:
+        return [*self.named("c", clip="local_id"), *self.plain("c", "clip_uri", "splice_uri", "tagged_splice_uri")]
 
 
 def _missing(step: dict, *names: str) -> list[str]:
@@ -233,161 +329,129 @@ def seconds(value: str, name: str) -> float:
     return out
 
 
-def _filter(s: _State, step: dict) -> None:
+def _filter(s: Assembly, step: dict, catalog: Catalog) -> None:
     b = step["block"]
     node = s.need(b, *FILTERS[b][1])
+    given = lambda *names: _missing(step, *names)
     if b == "topic":
-        (q,) = _missing(step, "query")
-        s.resolved = s.catalog.resolve(q)
-        if not s.resolved["event_types"]:
+        (q,) = given("query")
+        types = catalog.resolve(q)["event_types"]
+        if not types:
             raise PipelineError(f"no topic or definition matches {q!r}")
-        s.where(F.col("e.type").isin(s.resolved["event_types"]))
+        s.where(s.col("e", "type").isin(types))
     elif b == "event_type":
-        s.where(F.col("e.type") == _missing(step, "event_type")[0])
+        s.where(s.col("e", "type") == given("event_type")[0])
     elif b == "video":
-        s.where(F.col("vid.id" if node == "vid" else f"{node}.video_id") == _missing(step, "video_id")[0])
+        s.where(s.col(node, "id" if node == "vid" else "video_id") == given("video_id")[0])
     elif b == "timeframe":
-        start, end = _missing(step, "start", "end")
-        s.where(F.col("e.seek_s").between(seconds(start, "start"), seconds(end, "end")))
+        start, end = given("start", "end")
+        s.where(s.col("e", "seek_s").between(seconds(start, "start"), seconds(end, "end")))
     elif b == "at_time":
-        s.where(F.abs(F.col("e.seek_s") - seconds(_missing(step, "timestamp")[0], "timestamp")) <= 30)
+        s.where(F.abs(s.col("e", "seek_s") - seconds(given("timestamp")[0], "timestamp")) <= 30)
     elif b == "role":
-        s.where(F.col("p.role") == _missing(step, "role")[0])
+        s.where(s.col("p", "role") == given("role")[0])
     elif b in ("potential_suspect", "is_cop"):
-        s.where(F.col(f"p.{b}"))
+        s.where(s.col("p", b))
     elif b == "clothes":
-        s.where(contains(F.col("p.clothes"), _missing(step, "clothes")[0]))
+        s.where(contains(s.col("p", "clothes"), given("clothes")[0]))
     elif b == "person_id":
-        s.where(one_of(_missing(step, "person_id")[0], "p"))
+        s.where(one_of(s, given("person_id")[0]))
     elif b == "vehicle_color":
-        s.where(contains(F.col("v.color"), _missing(step, "color")[0]))
+        s.where(contains(s.col("v", "color"), given("color")[0]))
     elif b == "plate":
-        s.where(F.contains(F.col("pl.text" if node == "pl" else "v.plate"), F.lit(_missing(step, "text")[0].upper())))
+        s.where(F.contains(s.col("pl", "text") if node == "pl" else s.col("v", "plate"), F.lit(given("text")[0].upper())))
     elif b == "object_label":
-        s.where(contains(F.col("o.label"), _missing(step, "label")[0]))
+        s.where(contains(s.col("o", "label"), given("label")[0]))
     elif b == "transcript":
-        s.where(contains(F.col("c.transcript"), _missing(step, "phrase")[0]))
+        s.where(contains(s.col("c", "transcript"), given("phrase")[0]))
 
 
-def _join(s: _State, step: dict) -> None:
-    b, g = step["block"], s.graph
-    if b in s.joined:
+def _join(s: Assembly, step: dict, joined: set[str]) -> None:
+    b = step["block"]
+    if b in joined:
         return
     node = s.need(b, *JOINS[b][1])
-    s.joined.add(b)
-    involves: Callable[[str], DataFrame] = lambda kind: g.edge("involves", "event", kind)
+    joined.add(b)
     if b == "with_clip" and "c" not in s.bound:
-        s.attach("c", "clip", g.edge("contains", "clip", "event"), "dst_id", "src_id", "e.id")
+        s.with_clip()
     elif b == "with_people" and "p" not in s.bound:
-        s.attach("p", "person", involves("person"), "src_id", "dst_id", "e.id", role=True)
+        s.with_people()
     elif b == "with_vehicles" and "v" not in s.bound:
-        s.attach("v", "vehicle", involves("vehicle"), "src_id", "dst_id", "e.id")
+        s.attach("v", "vehicle", "involves", ("event", "vehicle"), "src_id", "dst_id", "e")
     elif b == "with_objects" and "o" not in s.bound:
-        s.attach("o", "object", involves("object"), "src_id", "dst_id", "e.id")
+        s.attach("o", "object", "involves", ("event", "object"), "src_id", "dst_id", "e")
     elif b == "with_topic":
-        # Both hops are one optional pattern: the inner join of the two edges comes first.
-        hops = g.edge("instance_of").select(F.col("src_id").alias("_k"), F.col("dst_id").alias("_t")).join(
-            g.edge("in_topic").select(F.col("src_id").alias("_t"), F.col("dst_id").alias("_n")), "_t"
-        ).join(g.node("topic").select(F.col("id").alias("_n"), F.struct("id", "title").alias("t")), "_n").select("_k", "t").distinct()
-        s.df = s.df.join(hops, F.col("e.id") == F.col("_k"), "left").drop("_k")
-        s.bound.append("t")
+        s.with_topics()
     elif b == "with_events" and "e" not in s.bound:
-        s.attach("e", "event", involves({"p": "person", "o": "object", "v": "vehicle"}[node]), "dst_id", "src_id", f"{node}.id")
+        s.attach("e", "event", "involves", ("event", {"p": "person", "o": "object", "v": "vehicle"}[node]), "dst_id", "src_id", node)
     elif b == "involving_person":
         wanted = _missing(step, "person_id")[0]
         if "p" not in s.bound:
-            s.attach("p", "person", involves("person"), "src_id", "dst_id", "e.id", "inner", role=True)
-        s.where(one_of(wanted, "p"))
+            s.with_people("inner")
+        s.where(one_of(s, wanted))
     elif b == "involving_object":
         wanted = _missing(step, "label")[0]
         if "o" not in s.bound:
-            s.attach("o", "object", involves("object"), "src_id", "dst_id", "e.id", "inner")
-        s.where(contains(F.col("o.label"), wanted))
+            s.attach("o", "object", "involves", ("event", "object"), "src_id", "dst_id", "e", "inner")
+        s.where(contains(s.col("o", "label"), wanted))
     elif b == "continues":
-        s.attach("nxt", "event", g.edge("continues"), "src_id", "dst_id", "e.id")
-
-
-def clocks(node: str) -> list[Column]:
-    """The clocks of a node, from its own texts or its milliseconds."""
-    have = lambda c: F.coalesce(F.col(f"{node}.{c}_timestamp"), F.when(F.col(f"{node}.{c}_ms").isNotNull(), format_clock(F.col(f"{node}.{c}_ms"))))
-    return [have("start").alias("start_timestamp"), have("end").alias("end_timestamp")]
+        s.attach("nxt", "event", "continues", (None, None), "src_id", "dst_id", "e")
 
 
-def people_struct(node: str, edge_role: bool) -> Column:
-    """A person as events list it, with the role on the event if the edge has one."""
-    role = F.coalesce(f"{node}.edge_role", f"{node}.role") if edge_role else F.col(f"{node}.role")
-    return F.struct(F.col(f"{node}.local_id").alias("id"), role.alias("role"), *[F.col(f"{node}.{x}") for x in ("clothes", "description", "is_cop")])
-
-
-def _output(s: _State) -> DataFrame:
-    df, b = s.df, s.output
+def _output(s: Assembly, b: str) -> None:
     s.need(b, *OUTPUTS[b])
+    last = F.asc_nulls_last
     if b == "count":
-        return df.agg(F.count("*").alias("n"))
-    if b == "count_by_type":
-        return df.groupBy(F.col("e.type").alias("event_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
-    if b == "count_by_video":
-        keys = [F.col("e.video_id"), F.col("e.source_name"), F.col("e.type").alias("event_type")]
-        return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "video_id", "event_type")
-    if b == "return_events":
-        keys = [
-            F.col("e.id").alias("event_id"), F.col("e.video_id"), F.col("e.source_name"), F.col("e.type").alias("event_type"),
-            *clocks("e"), F.col("e.seek_s"), F.col("e.summary"),
-        ]
-        if "c" in s.bound:
-            keys += [F.col("c.local_id").alias("clip"), *[F.col(f"c.{x}") for x in ("clip_uri", "splice_uri", "tagged_splice_uri")]]
-        sets = []
-        if "p" in s.bound:
-            sets.append(F.collect_set(people_struct("p", _has(df, "p", "edge_role"))).alias("people"))
+        s.then(lambda df: df.agg(F.count("*").alias("n")))
+    elif b == "count_by_type":
+        keys = s.named("e", event_type="type")
+        s.then(lambda df: df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type"))
+    elif b == "count_by_video":
+        keys = s.named("e", video_id="video_id", source_name="source_name", event_type="type")
+        s.then(lambda df: df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy("video_id", F.desc("n"), "event_type", "source_name"))
+    elif b == "return_events":
+        keys = [*s.event_columns(), *(s.clip_columns() if "c" in s.bound else [])]
+        sets = [s.people()] if "p" in s.bound else []
         if "v" in s.bound:
-            sets.append(F.collect_set(F.struct("v.id", "v.color", "v.plate")).alias("vehicles"))
+            sets.append(F.collect_set(F.struct(*s.plain("v", "id", "color", "plate"))).alias("vehicles"))
         if "o" in s.bound:
-            sets.append(F.collect_set(F.struct("o.id", "o.label")).alias("objects"))
+            sets.append(F.collect_set(F.struct(*s.named("o", id="local_id", label="label"))).alias("objects"))
         if "t" in s.bound:
-            sets.append(F.array_sort(F.collect_set("t.id")).alias("topics"))
+            sets.append(F.array_sort(F.collect_set("t_id")).alias("topics"))
         if "nxt" in s.bound:
-            sets.append(F.array_sort(F.collect_set(F.coalesce("nxt.start_timestamp", F.when(F.col("nxt.start_ms").isNotNull(), format_clock(F.col("nxt.start_ms")))))).alias("continues_to"))
-        out = df.groupBy(*keys).agg(*sets) if sets else df.select(*keys).distinct()
-        return out.orderBy(F.asc_nulls_last("video_id"), F.asc_nulls_last("seek_s"), "event_id")
-    if b == "return_people":
+            sets.append(F.array_sort(F.collect_set(s.clock("nxt", "start"))).alias("continues_to"))
+        s.then(lambda df: (df.groupBy(*keys).agg(*sets) if sets else df.select(*keys).distinct()).orderBy(last("video_id"), last("seek_s"), "event_id"))
+    elif b == "return_people":
         keys = [
-            F.col("p.id").alias("_id"), F.col("p.local_id").alias("person_id"), F.col("p.video_id"), F.col("p.role"), F.col("p.is_cop"), F.col("p.potential_suspect"),
-            F.col("p.clothes"), F.col("p.description"), F.col("p.suspect_snapshot").alias("snapshot"), F.col("p.suspect_at"), F.col("p.suspect_event"),
+            *s.named("p", _id="id", person_id="local_id"), *s.plain("p", "video_id", "role", "is_cop", "potential_suspect", "clothes", "description"),
+            *s.named("p", snapshot="suspect_snapshot", suspect_at="suspect_at", suspect_event="suspect_event"),
         ]
-        out = df.groupBy(*keys).agg(F.collect_set(_event_struct()).alias("events")) if "e" in s.bound else df.select(*keys).distinct()
-        return out.orderBy(F.asc_nulls_last("video_id"), F.asc_nulls_last("person_id")).drop("_id")
-    if b == "return_vehicles":
-        return df.select(F.col("v.id").alias("vehicle_id"), "v.video_id", "v.color", "v.plate", "v.analysis").orderBy(F.asc_nulls_last("video_id"), "vehicle_id")
-    if b == "return_plates":
+        sets = [s.event_list()] if "e" in s.bound else []
+        s.then(lambda df: (df.groupBy(*keys).agg(*sets) if sets else df.select(*keys).distinct()).orderBy(last("video_id"), last("person_id")).drop("_id"))
+    elif b == "return_vehicles":
+        out = [*s.named("v", vehicle_id="id"), *s.plain("v", "video_id", "color", "plate", "analysis")]
+        s.then(lambda df: df.select(*out).orderBy(last("video_id"), "vehicle_id"))
+    elif b == "return_plates":
         if "v" not in s.bound:
-            s.attach("v", "vehicle", s.graph.edge("has_plate", "vehicle", "plate"), "dst_id", "src_id", "pl.id")
-        return s.df.select(
-            F.col("pl.text").alias("plate"), "pl.confidence", "pl.video_id", F.col("v.color").alias("vehicle_color"), F.col("v.id").alias("vehicle_id")
-        ).orderBy(F.asc_nulls_last("video_id"), "plate")
-    if b == "return_objects":
-        keys = [F.col("o.id").alias("object_id"), F.col("o.video_id"), F.col("o.label"), F.col("o.distinctive")]
-        out = df.groupBy(*keys).agg(F.collect_set(_event_struct()).alias("events")) if "e" in s.bound else df.select(*keys)
-        return out.orderBy(F.asc_nulls_last("video_id"), "object_id")
-    if b == "return_clips":
-        cols = [F.col("c.video_id"), F.col("c.local_id").alias("clip"), *clocks("c"), *[F.col(f"c.{x}") for x in ("summary", "clip_uri", "splice_uri", "tagged_splice_uri", "audio_uri")]]
-        return df.select(*cols, F.col("c.index").alias("_i")).orderBy(F.asc_nulls_last("video_id"), F.asc_nulls_last("_i")).drop("_i")
-    people = s.graph.node("person").groupBy(F.col("video_id").alias("_v")).agg(F.countDistinct("id").alias("people"))
-    clips = s.graph.node("clip").groupBy(F.col("video_id").alias("_c")).agg(F.countDistinct("id").cast("int").alias("clips"))
-    return (
-        df.select(F.col("vid.id").alias("video_id"), "vid.source_name", "vid.duration_s", F.col("vid.clip_count"), "vid.status")
-        .join(people, F.col("video_id") == F.col("_v"), "left")
-        .join(clips, F.col("video_id") == F.col("_c"), "left")
-        .select("video_id", "source_name", "duration_s", F.coalesce("clip_count", "clips").alias("clip_count"), "status", F.coalesce("people", F.lit(0)).alias("people"))
-        .orderBy("video_id")
-    )
-
-
-def _has(df: DataFrame, struct: str, name: str) -> bool:
-    return name in df.schema[struct].dataType.fieldNames()
-
-
-def _event_struct() -> Column:
-    return F.struct(F.col("e.id"), F.col("e.type"), *clocks("e"), F.col("e.seek_s"))
+            s.attach("v", "vehicle", "has_plate", ("vehicle", "plate"), "dst_id", "src_id", "pl")
+        out = [*s.named("pl", plate="text"), *s.plain("pl", "confidence", "video_id"), *s.named("v", vehicle_color="color", vehicle_id="id")]
+        s.then(lambda df: df.select(*out).orderBy(last("video_id"), "plate", "vehicle_id"))
+    elif b == "return_objects":
+        keys = [*s.named("o", _id="id", object_id="local_id"), *s.plain("o", "video_id", "label", "distinctive")]
+        sets = [s.event_list()] if "e" in s.bound else []
+        s.then(lambda df: (df.groupBy(*keys).agg(*sets) if sets else df.select(*keys)).orderBy(last("video_id"), "_id").drop("_id"))
+    elif b == "return_clips":
+        out = [*s.plain("c", "video_id"), *s.named("c", clip="local_id"), *s.clocks("c"), *s.plain("c", "summary", "clip_uri", "splice_uri", "tagged_splice_uri", "audio_uri"), *s.named("c", _i="index")]
+        s.then(lambda df: df.select(*out).orderBy(last("video_id"), last("_i"), "clip").drop("_i"))
+    else:
+        out = [*s.named("vid", video_id="id"), *s.plain("vid", "source_name", "duration_s", "clip_count", "status")]
+        people = count_of(s.graph, "has_person", "person", "people")
+        s.then(lambda df: df.select(*out).join(people, "video_id", "left").fillna({"people": 0}).orderBy("video_id"))
+
+
+def count_of(g: FootageGraph, edge: str, kind: str, name: str) -> DataFrame:
+    """``video_id, name``: how many nodes of a kind each video has, counted before any join."""
+    return g.edge(edge, "video", kind, role=False).groupBy(F.col("src_id").alias("video_id")).agg(F.countDistinct("dst_id").alias(name))
 
 
 def assemble(graph: FootageGraph, spec: Any, catalog: Catalog | None = None) -> DataFrame:
@@ -401,23 +465,22 @@ def assemble(graph: FootageGraph, spec: Any, catalog: Catalog | None = None) ->
     for step in steps:
         if _kind(step["block"]) is None:
             raise PipelineError(f"unknown block {step['block']!r}")
-    s = _State(graph, catalog or Catalog())
+    s, source, output, joined = Assembly(graph), "", "", set()
     for step in steps:
         b = step["block"]
         kind = _kind(b)
         if kind == "source":
-            if s.source:
+            if source:
                 raise PipelineError(f"a second source: {b}")
-            name, label = SOURCES[b]
-            node = graph.node(label)
-            s.source, s.df, s.bound = b, node.select(F.struct(*node.columns).alias(name)), [name]
-        elif not s.source:
+            source = b
+            s.source(*SOURCES[b])
+        elif not source:
             raise PipelineError(f"{b} comes before any source")
         elif kind == "filter":
-            _filter(s, step)
+            _filter(s, step, catalog or Catalog())
         elif kind == "join":
-            _join(s, step)
+            _join(s, step, joined)
         else:
-            s.output = b
-    s.output = s.output or DEFAULT_OUTPUT[s.source]
-    return _output(s)
+            output = b
+    _output(s, output or DEFAULT_OUTPUT[source])
+    return s.run()

@@ -1,4 +1,8 @@
-"""The ready-made questions over the footage graph; each returns a lazy DataFrame in a fixed order."""
+"""The ready-made questions over the footage graph; each returns a lazy DataFrame in a fixed order.
+
+The columns and their names are those of the question; ``event_id``, ``id`` and the like are added where
+rows would have no key without them.
+"""
 
 from __future__ import annotations
 
@@ -7,95 +11,96 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import parse_seconds
 from ..operators.windows import event_chains
-from .blocks import clocks, contains, people_struct
+from .blocks import Assembly, contains, count_of, one_of
 from .graph import FootageGraph
 
 #: Events that ``event_at_time`` gives.
 NEAREST = 8
 
 
-def _events(g: FootageGraph, event_type: str = "", video_id: str = "") -> DataFrame:
-    e = g.node("event")
-    if event_type:
-        e = e.where(F.col("type") == event_type)
-    if video_id:
-        e = e.where(F.col("video_id") == video_id)
-    return e.select(F.struct(*e.columns).alias("e"))
-
-
-def _with_people(g: FootageGraph, df: DataFrame, how: str = "left") -> DataFrame:
-    p = g.node("person")
-    edges = g.edge("involves", "event", "person").select("src_id", "dst_id", F.col("role").alias("_r")).distinct()
-    right = edges.join(p.select(F.struct(*p.columns).alias("p")), F.col("dst_id") == F.col("p.id")).withColumn("p", F.col("p").withField("edge_role", F.col("_r")))
-    return df.join(right.select("src_id", "p"), F.col("e.id") == F.col("src_id"), how).drop("src_id")
-
+def _events(g: FootageGraph, event_type: str = "", video_id: str = "") -> Assembly:
+    s = Assembly(g)
+    s.source("e", "event")
+    for column, wanted in (("type", event_type), ("video_id", video_id)):
+        if wanted.strip():
+            s.where(s.col("e", column) == wanted.strip())
+    return s
 
-def _with_clip(g: FootageGraph, df: DataFrame) -> DataFrame:
-    c = g.node("clip")
-    right = g.edge("contains", "clip", "event").select("src_id", "dst_id").distinct().join(c.select(F.struct(*c.columns).alias("c")), F.col("src_id") == F.col("c.id"))
-    return df.join(right.select("dst_id", "c"), F.col("e.id") == F.col("dst_id"), "left").drop("dst_id")
 
-
-def _event_rows(df: DataFrame, *sets: Column, clip: bool = True) -> DataFrame:
-    keys = [F.col("e.id").alias("event_id"), F.col("e.video_id"), F.col("e.source_name"), F.col("e.type").alias("event_type"), *clocks("e"), F.col("e.seek_s"), F.col("e.summary")]
-    keys += [F.col("c.local_id").alias("clip"), F.col("c.clip_uri"), F.col("c.splice_uri")] if clip else []
-    return df.groupBy(*keys).agg(*sets).orderBy(F.asc_nulls_last("video_id"), F.asc_nulls_last("seek_s"), "event_id")
-
-
-def _people() -> Column:
-    return F.collect_set(people_struct("p", True)).alias("people")
+def _event_rows(s: Assembly, *more: Column, topics: bool = False) -> DataFrame:
+    """Events with their clip and people, by video and time."""
+    s.with_clip()
+    s.with_people()
+    keys, sets = [*s.event_columns(), *more, *s.clip_columns()], [s.people()]
+    if topics:
+        s.with_topics()
+        sets.append(F.array_sort(F.collect_set("t_id")).alias("topics"))
+    s.then(lambda df: df.groupBy(*keys).agg(*sets).orderBy(F.asc_nulls_last("video_id"), F.asc_nulls_last("seek_s"), "event_id"))
+    return s.run()
 
 
 def count_events(g: FootageGraph, event_type: str = "", video_id: str = "") -> DataFrame:
-    return _events(g, event_type, video_id).groupBy(F.col("e.type").alias("event_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    s = _events(g, event_type, video_id)
+    keys = s.named("e", event_type="type")
+    s.then(lambda df: df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type"))
+    return s.run()
 
 
 def events_in_timeframe(g: FootageGraph, start_s: float, end_s: float, event_type: str = "", video_id: str = "") -> DataFrame:
-    found = _events(g, event_type, video_id).where(F.col("e.seek_s").between(start_s, end_s))
-    return _event_rows(_with_people(g, _with_clip(g, found)), _people())
+    s = _events(g, event_type, video_id)
+    s.where(s.col("e", "seek_s").between(start_s, end_s))
+    return _event_rows(s, *s.plain("e", "subject_ids"))
 
 
 def events_by_type(g: FootageGraph, event_type: str, video_id: str = "") -> DataFrame:
-    return _event_rows(_with_people(g, _with_clip(g, _events(g, event_type, video_id))), _people())
+    return _event_rows(_events(g, event_type, video_id))
 
 
 def events_by_types(g: FootageGraph, types: list[str], video_id: str = "") -> DataFrame:
-    topics = g.edge("instance_of").select(F.col("src_id").alias("_e"), F.col("dst_id").alias("_t")).join(
-        g.edge("in_topic").select(F.col("src_id").alias("_t"), F.col("dst_id").alias("topic")), "_t"
-    ).select("_e", "topic").distinct()
-    found = _with_people(g, _with_clip(g, _events(g, video_id=video_id).where(F.col("e.type").isin(list(types)))))
-    found = found.join(topics, F.col("e.id") == F.col("_e"), "left")
-    return _event_rows(found, _people(), F.array_sort(F.collect_set("topic")).alias("topics"))
+    s = _events(g, video_id=video_id)
+    s.where(s.col("e", "type").isin(list(types)))
+    return _event_rows(s, topics=True)
 
 
 def event_at_time(g: FootageGraph, seek_s: float, event_type: str = "") -> DataFrame:
     """The nearest events; the limit comes before the join, so only they are joined."""
-    near = _events(g, event_type).where("e.seek_s is not null").withColumn("delta", F.abs(F.col("e.seek_s") - seek_s))
-    top = near.orderBy("delta", "e.id").limit(NEAREST)
-    rows = _with_people(g, top).groupBy("delta", F.col("e.id").alias("event_id"), F.col("e.video_id"), F.col("e.type").alias("event_type"), F.col("e.seek_s"))
-    return rows.agg(_people()).orderBy("delta", "event_id")
+    s = _events(g, event_type)
+    at, event_id = s.col("e", "seek_s"), s.col("e", "id")
+    delta = F.abs(at - seek_s)
+    s.then(lambda df: df.where(at.isNotNull()).withColumn("seconds_from_query", delta).orderBy("seconds_from_query", event_id).limit(NEAREST))
+    s.with_people()
+    keys, people = [*s.event_columns(), F.col("seconds_from_query")], s.people()
+    s.then(lambda df: df.groupBy(*keys).agg(people).drop("source_name").orderBy("seconds_from_query", "event_id"))
+    return s.run()
 
 
 def event_participants(g: FootageGraph, event_type: str, start_timestamp: str) -> DataFrame:
     """People, vehicles and objects of an event; an event without any keeps one row of nulls."""
-    kinds = [("person", "local_id"), ("vehicle", "color"), ("object", "label")]
+    of = {
+        "person": {"local_id": "name", "clothes": "clothes", "description": "description", "distinctive": "distinctive"},
+        "vehicle": {"local_id": "name", "color": "color", "plate": "plate"},
+        "object": {"local_id": "name", "label": "label", "distinctive": "distinctive"},
+    }
+    told = ("clothes", "description", "plate", "distinctive")
     nodes = None
-    for kind, name in kinds:
-        n = g.node(kind)
-        label = F.coalesce(*[F.col(c) for c in dict.fromkeys(("local_id", name)) if c in n.columns])
-        part = n.select(F.col("id").alias("participant_id"), F.lit(kind).alias("kind"), label.alias("name"))
+    for kind, columns in of.items():
+        n = g.node(kind, "id", *columns)
+        name = F.coalesce("local_id", *[c for c in ("label", "color") if c in n.columns])
+        more = [F.col(c) if c in n.columns else F.lit(None).cast("string").alias(c) for c in told]
+        part = n.select(F.col("id").alias("participant_id"), F.lit(kind).alias("kind"), name.alias("name"), *more)
         nodes = part if nodes is None else nodes.unionByName(part)
-    edges = g.edge("involves").select("src_id", F.col("dst_id").alias("participant_id"), F.col("role").alias("role")).distinct().join(nodes, "participant_id")
-    e = _events(g, event_type).where(F.col("e.start_timestamp") == start_timestamp)
-    return (
-        e.join(edges, F.col("e.id") == F.col("src_id"), "left")
-        .select(F.col("e.id").alias("event_id"), F.col("e.video_id"), "kind", "participant_id", "name", "role")
-        .orderBy("event_id", "kind", "participant_id")
-    )
+    edges = g.edge("involves").select(F.col("src_id").alias("_e"), F.col("dst_id").alias("participant_id"), "role").distinct().join(nodes, "participant_id")
+    s = _events(g, event_type)
+    s.where(s.col("e", "start_timestamp") == start_timestamp.strip())
+    s.join(lambda: edges, s.col("e", "id"), "_e")
+    keys = [*s.named("e", event_id="id", video_id="video_id", event_type="type"), *s.clocks("e"), *s.plain("e", "summary")]
+    s.then(lambda df: df.select(*keys, "kind", "participant_id", "name", "role", *told).orderBy("event_id", "kind", "participant_id"))
+    return s.run()
 
 
 def find_people(g: FootageGraph, clothes: str = "", role: str = "", is_cop: bool | None = None, potential_suspect: bool | None = None) -> DataFrame:
-    p = g.node("person")
+    told = ("role", "is_cop", "potential_suspect", "clothes", "race", "gender", "description", "suspect_snapshot", "suspect_at", "suspect_event")
+    p = g.node("person", "id", "video_id", "local_id", *told)
     if clothes:
         p = p.where(contains(F.col("clothes"), clothes))
     if role:
@@ -103,112 +108,150 @@ def find_people(g: FootageGraph, clothes: str = "", role: str = "", is_cop: bool
     for name, said in (("is_cop", is_cop), ("potential_suspect", potential_suspect)):
         if said is not None:
             p = p.where(F.col(name) == said)
-    return p.select("id", "video_id", F.col("local_id").alias("person_id"), "role", "is_cop", "potential_suspect", "clothes", "description").orderBy("person_id", "id")
+    return p.select("id", "video_id", F.col("local_id").alias("person_id"), *told).orderBy("person_id", "id")
 
 
 def find_potential_suspects(g: FootageGraph) -> DataFrame:
     """Flagged people with the events that list them in that role; the role is part of the join."""
-    p = g.node("person").where("potential_suspect")
-    roles = g.edge("involves", "event", "person").where("role = 'potential_suspect'").select("src_id", "dst_id").distinct()
-    e = g.node("event").select(F.col("id").alias("src_id"), F.struct("id", "type", "seek_s").alias("e"))
+    told = {"clothes": "clothes", "description": "description", "suspect_snapshot": "snapshot", "suspect_reason": "reason", "suspect_at": "first_tagged_at", "suspect_event": "first_tagged_event"}
+    p = g.node("person", "id", "video_id", "local_id", "potential_suspect", *told).where("potential_suspect")
+    roles = g.edge("involves", "event", "person").where("role = 'potential_suspect'").select(F.col("src_id").alias("_e"), "dst_id").distinct()
+    e = Assembly(g)
+    e.source("e", "event")
+    of_event = [*e.named("e", _e="id", type="type"), e.clock("e", "start").alias("start_timestamp")]
+    e.then(lambda df: df.select(*of_event))
+    events = roles.join(e.run(), "_e").groupBy("dst_id").agg(F.collect_set(F.struct("type", "start_timestamp")).alias("events"))
     return (
-        p.join(roles.join(e, "src_id"), p["id"] == F.col("dst_id"), "left")
-        .groupBy("id", "video_id", F.col("local_id").alias("person_id"), "clothes", "suspect_reason" if "suspect_reason" in p.columns else F.lit(None).cast("string").alias("suspect_reason"))
-        .agg(F.collect_set("e").alias("events"))
+        p.join(events, p["id"] == F.col("dst_id"), "left")
+        .select("id", "video_id", F.col("local_id").alias("person_id"), *[F.col(c).alias(n) for c, n in told.items()], "events")
         .orderBy("video_id", "id")
     )
 
 
 def person_timeline(g: FootageGraph, person_id: str) -> DataFrame:
-    found = _with_people(g, _events(g), "inner").where((F.col("p.local_id") == person_id) | F.endswith(F.col("p.id"), F.lit(person_id)))
-    return found.select(
-        F.col("p.id").alias("person"), F.col("e.id").alias("event_id"), F.col("e.video_id"), F.col("e.type").alias("event_type"), F.col("e.seek_s"), F.col("p.edge_role").alias("role")
-    ).orderBy(F.asc_nulls_last("seek_s"), "event_id", "person")
+    s = _events(g)
+    s.with_people("inner")
+    s.where(one_of(s, person_id.strip()))
+    out = [
+        *s.named("p", person="id", person_id="local_id", person_role="role"), *s.named("e", event_id="id", video_id="video_id", event_type="type"),
+        *s.clocks("e"), *s.plain("e", "seek_s", "summary"), *s.named("p", involves_role="edge_role"),
+    ]
+    s.then(lambda df: df.select(*out).orderBy(F.asc_nulls_last("seek_s"), "event_id", "person"))
+    return s.run()
 
 
 def find_vehicles(g: FootageGraph, color: str = "", plate: str = "") -> DataFrame:
-    v = g.node("vehicle")
+    v = g.node("vehicle", "id", "video_id", "color", "plate", "analysis")
     if color:
         v = v.where(contains(F.col("color"), color))
     if plate:
         v = v.where(F.contains(F.col("plate"), F.lit(plate.upper())))
-    texts = g.edge("has_plate", "vehicle", "plate").select("src_id", "dst_id").distinct().join(g.node("plate").select(F.col("id").alias("dst_id"), "text"), "dst_id")
+    texts = g.edge("has_plate", "vehicle", "plate", role=False).join(g.node("plate", "id", "text").select(F.col("id").alias("dst_id"), "text"), "dst_id")
     texts = texts.groupBy("src_id").agg(F.array_sort(F.collect_list("text")).alias("plates"))
     return (
         v.join(texts, v["id"] == F.col("src_id"), "left")
-        .select("id", "video_id", "color", "plate", "analysis", F.coalesce("plates", F.array().cast("array<string>")).alias("plates"))
-        .orderBy("video_id", "id")
+        .select(F.col("id").alias("vehicle_id"), "video_id", "color", "plate", "analysis", F.coalesce("plates", F.array().cast("array<string>")).alias("plates"))
+        .orderBy("video_id", "vehicle_id")
     )
 
 
 def find_plates(g: FootageGraph, text: str = "") -> DataFrame:
-    pl = g.node("plate").select(F.col("id").alias("plate_id"), "text", "confidence", F.col("video_id"))
+    pl = g.node("plate", "id", "text", "confidence", "video_id")
     if text:
         pl = pl.where(F.contains("text", F.lit(text.upper())))
-    owners = g.edge("has_plate", "vehicle", "plate").select("src_id", F.col("dst_id").alias("plate_id")).distinct()
-    v = g.node("vehicle").select(F.col("id").alias("src_id"), F.col("color").alias("vehicle_color"))
-    return pl.join(owners.join(v, "src_id"), "plate_id", "left").select("text", "confidence", "video_id", F.col("src_id").alias("vehicle_id"), "vehicle_color").orderBy("video_id", "text", "vehicle_id")
+    owners = g.edge("has_plate", "vehicle", "plate", role=False)
+    v = g.node("vehicle", "id", "color").select(F.col("id").alias("src_id"), F.col("color").alias("vehicle_color"))
+    owned = owners.join(v, "src_id").withColumnRenamed("dst_id", "id")
+    return pl.join(owned, "id", "left").select(F.col("text").alias("plate"), "confidence", "video_id", "vehicle_color", F.col("src_id").alias("vehicle_id")).orderBy("video_id", "plate", "vehicle_id")
 
 
 def find_objects(g: FootageGraph, label: str = "") -> DataFrame:
-    o = g.node("object")
+    o = g.node("object", "id", "video_id", "local_id", "label", "distinctive")
     o = o.where(contains(F.col("label"), label)) if label else o
-    return o.select("id", "video_id", "label", "distinctive").orderBy("video_id", "id")
+    return o.select("id", "video_id", F.col("local_id").alias("object_id"), "label", "distinctive").orderBy("video_id", "id")
 
 
 def object_appearances(g: FootageGraph, label: str) -> DataFrame:
     """Clips and events of each object; each branch is aggregated before the join, so they do not multiply."""
-    o = g.node("object").where(contains(F.col("label"), label))
-    clips = g.edge("contains", "clip", "object").select("dst_id", "src_id").distinct().join(g.node("clip").select(F.col("id").alias("src_id"), "local_id"), "src_id")
-    clips = clips.groupBy(F.col("dst_id").alias("_c")).agg(F.array_sort(F.collect_set("local_id")).alias("clips"))
-    events = g.edge("involves", "event", "object").select("dst_id", "src_id").distinct().join(g.node("event").select(F.col("id").alias("src_id"), "type", "seek_s"), "src_id")
-    events = events.groupBy(F.col("dst_id").alias("_e")).agg(F.collect_set(F.struct(F.col("src_id").alias("id"), "type", "seek_s")).alias("events"))
+    wanted = label.strip()
+    o = g.node("object", "id", "video_id", "local_id", "label", "distinctive").where(contains(F.col("label"), wanted) | (F.col("local_id") == wanted))
+    names = g.node("clip", "id", "local_id").select(F.col("id").alias("src_id"), "local_id")
+    clips = g.edge("contains", "clip", "object", role=False).join(names, "src_id").groupBy(F.col("dst_id").alias("_c")).agg(F.array_sort(F.collect_set("local_id")).alias("clips"))
+    e = Assembly(g)
+    e.source("e", "event")
+    of_event = [*e.named("e", src_id="id", type="type"), e.clock("e", "start").alias("start_timestamp")]
+    e.then(lambda df: df.select(*of_event))
+    events = g.edge("involves", "event", "object", role=False).join(e.run(), "src_id")
+    events = events.groupBy(F.col("dst_id").alias("_e")).agg(F.collect_set(F.struct("type", "start_timestamp")).alias("events"))
     return (
-        o.select("id", "video_id", "label")
-        .join(clips, F.col("id") == F.col("_c"), "left")
+        o.join(clips, F.col("id") == F.col("_c"), "left")
         .join(events, F.col("id") == F.col("_e"), "left")
-        .select("id", "video_id", "label", "clips", "events")
+        .select("id", "video_id", F.col("local_id").alias("object_id"), "label", "distinctive", "clips", "events")
         .orderBy("video_id", "id")
     )
 
 
-def _clip_rows(c: DataFrame) -> DataFrame:
-    at = c.select(F.struct(*c.columns).alias("c"))
-    return at.select("c.id", "c.video_id", F.col("c.local_id").alias("clip"), F.col("c.index"), *clocks("c"), "c.transcript", "c.summary", "c.clip_uri")
+def _clips(g: FootageGraph) -> Assembly:
+    s = Assembly(g)
+    s.source("c", "clip")
+    return s
+
+
+def _clip_rows(s: Assembly, *order: str, more: tuple[str, ...] = ("summary",)) -> DataFrame:
+    out = [*s.plain("c", "id", "video_id"), *s.named("c", clip="local_id", index="index"), *s.clocks("c"), *s.plain("c", *more, "clip_uri", "splice_uri", "tagged_splice_uri")]
+    s.then(lambda df: df.select(*out).orderBy(*[F.asc_nulls_last(c) for c in order], "id"))
+    return s.run()
 
 
 def search_transcript(g: FootageGraph, phrase: str) -> DataFrame:
-    return _clip_rows(g.node("clip").where(contains(F.col("transcript"), phrase))).orderBy(F.asc_nulls_last("index"), "id")
+    s = _clips(g)
+    s.where(contains(s.col("c", "transcript"), phrase.strip()))
+    return _clip_rows(s, "index")
 
 
 def clip_at_timestamp(g: FootageGraph, timestamp: str, video_id: str = "") -> DataFrame:
     """Clips that cover a clock, both ends included, so an overlap gives two per video."""
     ms = int((parse_seconds(timestamp) or 0) * 1000)
-    c = g.node("clip").where(F.lit(ms).between(F.col("start_ms"), F.col("end_ms")))
-    return _clip_rows(c.where(F.col("video_id") == video_id) if video_id else c).orderBy("video_id", F.asc_nulls_last("index"), "id")
+    s = _clips(g)
+    s.where(F.lit(ms).between(s.col("c", "start_ms"), s.col("c", "end_ms")))
+    if video_id:
+        s.where(s.col("c", "video_id") == video_id)
+    return _clip_rows(s, "video_id", "index")
+
+
+def clip_attachments(g: FootageGraph, video_id: str = "", clip: str = "") -> DataFrame:
+    s = _clips(g)
+    if video_id.strip():
+        s.where(s.col("c", "video_id") == video_id.strip())
+    if clip.strip():
+        s.where((s.col("c", "local_id") == clip.strip()) | F.endswith(s.col("c", "id"), F.lit(clip.strip())))
+    return _clip_rows(s, "video_id", "index", more=("audio_uri",))
 
 
 def event_chain(g: FootageGraph, event_type: str = "") -> DataFrame:
-    """Every pair of an event and one that continues it over one or more steps, with the number of steps."""
-    e = g.node("event").select(F.col("id"), "video_id", F.col("type"))
-    pairs = event_chains(g.edge("continues").select("src_id", "dst_id").distinct())
-    out = pairs.join(e.select(F.col("id").alias("start_id"), "video_id", F.col("type").alias("event_type")), "start_id").join(e.select(F.col("id").alias("end_id")), "end_id")
-    out = out.where(F.col("event_type") == event_type) if event_type else out
-    return out.select("video_id", "event_type", "start_id", "end_id", "hops").orderBy("video_id", "start_id", "hops", "end_id")
+    """Every pair of an event and one that continues it over one or more steps, with the number of steps.
+
+    Only the wanted starts are followed; the pairs of other events are never made.
+    """
+    s = _events(g, event_type)
+    start = [*s.named("e", start_id="id", video_id="video_id", event_type="type"), s.clock("e", "start").alias("chain_start"), *s.plain("e", "seek_s")]
+    s.then(lambda df: df.select(*start))
+    starts = s.run()
+    ends = Assembly(g)
+    ends.source("e", "event")
+    end = [*ends.named("e", end_id="id"), ends.clock("e", "start").alias("chain_end")]
+    ends.then(lambda df: df.select(*end))
+    pairs = event_chains(g.edge("continues", role=False), starts.select("start_id") if event_type else None)
+    out = pairs.join(starts, "start_id").join(ends.run(), "end_id")
+    return out.select("video_id", "event_type", "start_id", "end_id", "chain_start", "chain_end", "hops", "seek_s").orderBy(F.asc_nulls_last("seek_s"), "start_id", "hops", "end_id").drop("seek_s")
 
 
 def list_videos(g: FootageGraph) -> DataFrame:
-    count = lambda label, name: g.node(label).groupBy(F.col("video_id").alias(f"_{name}")).agg(F.countDistinct("id").alias(name))
-    v = g.node("video").select(F.col("id").alias("video_id"), "source_name", "duration_s", "status")
-    for label, name in (("clip", "clips"), ("event", "events"), ("person", "people"), ("vehicle", "vehicles")):
-        v = v.join(count(label, name), F.col("video_id") == F.col(f"_{name}"), "left").drop(f"_{name}").fillna({name: 0})
+    v = g.node("video", "id", "source_name", "duration_s", "clip_count", "status").withColumnRenamed("id", "video_id")
+    for edge, kind, name in (("has_person", "person", "people"), ("has_vehicle", "vehicle", "vehicles")):
+        v = v.join(count_of(g, edge, kind, name), "video_id", "left").fillna({name: 0})
     return v.orderBy("video_id")
 
 
-def clip_attachments(g: FootageGraph, video_id: str, clip: str) -> DataFrame:
-    c = g.node("clip").where((F.col("video_id") == video_id) & ((F.col("local_id") == clip) | F.endswith("id", F.lit(clip))))
-    return c.select("id", "clip_uri", "splice_uri", "tagged_splice_uri", "audio_uri", "index").orderBy("index", "id").drop("index")
-
-
 def inventory(g: FootageGraph) -> DataFrame:
     return g.inventory().orderBy(F.desc("n"), "label")

@@ -1,4 +1,8 @@
-"""The footage graph: a node table per label and an edge table per relationship."""
+"""The footage graph: a node table per label and an edge table per relationship.
+
+A table is a DataFrame or a function of the columns asked for. Tables that are derived from rows with
+repetitions are such functions, so only the columns of a question are read, grouped and shuffled.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +13,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import moment
+from ..functions.clock import format_clock, moment
+from ..functions.text import normal_plate, slug, strip
+from ..operators.links import link_names
+from ..operators.roles import SUBJECT_EVENTS, event_role, first_subjects, tag_people
 from ..sources.tables import table
 
 #: Columns that each label has at least; missing ones are added as nulls.
 NODES: dict[str, str] = {
     "video": "id string, source_name string, source_path string, original_uri string, duration_s double, fps double, width int, height int, size_bytes bigint, ingested_at string, clip_count int, status string",
     "clip": "id string, video_id string, local_id string, index int, start_ms bigint, end_ms bigint, start_timestamp string, end_timestamp string, transcript string, summary string, summary_source string, clip_uri string, splice_uri string, tagged_splice_uri string, audio_uri string",
-    "event": "id string, video_id string, source_name string, clip_id string, type string, title string, summary string, start_ms bigint, end_ms bigint, start_timestamp string, end_timestamp string, seek_s double, cell int, confidence double, source string, evidence string, subject_ids array<string>",
-    "person": "id string, video_id string, local_id string, race string, gender string, hair string, glasses string, clothes string, shoes string, bag string, distinctive string, signature string, description string, role string, is_cop boolean, potential_suspect boolean, suspect_at string, suspect_event string, suspect_snapshot string, also_known_as array<string>, merged_ids array<string>",
+    "event": "id string, video_id string, source_name string, clip_id string, type string, title string, summary string, analysis string, start_ms bigint, end_ms bigint, start_timestamp string, end_timestamp string, seek_s double, cell int, confidence double, source string, evidence string, subject_ids array<string>",
+    "person": "id string, video_id string, local_id string, race string, gender string, hair string, glasses string, clothes string, shoes string, bag string, distinctive string, signature string, description string, role string, is_cop boolean, potential_suspect boolean, suspect_reason string, suspect_at string, suspect_event string, suspect_snapshot string, also_known_as array<string>, merged_ids array<string>",
     "vehicle": "id string, video_id string, local_id string, color string, plate string, analysis string, also_known_as array<string>, merged_ids array<string>",
     "object": "id string, video_id string, local_id string, label string, distinctive string, also_known_as array<string>, merged_ids array<string>",
     "plate": "id string, text string, video_id string, source string, confidence double",
@@ -31,29 +38,31 @@ EDGES: tuple[str, ...] = (
 AUDIT = "correction_note string, corrected_at string"
 
 
-def conform(df: DataFrame, schema: str) -> DataFrame:
-    """``df`` with at least the columns of ``schema``, in their types; further columns are kept."""
-    wanted = [c.strip().split(" ", 1) for c in _split(schema)]
-    have = set(df.columns)
-    known = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in wanted]
-    return df.select(*known, *[c for c in df.columns if c not in {n for n, _ in wanted}])
+Maker = Callable[[tuple[str, ...] | None], DataFrame]
 
 
-def _split(schema: str) -> list[str]:
-    return [p for p in schema.split(", ") if p]
+def conform(df: DataFrame, schema: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``df`` with at least the columns of ``schema``, in their types, and its further ones; or with those of ``only``."""
+    wanted = dict(c.strip().split(" ", 1) for c in schema.split(", ") if c)
+    have = set(df.columns)
+    names = [*wanted, *(c for c in df.columns if c not in wanted)] if only is None else only
+    return df.select(*[(F.col(n) if n in have else F.lit(None)).cast(wanted[n]).alias(n) if n in wanted else F.col(n) for n in names])
 
 
 class Tables(Mapping):
-    """Tables by name, each built when first asked for, so a question plans only what it reads."""
+    """Tables by name, each built when asked for, so a question plans only what it reads."""
 
-    def __init__(self, makers: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, makers: Mapping[str, DataFrame | Maker]):
         self._makers = dict(makers._makers if isinstance(makers, Tables) else makers)
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def pick(self, name: str, columns: tuple[str, ...] | None) -> DataFrame:
         made = self._makers[name]
-        if not isinstance(made, DataFrame):
-            made = self._makers[name] = made()
-        return made
+        if isinstance(made, DataFrame):
+            return made if columns is None else made.select(*columns)
+        return made(columns)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.pick(name, None)
 
     def __iter__(self):
         return iter(self._makers)
@@ -75,12 +84,14 @@ class FootageGraph:
 
     @staticmethod
     def of(spark: SparkSession, nodes: Mapping, edges: Mapping) -> FootageGraph:
-        """A graph of the given tables (DataFrames or functions that make them); missing ones are empty."""
+        """A graph of the given tables (DataFrames, or functions of the columns asked for); missing ones are empty."""
+
+        def table_of(made, schema: str) -> Maker:
+            full = f"{schema}, {AUDIT}"
 
-        def table_of(made, schema: str) -> Callable[[], DataFrame]:
-            def make() -> DataFrame:
-                df = spark.range(0).drop("id") if made is None else made if isinstance(made, DataFrame) else made()
-                return conform(df, f"{schema}, {AUDIT}")
+            def make(columns: tuple[str, ...] | None) -> DataFrame:
+                df = spark.range(0).drop("id") if made is None else made if isinstance(made, DataFrame) else made(columns)
+                return conform(df, full, columns)
 
             return make
 
@@ -89,16 +100,17 @@ class FootageGraph:
             Tables({k: table_of(get(nodes, k), s) for k, s in NODES.items()}), Tables({k: table_of(get(edges, k), _EDGE) for k in EDGES}), spark
         )
 
-    def node(self, label: str) -> DataFrame:
-        return self.nodes[label]
+    def node(self, label: str, *columns: str) -> DataFrame:
+        """The nodes of a label, with all columns or those named, each once."""
+        return self.nodes.pick(label, tuple(dict.fromkeys(columns)) or None)
 
-    def edge(self, name: str, src_kind: str | None = None, dst_kind: str | None = None) -> DataFrame:
-        df = self.edges[name]
-        if src_kind:
-            df = df.where((F.col("src_kind") == src_kind) | F.col("src_kind").isNull())
-        if dst_kind:
-            df = df.where((F.col("dst_kind") == dst_kind) | F.col("dst_kind").isNull())
-        return df
+    def edge(self, name: str, src_kind: str | None = None, dst_kind: str | None = None, role: bool = True) -> DataFrame:
+        """The edges of a name between two kinds; without ``role`` only ``src_id, dst_id``, each pair once."""
+        kinds = [(c, k) for c, k in (("src_kind", src_kind), ("dst_kind", dst_kind)) if k]
+        df = self.edges[name] if role else self.edges.pick(name, ("src_id", "dst_id", *(c for c, _ in kinds)))
+        for c, k in kinds:
+            df = df.where((F.col(c) == k) | F.col(c).isNull())
+        return df if role else df.select("src_id", "dst_id").distinct()
 
     def with_node(self, label: str, df: DataFrame) -> FootageGraph:
         return replace(self, nodes=self.nodes.plus(label, conform(df, f"{NODES[label]}, {AUDIT}")))
@@ -108,7 +120,7 @@ class FootageGraph:
 
     def inventory(self) -> DataFrame:
         """``label, n`` of every label that has nodes."""
-        counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("label"), "n") for k, df in self.nodes.items()]
+        counts = [self.node(k, "id").agg(F.count("*").alias("n")).select(F.lit(k).alias("label"), "n") for k in self.nodes]
         return reduce(DataFrame.unionAll, counts).where("n > 0")
 
     def duplicate_ids(self) -> DataFrame:
@@ -138,10 +150,30 @@ class FootageGraph:
         return FootageGraph(Tables(nodes), Tables(edges), self.spark)
 
 
-def last_write(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key by ``order``: what remains of repeated upserts."""
-    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(last).select("r.*")
+def last_write(rows: DataFrame, key: str, *order: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The last row of each key by ``order``: what remains of repeated upserts.
+
+    Each column is an aggregate of its own, so those that are not used are neither read nor shuffled. Rows
+    that share the last order should be equal; where they differ, the greater value of a column stays.
+    """
+    wanted = [c for c in (columns or rows.columns) if c != key]
+    last = [F.max_by(c, F.struct(*order, c)).alias(c) for c in wanted]
+    kept = rows.where(F.col(key).isNotNull())
+    return kept.groupBy(key).agg(*last) if last else kept.select(key).distinct()
+
+
+def one_of_copies(rows: DataFrame, key: str, varying: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row of each key, whose rows are equal in everything but ``varying``, of which the greatest stays.
+
+    The equal columns are grouping columns, so filters on them reach the scan. ``duplicate_ids`` of the graph
+    shows keys whose rows differ elsewhere.
+    """
+    wanted = [c for c in (columns or rows.columns) if c != key]
+    same, most = [c for c in wanted if c not in varying], [c for c in wanted if c in varying]
+    kept = rows.where(F.col(key).isNotNull())
+    if not most:
+        return kept.select(key, *same).distinct()
+    return kept.groupBy(key, *same).agg(*[F.max(c).alias(c) for c in most])
 
 
 def clip_chain(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,16 +185,15 @@ def clip_chain(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, following
 
 
-def _edge(df: DataFrame, src, src_kind: str, dst, dst_kind: str, role=None) -> DataFrame:
+def _edge(df: DataFrame, src: Column, src_kind: str, dst: Column, dst_kind: str, *more: str) -> DataFrame:
     return df.select(
-        src.alias("src_id"), F.lit(src_kind).alias("src_kind"), dst.alias("dst_id"), F.lit(dst_kind).alias("dst_kind"),
-        (F.lit(None).cast("string") if role is None else role).alias("role"),
-    ).where("src_id is not null and dst_id is not null").distinct()
+        src.alias("src_id"), F.lit(src_kind).alias("src_kind"), dst.alias("dst_id"), F.lit(dst_kind).alias("dst_kind"), F.lit(None).cast("string").alias("role"), *more
+    ).where("src_id is not null and dst_id is not null").distinct()
 
 
 def _name(said: Column) -> Column:
     """A name regardless of case and surrounding blanks."""
-    return F.regexp_replace(F.lower(said), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return strip(F.lower(said))
 
 
 def continues(events: DataFrame, links: DataFrame) -> DataFrame:
@@ -193,45 +224,136 @@ def continues(events: DataFrame, links: DataFrame) -> DataFrame:
     return last.select("src_id", event.alias("src_kind"), "dst_id", event.alias("dst_kind"), F.col("last.note").alias("correction_note"), F.col("last.at").alias("corrected_at"))
 
 
-def graph_of_tables(spark: SparkSession, folder: str) -> FootageGraph:
-    """The graph of the tables of a data folder (``videos, clips, clip_events, continues_links, people_cards, vehicle_cards, event_catalog``)."""
+def seen_in(evidence: Column) -> Column:
+    """The distinct labels that the visual evidence of an event names."""
+    parsed = F.from_json(evidence, "array<struct<modality:string,value:string>>")
+    return F.array_distinct(F.transform(F.filter(parsed, lambda x: (x["modality"] == "visual") & (F.trim(x["value"]) != "")), lambda x: x["value"]))
+
+
+def object_name(label: Column) -> Column:
+    return F.concat(F.lit("object_"), slug(label))
+
+
+def _in_video(video: str, local: Column | str) -> Column:
+    return F.concat(video, F.lit(":"), local)
+
+
+def graph_of_tables(spark: SparkSession, folder: str, subject_types: tuple[str, ...] = SUBJECT_EVENTS) -> FootageGraph:
+    """The graph of a data folder's ``videos, clips, clip_events, continues_links, people_cards, vehicle_cards, event_catalog``.
+
+    The rows of an event are equal but for ``written_at`` and ``confidence``; clips and cards are taken as last
+    written. Objects are what the visual evidence of a video's events names, plates those of its vehicles. People
+    are tagged by the events of ``subject_types``; a topic is the first word of an event type.
+    """
     t = lambda name: table(spark, folder, name)
-    once = lambda df, *columns: df.where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in columns])
 
-    def videos() -> DataFrame:
-        rows = t("videos").withColumn("id", F.col("video_id"))
-        return rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("source_name", "status", "original_uri")], F.max("duration_s").alias("duration_s"))
+    def videos(columns) -> DataFrame:
+        rows = one_of_copies(t("videos").withColumn("id", F.col("video_id")), "id", columns=_known(columns, t("videos")))
+        if columns is not None and "clip_count" not in columns:
+            return rows
+        counts = clips(("id", "video_id")).groupBy(F.col("video_id").alias("id")).agg(F.count("*").cast("int").alias("clip_count"))
+        return rows.join(counts, "id", "left").fillna({"clip_count": 0})
 
-    def clips() -> DataFrame:
-        rows = t("clips").withColumnRenamed("clip_index", "index").where("id is not null")
-        return rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("video_id", "local_id", "index", "start_ms")], *[F.max(c).alias(c) for c in ("end_ms", "transcript", "summary")])
+    def clips(columns) -> DataFrame:
+        rows = t("clips").withColumnRenamed("clip_index", "index")
+        return last_write(rows, "id", "written_at", columns=_known(columns, rows))
 
-    def events() -> DataFrame:
-        rows = t("clip_events").where("id is not null").withColumns(
+    def events(columns) -> DataFrame:
+        rows = t("clip_events").withColumns(
             {"start_ms": moment(F.col("start_ms"), F.col("start_timestamp")), "end_ms": moment(F.col("end_ms"), F.col("end_timestamp"))}
         )
-        one = ("video_id", "source_name", "clip_id", "type", "start_ms", "end_ms", "start_timestamp", "end_timestamp", "seek_s", "summary", "evidence")
-        return rows.groupBy("id").agg(
-            *[F.min(c).alias(c) for c in one], F.max("confidence").alias("confidence"), F.first("people_ids", ignorenulls=True).alias("subject_ids")
-        )
-
-    def people() -> DataFrame:
-        role = F.when(F.col("is_cop"), "officer").when(~F.col("is_cop"), "civilian").otherwise("unknown")
-        return last_write(t("people_cards").drop("description", "signature", "source"), "id", "updated_at", "card_id").withColumn("role", role)
+        return one_of_copies(rows, "id", ("confidence", "written_at"), _known(columns, rows))
+
+    def cards(*columns: str) -> DataFrame:
+        return last_write(t("people_cards").withColumn("potential_suspect", F.lit(False)), "id", "updated_at", "card_id", columns=columns)
+
+    def people(columns) -> DataFrame:
+        """Roles and what explains them need the events; they are joined only where they are asked for."""
+        told = ("role", "potential_suspect", "suspect_reason", "suspect_at", "suspect_event", "suspect_snapshot")
+        if columns is not None and not set(columns) & set(told):
+            return cards(*_known(columns, t("people_cards")))
+        rows = t("people_cards")
+        wanted = rows.columns if columns is None else (*_known(columns, rows), "is_cop", "clothes", "description", "distinctive")
+        return tag_people(cards(*dict.fromkeys(wanted)), subjects())
+
+    def subjects() -> DataFrame:
+        who = events(("id", "video_id", "clip_id", "type", "start_ms", "start_timestamp", "people_ids")).where(F.col("type").isin(*subject_types))
+        listed = who.select("*", F.explode("people_ids").alias("x")).where("x is not null").withColumn("person_id", _in_video("video_id", "x"))
+        about = cards("is_cop", "clothes", "description").withColumnRenamed("id", "person_id")
+        words = clips(("id", "transcript", "start_ms")).select(F.col("id").alias("clip_id"), "transcript", F.col("start_ms").alias("clip_start"))
+        clock = F.coalesce("start_timestamp", format_clock(F.col("start_ms")))
+        return first_subjects(listed.join(about, "person_id").join(words, "clip_id", "left").withColumn("clock", clock), subject_types, ["start_ms", "id"])
+
+    def vehicles(columns) -> DataFrame:
+        rows = t("vehicle_cards").withColumns({"color": F.lower(strip(F.col("color"))), "plate": normal_plate(F.col("plate"))})
+        return one_of_copies(rows, "id", columns=_known(columns, rows))
+
+    def seen() -> DataFrame:
+        """``event_id, clip_id, video_id, label`` of the objects that events name."""
+        rows = events(("id", "clip_id", "video_id", "evidence")).where("video_id is not null")
+        return rows.select(F.col("id").alias("event_id"), "clip_id", "video_id", F.explode(seen_in(F.col("evidence"))).alias("label"))
+
+    def objects(columns) -> DataFrame:
+        rows = seen().groupBy("video_id", object_name(F.col("label")).alias("local_id")).agg(F.min("label").alias("label"))
+        return rows.withColumn("id", _in_video("video_id", "local_id"))
+
+    def plates(columns) -> DataFrame:
+        rows = vehicles(("id", "video_id", "plate")).where("plate <> ''").select("video_id", F.col("plate").alias("text")).distinct()
+        return rows.select(_in_video("video_id", F.concat(F.lit("plate:"), "text")).alias("id"), "text", "video_id", F.lit("vehicle").alias("source"), F.lit(0.6).alias("confidence"))
 
     def topic(c: str) -> Column:
         return F.split_part(c, F.lit("_"), F.lit(1))
 
-    def involves() -> DataFrame:
-        rows = t("clip_events").where("id is not null")
-        node = F.concat("video_id", F.lit(":"), "x")
-        who = _edge(rows.select("id", "video_id", F.explode("people_ids").alias("x")), F.col("id"), "event", node, "person").drop("role")
-        cars = _edge(rows.select("id", "video_id", F.explode("vehicle_ids").alias("x")), F.col("id"), "event", node, "vehicle")
-        return who.join(people().select(F.col("id").alias("dst_id"), "role"), "dst_id", "left").unionByName(cars)
+    def listed(name: str, *columns: str) -> DataFrame:
+        rows = events(("id", "video_id", name, *columns)).where("video_id is not null")
+        return rows.select("id", "video_id", *columns, F.explode(name).alias("x")).where("x is not null").distinct()
+
+    def cars() -> DataFrame:
+        return link_names(listed("vehicle_ids", "clip_id"), vehicles(("id", "video_id", "local_id", "plate")), "plate").select("id", "clip_id", "thing_id")
+
+    def involves(columns) -> DataFrame:
+        roles = columns is None or "role" in columns
+        more = ["type"] if roles else []
+        who = _edge(listed("people_ids", *more), F.col("id"), "event", _in_video("video_id", "x"), "person", *more)
+        if roles:
+            about = people(("id", "is_cop", "potential_suspect")).withColumnRenamed("id", "dst_id")
+            role = event_role(F.col("is_cop"), F.col("potential_suspect"), F.col("type"), subject_types)
+            who = who.drop("role").join(about, "dst_id", "left").withColumn("role", role).select("src_id", "src_kind", "dst_id", "dst_kind", "role")
+        things = seen().select("event_id", _in_video("video_id", object_name(F.col("label"))).alias("x"))
+        return (
+            who.unionByName(_edge(cars(), F.col("id"), "event", F.col("thing_id"), "vehicle"))
+            .unionByName(_edge(things, F.col("event_id"), "event", F.col("x"), "object"))
+        )
+
+    def contains(columns) -> DataFrame:
+        clip, x = F.col("clip_id"), _in_video("video_id", "x")
+        return reduce(
+            DataFrame.unionByName,
+            (
+                _edge(events(("id", "clip_id")), clip, "clip", F.col("id"), "event"),
+                _edge(listed("people_ids", "clip_id"), clip, "clip", x, "person"),
+                _edge(cars(), clip, "clip", F.col("thing_id"), "vehicle"),
+                _edge(seen(), clip, "clip", _in_video("video_id", object_name(F.col("label"))), "object"),
+            ),
+        )
+
+    def of_video(kind: str, nodes: Callable[[tuple], DataFrame]) -> Maker:
+        return lambda columns: _edge(nodes(("id", "video_id")), F.col("video_id"), "video", F.col("id"), kind)
+
+    def has_plate(columns) -> DataFrame:
+        plate = vehicles(("id", "video_id", "plate")).where("plate <> ''").withColumn("p", _in_video("video_id", F.concat(F.lit("plate:"), "plate")))
+        return _edge(plate, F.col("video_id"), "video", F.col("p"), "plate").unionByName(_edge(plate, F.col("id"), "vehicle", F.col("p"), "plate"))
+
+    def typed(*columns: str) -> DataFrame:
+        return events((*columns, "type")).join(t("event_catalog").select(F.col("id").alias("type")), "type")
+
+    def has_type(columns) -> DataFrame:
+        rows = typed("id", "clip_id", "video_id")
+        return _edge(rows, F.col("clip_id"), "clip", F.col("type"), "event_type").unionByName(_edge(rows, F.col("video_id"), "video", F.col("type"), "event_type"))
+
+    def chain(columns) -> tuple[DataFrame, DataFrame]:
+        return clip_chain(clips(("id", "video_id", "index", "start_ms")))
 
-    clip_ids = lambda: t("clips").withColumnRenamed("clip_index", "index").where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("video_id", "index", "start_ms")])
-    event_rows = lambda: t("clip_events").where("id is not null")
-    types = lambda: t("event_catalog")
     return FootageGraph.of(
         spark,
         {
@@ -239,17 +361,30 @@ def graph_of_tables(spark: SparkSession, folder: str) -> FootageGraph:
             "clip": clips,
             "event": events,
             "person": people,
-            "vehicle": lambda: once(t("vehicle_cards"), "video_id", "local_id", "color", "plate", "analysis"),
-            "event_type": types,
-            "topic": lambda: types().select(topic("id").alias("id")).distinct(),
+            "vehicle": vehicles,
+            "object": objects,
+            "plate": plates,
+            "event_type": lambda columns: t("event_catalog"),
+            "topic": lambda columns: t("event_catalog").select(topic("id").alias("id")).distinct().withColumn("title", F.col("id")),
         },
         {
-            "contains": lambda: _edge(event_rows(), F.col("clip_id"), "clip", F.col("id"), "event"),
+            "contains": contains,
             "involves": involves,
-            "instance_of": lambda: _edge(event_rows().join(types().select(F.col("id").alias("type")), "type"), F.col("id"), "event", F.col("type"), "event_type"),
-            "in_topic": lambda: types().select(F.col("id").alias("src_id"), topic("id").alias("dst_id")),
-            "continues": lambda: continues(t("clip_events"), t("continues_links")),
-            "starts_at": lambda: clip_chain(clip_ids())[0],
-            "next": lambda: clip_chain(clip_ids())[1],
+            "has_person": of_video("person", people),
+            "has_vehicle": of_video("vehicle", vehicles),
+            "has_object": of_video("object", objects),
+            "has_plate": has_plate,
+            "has_type": has_type,
+            "instance_of": lambda columns: _edge(typed("id"), F.col("id"), "event", F.col("type"), "event_type"),
+            "in_topic": lambda columns: t("event_catalog").select(F.col("id").alias("src_id"), topic("id").alias("dst_id")),
+            "bundles": lambda columns: t("event_catalog").select(topic("id").alias("src_id"), F.col("id").alias("dst_id")),
+            "continues": lambda columns: continues(t("clip_events"), t("continues_links")),
+            "starts_at": lambda columns: chain(columns)[0],
+            "next": lambda columns: chain(columns)[1],
         },
     )
+
+
+def _known(columns: tuple[str, ...] | None, rows: DataFrame) -> tuple[str, ...] | None:
+    """Those of the columns asked for that the rows have."""
+    return None if columns is None else tuple(c for c in columns if c in rows.columns)

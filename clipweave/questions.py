@@ -1,613 +1,438 @@
-"""Registered queries over the footage graph and its operators, with their SQL twins."""
+"""Registered queries over the footage graph: every block, output and ready-made question, with their SQL twins.
+
+The twins are written from what a block or question means, over tables that are derived from the raw ones in
+SQL; nested results are compared as sorted texts (``twins.flat``).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arrays, clock, text
-from .operators import detect, identity, rules, vision, windows
-from .plans import fixed
+from .operators import windows
+from .plans import dml, fixed
 from .plans.blocks import assemble
-from .plans.graph import FootageGraph, clip_chain, graph_of_tables, last_write
-from .queries import query, sql_clock
-from .sources.media import fingerprint
-from .sources.sinks import upsert, video_transcripts
+from .plans.catalog import Catalog
+from .plans.graph import FootageGraph, clip_chain, graph_of_tables
+from .queries import query
 from .sources.tables import table
-from .streaming.folder import hop_counts
-
-#: The graph's tables in SQL, as ``graph_of_tables`` derives them.
-GRAPH = f"""
-video as (select video_id as id, min(source_name) as source_name, max(duration_s) as duration_s, min(status) as status from videos group by 1),
-clip as (select id, min(video_id) as video_id, min(local_id) as local_id, min(clip_index) as idx, min(start_ms) as start_ms, max(end_ms) as end_ms,
-  max(transcript) as transcript, max(summary) as summary from clips where id is not null group by id),
-event as (select id, min(video_id) as video_id, min(source_name) as source_name, min(clip_id) as clip_id, min(type) as type,
-  min(coalesce(start_ms, {sql_clock("start_timestamp")})) as start_ms, min(start_timestamp) as start_timestamp, min(seek_s) as seek_s,
-  max(confidence) as confidence, min(evidence) as evidence, any_value(people_ids) as people_ids, any_value(vehicle_ids) as vehicle_ids,
-  min(continues_from) as continues_from from clip_events where id is not null group by id),
-person as (select id, video_id, local_id, clothes, hair, is_cop,
-  case when is_cop then 'officer' when not is_cop then 'civilian' else 'unknown' end as role
-  from (select *, row_number() over (partition by id order by updated_at desc nulls last, card_id desc) as place from people_cards where id is not null) where place = 1),
-vehicle as (select id, min(video_id) as video_id, min(local_id) as local_id, min(color) as color, min(plate) as plate from vehicle_cards where id is not null group by id),
-involves as (select distinct id as src_id, video_id || ':' || x as dst_id from (select id, video_id, unnest(people_ids) as x from event) where x is not null),
-involves_vehicle as (select distinct id as src_id, video_id || ':' || x as dst_id from (select id, video_id, unnest(vehicle_ids) as x from event) where x is not null),
-on_event as (select i.src_id, p.* from involves i join person p on p.id = i.dst_id)
-"""
-_PEOPLE = "coalesce(array_to_string(list_sort(list_distinct(list(coalesce(p.local_id, '') || ':' || p.role) filter (p.id is not null))), ','), '')"
-
-
-def with_graph(select: str) -> str:
-    """A statement over the graph's tables; one that begins with a comma goes on with tables of its own."""
-    return f"with {GRAPH.strip()} {select.strip()}"
+from .twins import EVENTS, PEOPLE, SUBJECTS, TOPICS, flat, listing, shown, with_graph
 
 
 def graph(spark: SparkSession, folder: str) -> FootageGraph:
-    return graph_of_tables(spark, folder)
-
+    return graph_of_tables(spark, folder, SUBJECTS)
 
-def _flat(people: str = "people") -> Column:
-    named = F.transform(F.filter(people, lambda x: x["id"].isNotNull() | x["role"].isNotNull()), lambda x: F.concat(F.coalesce(x["id"], F.lit("")), F.lit(":"), x["role"]))
-    return F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("people")
 
+def blocks(name: str, spec: str, sql: str, catalog: bool = False) -> None:
+    """Registers a pipeline as a query."""
 
-@query("src_filter_project", "select event_id, user_id, value from events where event_type = 'click' and value > 50")
-def src_filter_project(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").where("event_type = 'click' and value > 50").select("event_id", "user_id", "value")
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        known = Catalog.of_table(table(spark, folder, "event_catalog")) if catalog else None
+        return flat(assemble(graph(spark, folder), spec, known))
 
+    query(name, with_graph(sql))(run)
 
-@query("count_events_by_type", with_graph("select type as event_type, count(*) as n from event group by 1"))
-def count_events_by_type(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | count_by_type")
 
+_EVENT = f"e.id as event_id, e.video_id, e.source_name, e.type as event_type, {shown('e', 'start')} as start_timestamp, {shown('e', 'end')} as end_timestamp, e.seek_s, e.summary"
+_NO_URI = "cast(null as varchar) as clip_uri, cast(null as varchar) as splice_uri, cast(null as varchar) as tagged_splice_uri"
+_CLIP = f"c.local_id as clip, {_NO_URI}"
+_OF_CLIP = "left join contains k on k.kind = 'event' and k.dst_id = e.id left join clip c on c.id = k.src_id"
+_OF_PEOPLE = "left join on_event p on p.src_id = e.id"
+_OF_TOPIC = "left join topic_of t on t.type = e.type"
 
-@query("count_events_by_video", with_graph("select video_id, source_name, type as event_type, count(*) as n from event group by 1, 2, 3"))
-def count_events_by_video(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | count_by_video")
 
+def _involved(kind: str, alias: str) -> str:
+    return f"left join involves i{alias} on i{alias}.kind = '{kind}' and i{alias}.src_id = e.id left join {kind} {alias} on {alias}.id = i{alias}.dst_id"
 
-@query("count_after_fanout", with_graph("select count(*) as n from event e left join on_event p on p.src_id = e.id"))
-def count_after_fanout(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | with_people | count")
 
-
-@query(
-    "events_in_timeframe",
-    with_graph(f"select e.id as event_id, e.seek_s, {_PEOPLE} as people from event e left join on_event p on p.src_id = e.id where e.seek_s between 60 and 900 group by 1, 2"),
+# Sources and filters
+blocks("block_events", "events", f"select {_EVENT} from event e")
+blocks("block_event_type", "events | event_type door_knock", f"select {_EVENT} from event e where e.type = 'door_knock'")
+blocks("block_video", "events | video v_harbor_gate_fixed", f"select {_EVENT} from event e where e.video_id = 'v_harbor_gate_fixed'")
+blocks("block_timeframe", "events | timeframe start=01:00 end=15:00 | return_events", f"select {_EVENT} from event e where e.seek_s between 60 and 900")
+blocks("events_at_time_30s", "events | at_time 10:00", f"select {_EVENT} from event e where abs(e.seek_s - 600) <= 30")
+blocks(
+    "block_topic",
+    "events | topic query='find all interview events' | with_topic | return_events",
+    f"""select {_EVENT}, {TOPICS} as topics from event e {_OF_TOPIC} where e.type in (select id from event_catalog where contains(lower(id), 'interview') or contains(lower(title), 'interview')
+    or len(list_filter(aliases, lambda a: contains(lower(a), 'interview') or contains('interview', lower(a)))) > 0 or contains('interview', lower(title)) or contains('interview', split_part(id, '_', 1))
+    or split_part(id, '_', 1) in (select split_part(id, '_', 1) from event_catalog where contains('interview', split_part(id, '_', 1)) or contains(split_part(id, '_', 1), 'interview'))) group by all""",
+    catalog=True,
+)
+_PERSON = "p.local_id as person_id, p.video_id, p.role, p.is_cop, p.potential_suspect, p.clothes, p.description, p.suspect_snapshot as snapshot, p.suspect_at, p.suspect_event"
+blocks("block_people", "people", f"select {_PERSON} from person p")
+blocks("block_role", "people | role officer", f"select {_PERSON} from person p where role = 'officer'")
+blocks("block_potential_suspect", "people | potential_suspect", f"select {_PERSON} from person p where potential_suspect")
+blocks("block_is_cop", "people | is_cop", f"select {_PERSON} from person p where is_cop")
+blocks("block_clothes", "people | clothes RED", f"select {_PERSON} from person p where contains(lower(clothes), 'red')")
+blocks("block_person_id", "people | person_id person_1", f"select {_PERSON} from person p where local_id = 'person_1' or suffix(id, 'person_1')")
+_VEHICLE = "v.id as vehicle_id, v.video_id, v.color, v.plate, v.analysis"
+blocks("block_vehicles", "vehicles", f"select {_VEHICLE} from vehicle v")
+blocks("vehicles_by_color", "vehicles | vehicle_color red", f"select {_VEHICLE} from vehicle v where contains(color, 'red')")
+blocks("block_plate_of_vehicles", "vehicles | plate k7", f"select {_VEHICLE} from vehicle v where contains(plate, 'K7')")
+_PLATE = "pl.text as plate, pl.confidence, pl.video_id, v.color as vehicle_color, v.id as vehicle_id from plate pl left join vehicle v on v.video_id = pl.video_id and v.plate = pl.text"
+blocks("block_plates", "plates", f"select {_PLATE}")
+blocks("block_plate", "plates | plate k7 | video v_harbor_gate_fixed", f"select {_PLATE} where contains(pl.text, 'K7') and pl.video_id = 'v_harbor_gate_fixed'")
+_OBJECT = "o.local_id as object_id, o.video_id, o.label, o.distinctive"
+blocks("block_objects", "objects", f"select {_OBJECT} from object o")
+blocks("block_object_label", "objects | object_label KIT", f"select {_OBJECT} from object o where contains(lower(label), 'kit')")
+_CLIP_ROW = f"c.video_id, c.local_id as clip, {shown('c', 'start')} as start_timestamp, {shown('c', 'end')} as end_timestamp, c.summary, {_NO_URI}"
+blocks("block_clips", "clips", f"select {_CLIP_ROW}, cast(null as varchar) as audio_uri from clip c")
+blocks("block_transcript", "clips | transcript 'Watch the STEP'", f"select {_CLIP_ROW}, cast(null as varchar) as audio_uri from clip c where contains(lower(transcript), 'watch the step')")
+_PEOPLE_OF = "(select count(*) from person p where p.video_id = v.id) as people"
+blocks("block_videos", "videos", f"select v.id as video_id, v.source_name, v.duration_s, v.clip_count, v.status, {_PEOPLE_OF} from video v")
+
+# Joins
+blocks("block_with_clip", "events | with_clip", f"select {_EVENT}, {_CLIP} from event e {_OF_CLIP}")
+blocks("with_people_collect", "events | with_people | return_events", f"select {_EVENT}, {PEOPLE} as people from event e {_OF_PEOPLE} group by all")
+blocks("block_with_vehicles", "events | with_vehicles", f"select {_EVENT}, {listing('v.id', 'v.color', 'v.plate')} as vehicles from event e {_involved('vehicle', 'v')} group by all")
+blocks("block_with_objects", "events | with_objects", f"select {_EVENT}, {listing('o.local_id', 'o.label')} as objects from event e {_involved('object', 'o')} group by all")
+blocks("with_topic_two_hop", "events | with_topic", f"select {_EVENT}, {TOPICS} as topics from event e {_OF_TOPIC} group by all")
+blocks(
+    "block_continues",
+    "events | continues",
+    f"""select {_EVENT}, coalesce(array_to_string(list_sort(list_distinct(list({shown('n', 'start')}) filter (n.id is not null))), ','), '') as continues_to
+    from event e left join continues k on k.src_id = e.id left join event n on n.id = k.dst_id group by all""",
+)
+blocks(
+    "block_all_joins",
+    "events | event_type door_knock | with_clip | with_people | with_vehicles | with_objects | with_topic | return_events",
+    f"""select {_EVENT}, {_CLIP}, {PEOPLE} as people, {listing('v.id', 'v.color', 'v.plate')} as vehicles, {listing('o.local_id', 'o.label')} as objects, {TOPICS} as topics
+    from event e {_OF_CLIP} {_OF_PEOPLE} {_involved('vehicle', 'v')} {_involved('object', 'o')} {_OF_TOPIC} where e.type = 'door_knock' group by all""",
 )
-def events_in_timeframe(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.events_in_timeframe(graph(spark, folder), 60, 900).select("event_id", "seek_s", _flat())
+blocks("involving_person_inner", "events | involving_person person_1", f"select {_EVENT}, {PEOPLE} as people from event e join on_event p on p.src_id = e.id where p.local_id = 'person_1' or suffix(p.id, 'person_1') group by all")
+blocks(
+    "involving_object_inner",
+    "events | involving_object kit",
+    f"select {_EVENT}, {listing('o.local_id', 'o.label')} as objects from event e join involves i on i.kind = 'object' and i.src_id = e.id join object o on o.id = i.dst_id where contains(lower(o.label), 'kit') group by all",
+)
+_ALSO = "left join involves i on i.dst_id = {0}.id left join event e on e.id = i.src_id"
+blocks("reverse_with_events", "people | with_events", f"select * exclude (id) from (select p.id, {_PERSON}, {EVENTS} as events from person p {_ALSO.format('p')} group by all)")
+blocks("reverse_with_events_objects", "objects | with_events", f"select {_OBJECT}, {EVENTS} as events from object o {_ALSO.format('o')} group by all")
+blocks("reverse_with_events_vehicles", "vehicles | with_events", f"select {_VEHICLE} from vehicle v {_ALSO.format('v')}")
+
+# Outputs that count
+blocks("count_events_by_type", "events | count_by_type", "select type as event_type, count(*) as n from event group by 1")
+blocks("count_events_by_video", "events | count_by_video", "select video_id, source_name, type as event_type, count(*) as n from event group by 1, 2, 3")
+blocks("count_after_fanout", "events | with_people | count", "select count(*) as n from event e left join on_event p on p.src_id = e.id")
+blocks("officers_by_video", "events | with_people | role officer | count_by_video", "select e.video_id, e.source_name, e.type as event_type, count(*) as n from event e join on_event p on p.src_id = e.id where p.role = 'officer' group by 1, 2, 3")
+
+# Recipes
+blocks("recipe_count_events", "count_events", "select type as event_type, count(*) as n from event group by 1")
+blocks(
+    "recipe_events_in_timeframe",
+    "events_in_timeframe start=02:00 end=08:00 video_id=v_harbor_gate_fixed",
+    f"select {_EVENT}, {_CLIP}, {PEOPLE} as people from event e {_OF_CLIP} {_OF_PEOPLE} where e.seek_s between 120 and 480 and e.video_id = 'v_harbor_gate_fixed' group by all",
+)
+blocks("recipe_suspects", "suspects", f"select * exclude (id) from (select p.id, {_PERSON}, {EVENTS} as events from person p {_ALSO.format('p')} where p.potential_suspect group by all)")
+blocks("recipe_person_timeline", "person_timeline person_id=person_3", f"select * exclude (id) from (select p.id, {_PERSON}, {EVENTS} as events from person p {_ALSO.format('p')} where p.local_id = 'person_3' or suffix(p.id, 'person_3') group by all)")
+blocks("recipe_objects", "objects label=kit", f"select {_OBJECT}, {EVENTS} as events from object o {_ALSO.format('o')} where contains(lower(o.label), 'kit') group by all")
+blocks("recipe_list_videos", "list_videos", f"select v.id as video_id, v.source_name, v.duration_s, v.clip_count, v.status, {_PEOPLE_OF} from video v")
 
 
-@query("events_at_time_30s", with_graph("select id as event_id, seek_s from event where abs(seek_s - 600) <= 30"))
-def events_at_time(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | at_time 10:00").select("event_id", "seek_s")
+def question(name: str, sql: str, ask) -> None:
+    """Registers a ready-made question as a query."""
+    query(name, sql)(lambda spark, folder: flat(ask(graph(spark, folder))))
 
 
-@query(
-    "event_at_time_top8",
-    with_graph(
-        f"select e.id as event_id, e.seek_s, {_PEOPLE} as people from (select * from event where seek_s is not null order by abs(seek_s - 600), id limit 8) e "
-        "left join on_event p on p.src_id = e.id group by 1, 2"
-    ),
+_ROWS = f"select {_EVENT}, {_CLIP}, {PEOPLE} as people from event e {_OF_CLIP} {_OF_PEOPLE}"
+question("count_events", with_graph("select type as event_type, count(*) as n from event where video_id = 'v_harbor_gate_fixed' group by 1"), lambda g: fixed.count_events(g, "", "v_harbor_gate_fixed"))
+question(
+    "events_in_timeframe",
+    with_graph(f"select {_EVENT}, '' as subject_ids, {_CLIP}, {PEOPLE} as people from event e {_OF_CLIP} {_OF_PEOPLE} where e.seek_s between 60 and 900 group by all"),
+    lambda g: fixed.events_in_timeframe(g, 60, 900),
 )
-def event_at_time_top8(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.event_at_time(graph(spark, folder), 600).select("event_id", "seek_s", _flat())
-
-
-@query(
+question("events_by_type", with_graph(f"{_ROWS} where e.type = 'door_knock' group by all"), lambda g: fixed.events_by_type(g, "door_knock"))
+question(
     "events_by_types_topic",
+    with_graph(f"select {_EVENT}, {_CLIP}, {PEOPLE} as people, {TOPICS} as topics from event e {_OF_CLIP} {_OF_PEOPLE} {_OF_TOPIC} where e.type in ('door_knock', 'gate_entry') group by all"),
+    lambda g: fixed.events_by_types(g, ["door_knock", "gate_entry"]),
+)
+question(
+    "event_at_time_top8",
     with_graph(
-        f"select e.id as event_id, split_part(e.type, '_', 1) as topics, {_PEOPLE} as people from event e left join on_event p on p.src_id = e.id "
-        "where e.type in ('door_knock', 'gate_entry') group by 1, 2"
+        f"""select * exclude (source_name) from (select {_EVENT}, abs(e.seek_s - 600) as seconds_from_query, {PEOPLE} as people
+        from (select * from event where seek_s is not null order by abs(seek_s - 600), id limit 8) e {_OF_PEOPLE} group by all)"""
     ),
+    lambda g: fixed.event_at_time(g, 600),
 )
-def events_by_types_topic(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.events_by_types(graph(spark, folder), ["door_knock", "gate_entry"]).select("event_id", F.array_join("topics", ",").alias("topics"), _flat())
-
-
-@query("with_people_collect", with_graph(f"select e.id as event_id, e.type as event_type, {_PEOPLE} as people from event e left join on_event p on p.src_id = e.id group by 1, 2"))
-def with_people_collect(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | with_people | return_events").select("event_id", "event_type", _flat())
-
-
-@query(
-    "with_topic_two_hop",
-    with_graph("select e.id as event_id, coalesce(split_part(c.id, '_', 1), '') as topics from event e left join event_catalog c on c.id = e.type"),
-)
-def with_topic_two_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | with_topic | return_events").select("event_id", F.array_join("topics", ",").alias("topics"))
-
-
-@query("involving_person_inner", with_graph("select distinct e.id as event_id from event e join on_event p on p.src_id = e.id where p.local_id = 'person_1' or p.id like '%person_1'"))
-def involving_person_inner(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | involving_person person_1").select("event_id").distinct()
-
-
-@query(
-    "reverse_with_events",
-    with_graph("select p.id as person, count(distinct e.id) as events from person p left join involves i on i.dst_id = p.id left join event e on e.id = i.src_id group by 1"),
-)
-def reverse_with_events(spark: SparkSession, folder: str) -> DataFrame:
-    out = assemble(graph(spark, folder), "people | with_events | return_people")
-    return out.select(F.concat_ws(":", "video_id", "person_id").alias("person"), F.size(F.filter("events", lambda x: x["id"].isNotNull())).cast("bigint").alias("events"))
-
-
-@query("officers_by_video", with_graph("select e.video_id, e.source_name, e.type as event_type, count(*) as n from event e join on_event p on p.src_id = e.id where p.role = 'officer' group by 1, 2, 3"))
-def officers_by_video(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "events | with_people | role officer | count_by_video")
-
-
-@query("vehicles_by_color", with_graph("select id as vehicle_id, video_id, color, plate from vehicle where contains(lower(color), 'red')"))
-def vehicles_by_color(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(graph(spark, folder), "vehicles | vehicle_color red").select("vehicle_id", "video_id", "color", "plate")
-
-
-@query(
+question(
     "participants_heterogeneous",
     with_graph(
-        """, parts as (select src_id, 'person' as kind, p.id as participant_id, coalesce(p.local_id) as name from involves i join person p on p.id = i.dst_id
-           union all select src_id, 'vehicle', v.id, coalesce(v.local_id, v.color) from involves_vehicle i join vehicle v on v.id = i.dst_id)
-        select e.id as event_id, kind, participant_id, name from event e left join parts on parts.src_id = e.id where e.type = 'door_knock' and e.start_timestamp = '10:27'"""
+        f""", parts as (select src_id, 'person' as kind, id as participant_id, local_id as name, edge_role as role, clothes, description, null as plate, distinctive from on_event
+           union all select i.src_id, 'vehicle', v.id, coalesce(v.local_id, v.color), null, null, null, v.plate, null from involves i join vehicle v on i.kind = 'vehicle' and v.id = i.dst_id
+           union all select i.src_id, 'object', o.id, o.local_id, null, null, null, null, o.distinctive from involves i join object o on i.kind = 'object' and o.id = i.dst_id)
+        select e.id as event_id, e.video_id, e.type as event_type, {shown("e", "start")} as start_timestamp, {shown("e", "end")} as end_timestamp, e.summary,
+          kind, participant_id, name, role, clothes, description, plate, distinctive from event e left join parts on parts.src_id = e.id where e.type = 'door_knock' and e.start_timestamp = '10:27'"""
     ),
+    lambda g: fixed.event_participants(g, "door_knock", "10:27"),
 )
-def participants_heterogeneous(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.event_participants(graph(spark, folder), "door_knock", "10:27").select("event_id", "kind", "participant_id", "name")
-
-
-@query("person_timeline_inner", with_graph("select p.id as person, e.id as event_id, e.type as event_type, e.seek_s from event e join on_event p on p.src_id = e.id where p.local_id = 'person_3' or p.id like '%person_3'"))
-def person_timeline_inner(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.person_timeline(graph(spark, folder), "person_3").select("person", "event_id", "event_type", "seek_s")
-
-
-@query("find_people_optional_filters", with_graph("select id, clothes, role from person where contains(lower(clothes), 'red') and is_cop = false"))
-def find_people_optional_filters(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.find_people(graph(spark, folder), clothes="RED", is_cop=False).select("id", "clothes", "role")
-
-
-@query("find_vehicles_ci_contains", with_graph("select id, color, plate from vehicle where contains(lower(color), 'black') and contains(plate, 'K')"))
-def find_vehicles_ci_contains(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.find_vehicles(graph(spark, folder), "Black", "k").select("id", "color", "plate")
-
-
-@query(
-    "list_videos_count_distinct",
+_FOUND = "id, video_id, local_id as person_id, role, is_cop, potential_suspect, clothes, cast(null as varchar) as race, gender, description, suspect_snapshot, suspect_at, suspect_event"
+question("find_people_optional_filters", with_graph(f"select {_FOUND} from person where contains(lower(clothes), 'red') and is_cop = false"), lambda g: fixed.find_people(g, clothes="RED", is_cop=False))
+question("find_people_suspects", with_graph(f"select {_FOUND} from person where role = 'potential_suspect' and potential_suspect"), lambda g: fixed.find_people(g, role="potential_suspect", potential_suspect=True))
+question(
+    "optional_predicate_in_on",
     with_graph(
-        """select v.id as video_id, v.status, (select count(*) from clip c where c.video_id = v.id) as clips, (select count(*) from event e where e.video_id = v.id) as events,
-        (select count(*) from person p where p.video_id = v.id) as people from video v"""
+        f"""select p.id, p.video_id, p.local_id as person_id, p.clothes, p.description, p.suspect_snapshot as snapshot, p.suspect_reason as reason, p.suspect_at as first_tagged_at,
+        p.suspect_event as first_tagged_event, {listing("e.type", shown("e", "start"))} as events from person p left join involves i on i.dst_id = p.id and i.role = 'potential_suspect'
+        left join event e on e.id = i.src_id where p.potential_suspect group by all"""
     ),
+    fixed.find_potential_suspects,
 )
-def list_videos_count_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.list_videos(graph(spark, folder)).select("video_id", "status", "clips", "events", "people")
-
-
-@query(
-    "label_inventory_union",
+question(
+    "person_timeline_inner",
     with_graph(
-        """select 'video' as label, count(*) as n from video union all select 'clip', count(*) from clip union all select 'event', count(*) from event
-        union all select 'person', count(*) from person union all select 'vehicle', count(*) from vehicle
-        union all select 'event_type', count(*) from event_catalog union all select 'topic', count(distinct split_part(id, '_', 1)) from event_catalog"""
+        f"""select p.id as person, p.local_id as person_id, p.role as person_role, e.id as event_id, e.video_id, e.type as event_type, {shown("e", "start")} as start_timestamp,
+        {shown("e", "end")} as end_timestamp, e.seek_s, e.summary, p.edge_role as involves_role from event e join on_event p on p.src_id = e.id where p.local_id = 'person_3' or suffix(p.id, 'person_3')"""
     ),
+    lambda g: fixed.person_timeline(g, "person_3"),
 )
-def label_inventory_union(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.inventory(graph(spark, folder))
-
-
-@query("search_transcript", with_graph("select id, video_id from clip where contains(lower(transcript), 'watch the step')"))
-def search_transcript(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.search_transcript(graph(spark, folder), "Watch the STEP").select("id", "video_id")
-
-
-@query("clip_at_timestamp_range", with_graph("select id, video_id from clip where 300000 between start_ms and end_ms"))
-def clip_at_timestamp_range(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.clip_at_timestamp(graph(spark, folder), "05:00").select("id", "video_id")
-
-
-@query("event_in_clip_range_join", with_graph("select e.id as event_id, c.id as covering from event e join clip c on c.video_id = e.video_id and e.start_ms between c.start_ms and c.end_ms"))
-def event_in_clip_range_join(spark: SparkSession, folder: str) -> DataFrame:
-    g = graph(spark, folder)
-    points = g.node("event").select(F.col("id").alias("event_id"), "video_id", F.col("start_ms").alias("at"))
-    spans = g.node("clip").select(F.col("id").alias("covering"), "video_id", "start_ms", "end_ms")
-    return windows.point_in_interval(points, spans, ["video_id"], "at", "start_ms", "end_ms").select("event_id", "covering")
-
-
-@query(
-    "nearest_cell",
+question(
+    "find_vehicles_ci_contains",
+    with_graph("select id as vehicle_id, video_id, color, plate, analysis, plate as plates from vehicle where contains(lower(color), 'black') and contains(plate, 'K')"),
+    lambda g: fixed.find_vehicles(g, "Black", "k"),
+)
+question("find_plates", with_graph(f"select {_PLATE} where contains(pl.text, 'K')"), lambda g: fixed.find_plates(g, "k"))
+question("find_objects", with_graph("select id, video_id, local_id as object_id, label, distinctive from object where contains(lower(label), 'kit')"), lambda g: fixed.find_objects(g, "Kit"))
+question(
+    "object_appearances_multi_branch",
     with_graph(
-        """, sized as (select id, start_ms, end_ms, greatest(4, least(6, (end_ms - start_ms) // 30000)) as n from clip where end_ms is not null),
-        cells as (select id, i, cast(floor(start_ms + (i + 0.5) * (end_ms - start_ms) / n) as bigint) as mid, start_ms from sized, range(0, 6) t(i) where i < n)
-        select id, cast(arg_min(i, {'gap': abs(mid - (start_ms + 61000)), 'i': i}) as int) as cell from cells group by id"""
+        f"""select o.id, o.video_id, o.local_id as object_id, o.label, o.distinctive,
+        coalesce((select array_to_string(list_sort(list_distinct(list(c.local_id))), ',') from contains k join clip c on c.id = k.src_id where k.dst_id = o.id), '') as clips,
+        (select {listing("e.type", shown("e", "start"))} from involves i join event e on e.id = i.src_id where i.dst_id = o.id) as events from object o where contains(lower(o.label), 'kit')"""
     ),
+    lambda g: fixed.object_appearances(g, "kit"),
 )
-def nearest_cell(spark: SparkSession, folder: str) -> DataFrame:
-    c = graph(spark, folder).node("clip").where("end_ms is not null")
-    return c.select("id", windows.nearest_cell(windows.splice_cells(F.col("start_ms"), F.col("end_ms")), F.col("start_ms") + 61_000).alias("cell"))
-
-
-@query(
-    "next_chain",
-    with_graph("select * from (select id as src_id, lead(id) over (partition by video_id order by idx nulls first, start_ms nulls first, id) as dst_id from clip) where dst_id is not null"),
+_CLIP_Q = f"select c.id, c.video_id, c.local_id as clip, c.idx as index, {shown('c', 'start')} as start_timestamp, {shown('c', 'end')} as end_timestamp, @, {_NO_URI} from clip c"
+question("search_transcript", with_graph(_CLIP_Q.replace("@", "c.summary") + " where contains(lower(transcript), 'watch the step')"), lambda g: fixed.search_transcript(g, "Watch the STEP"))
+question("clip_at_timestamp_range", with_graph(_CLIP_Q.replace("@", "c.summary") + " where 300000 between start_ms and end_ms"), lambda g: fixed.clip_at_timestamp(g, "05:00"))
+question("clip_attachments", with_graph(_CLIP_Q.replace("@", "cast(null as varchar) as audio_uri") + " where local_id = 'clip_0003' or suffix(id, 'clip_0003')"), lambda g: fixed.clip_attachments(g, "", "clip_0003"))
+_CHAIN = f""", step as (select distinct src_id as a, dst_id as b from continues where src_id <> dst_id),
+    reach as (select a, b, [a, b] as path from step {{0}} union all select r.a, s.b, list_append(r.path, s.b) from reach r join step s on s.a = r.b where not list_contains(r.path, s.b)),
+    pairs as (select a, b, cast(min(len(path) - 1) as int) as hops from reach group by 1, 2)
+    select x.video_id, x.type as event_type, a as start_id, b as end_id, {shown("x", "start")} as chain_start, {shown("y", "start")} as chain_end, hops from pairs join event x on x.id = a join event y on y.id = b"""
+question("event_chain_paths", with_graph(_CHAIN.format(""), recursive=True), fixed.event_chain)
+question("event_chain_of_type", with_graph(_CHAIN.format("where a in (select id from event where type = 'door_knock')"), recursive=True), lambda g: fixed.event_chain(g, "door_knock"))
+question(
+    "list_videos_count_distinct",
+    with_graph(f"select v.id as video_id, v.source_name, v.duration_s, v.clip_count, v.status, {_PEOPLE_OF}, (select count(*) from vehicle x where x.video_id = v.id) as vehicles from video v"),
+    fixed.list_videos,
 )
-def next_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return clip_chain(graph(spark, folder).node("clip"))[1]
-
-
-_TYPED = "typed as (select id, video_id, type, cast(nullif(regexp_extract(clip_id, 'clip_([0-9]+)$', 1), '') as int) as idx, start_ms, people_ids from event where type is not null)"
-
-
-def _typed(spark: SparkSession, folder: str) -> DataFrame:
-    return graph(spark, folder).node("event").where("type is not null").withColumn("idx", F.nullif(F.regexp_extract("clip_id", "clip_([0-9]+)$", 1), F.lit("")).cast("int"))
-
-
-@query(
-    "stitch_lag",
+question(
+    "label_inventory_union",
     with_graph(
-        f""", {_TYPED}, lagged as (select id, idx, lag(idx) over w as i, lag(id) over w as b from typed window w as (partition by video_id, type order by idx nulls first, start_ms nulls first, id))
-        select id, b as continues_from from lagged where idx - i = 1"""
+        " union all ".join(f"select '{k}' as label, count(*) as n from {k}" for k in ("video", "clip", "event", "person", "vehicle", "plate", "object"))
+        + " union all select 'event_type', count(*) from event_catalog union all select 'topic', count(distinct split_part(id, '_', 1)) from event_catalog"
     ),
+    fixed.inventory,
 )
-def stitch_lag(spark: SparkSession, folder: str) -> DataFrame:
-    return windows.stitch(_typed(spark, folder), ["video_id", "type"], "idx", ["start_ms", "id"], "id").where("continues_from is not null").select("id", "continues_from")
+question("constraint_duplicate_ids", with_graph("select 'event' as label, id, count(*) as n from event group by 2 having count(*) > 1"), FootageGraph.duplicate_ids)
 
-
-@query(
-    "event_chain_islands",
+# Edges
+question(
+    "edges_of_videos",
     with_graph(
-        f""", {_TYPED}, d as (select distinct video_id, type, idx from typed where idx is not null),
-        s as (select *, idx - row_number() over (partition by video_id, type order by idx) as island from d)
-        select a.video_id, a.type, a.idx as first_idx, b.idx as last_idx from s a join s b on a.video_id = b.video_id and a.type = b.type and a.island = b.island and b.idx > a.idx"""
+        """select 'has_person' as edge, video_id as src_id, id as dst_id from person union all select 'has_vehicle', video_id, id from vehicle union all select 'has_object', video_id, id from object
+        union all select 'has_plate', video_id, id from plate union all select 'vehicle_plate', id, video_id || ':plate:' || plate from vehicle where plate <> ''"""
     ),
-)
-def event_chain_islands(spark: SparkSession, folder: str) -> DataFrame:
-    out = windows.keyed_chain(_typed(spark, folder).where("idx is not null"), ["video_id", "type"], "idx")
-    return out.select("video_id", "type", F.col("start").alias("first_idx"), F.col("end").alias("last_idx"))
-
-
-@query(
-    "event_chain_paths",
-    "with recursive "
-    + GRAPH.strip()
-    + """, step as (select distinct continues_from as a, id as b from event where continues_from is not null and continues_from <> id),
-    reach as (select a, b, 1 as hops from step union select r.a, s.b, r.hops + 1 from reach r join step s on s.a = r.b where r.a <> s.b and r.hops < 500)
-    select a as start_id, b as end_id, min(hops) as hops from reach where a in (select id from event) and b in (select id from event) group by 1, 2""",
-)
-def event_chain_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Chains of the names that equal an event id byte for byte, as the SQL asks; ``event_chain_paths_all`` has all chains of the graph."""
-    e = table(spark, folder, "clip_events").where("id is not null and continues_from is not null")
-    exact = e.select(F.col("continues_from").alias("src_id"), F.col("id").alias("dst_id")).distinct()
-    return fixed.event_chain(graph(spark, folder).with_edge("continues", exact)).select("start_id", "end_id", "hops")
-
-
-@query(
-    "event_chain_paths_all",
-    """with recursive ids as (select distinct id, lower(trim(id)) as name from clip_events where id is not null),
-    said as (select distinct id, lower(trim(continues_from)) as name, lower(video_id) || ':' || lower(trim(continues_from)) as whole from clip_events where id is not null and trim(continues_from) <> ''),
-    step as (select i.id as a, s.id as b from said s join ids i on i.name = s.name or i.name = s.whole
-      union select x.id, y.id from continues_links l join ids x on x.name = lower(trim(l.src_id)) join ids y on y.name = lower(trim(l.dst_id))),
-    reach as (select a, b, [a, b] as path from step where a <> b
-      union all select r.a, s.b, list_append(r.path, s.b) from reach r join step s on s.a = r.b where not list_contains(r.path, s.b))
-    select a as start_id, b as end_id, cast(min(len(path) - 1) as int) as hops from reach group by 1, 2""",
-)
-def event_chain_paths_all(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed.event_chain(graph(spark, folder)).select("start_id", "end_id", "hops")
-
-
-@query(
-    "share_participants_ffill",
+    lambda g: (
+        g.edge("has_person", role=False).select(F.lit("has_person").alias("edge"), "src_id", "dst_id")
+        .unionAll(g.edge("has_vehicle", role=False).select(F.lit("has_vehicle"), "src_id", "dst_id"))
+        .unionAll(g.edge("has_object", role=False).select(F.lit("has_object"), "src_id", "dst_id"))
+        .unionAll(g.edge("has_plate", "video", role=False).select(F.lit("has_plate"), "src_id", "dst_id"))
+        .unionAll(g.edge("has_plate", "vehicle", role=False).select(F.lit("vehicle_plate"), "src_id", "dst_id"))
+    ),
+)
+question("edges_contains", with_graph("select src_id, kind as dst_kind, dst_id from contains"), lambda g: g.edge("contains").select("src_id", "dst_kind", "dst_id"))
+question("edges_involves_things", with_graph("select src_id, kind as dst_kind, dst_id, role from involves"), lambda g: g.edge("involves").select("src_id", "dst_kind", "dst_id", "role"))
+question(
+    "edges_of_types",
     with_graph(
-        f""", {_TYPED} select id, coalesce(array_to_string(last_value(case when len(people_ids) > 0 then people_ids end ignore nulls) over (partition by video_id, type
-        order by idx nulls first, start_ms nulls first, id rows between unbounded preceding and current row), ','), '') as people from typed"""
+        """select 'has_type' as edge, 'clip' as src_kind, clip_id as src_id, type as dst_id from event where type in (select id from event_catalog) and clip_id is not null
+        union select 'has_type', 'video', video_id, type from event where type in (select id from event_catalog) and video_id is not null
+        union select 'instance_of', 'event', id, type from event where type in (select id from event_catalog)
+        union select 'bundles', null, topic, type from topic_of union select 'in_topic', null, type, topic from topic_of"""
+    ),
+    lambda g: (
+        g.edge("has_type").select(F.lit("has_type").alias("edge"), "src_kind", "src_id", "dst_id")
+        .unionAll(g.edge("instance_of").select(F.lit("instance_of"), "src_kind", "src_id", "dst_id"))
+        .unionAll(g.edge("bundles").select(F.lit("bundles"), "src_kind", "src_id", "dst_id"))
+        .unionAll(g.edge("in_topic").select(F.lit("in_topic"), "src_kind", "src_id", "dst_id"))
     ),
+)
+question(
+    "next_chain",
+    with_graph("select * from (select id as src_id, lead(id) over (partition by video_id order by idx nulls first, start_ms nulls first, id) as dst_id from clip) where dst_id is not null"),
+    lambda g: clip_chain(g.node("clip", "id", "video_id", "index", "start_ms"))[1],
 )
-def share_participants_ffill(spark: SparkSession, folder: str) -> DataFrame:
-    out = windows.share_participants(_typed(spark, folder), ["video_id", "type"], ["idx", "start_ms", "id"], ["subject_ids"])
-    return out.select("id", F.coalesce(F.array_join("subject_ids", ","), F.lit("")).alias("people"))
-
-
-@query(
-    "first_event_per_person",
-    with_graph("select dst_id as person, arg_min(e.id, {'s': e.start_ms, 'i': e.id}) as first_event from involves i join event e on e.id = i.src_id where e.start_ms is not null group by 1"),
+question(
+    "starts_at",
+    with_graph("select video_id as src_id, id as dst_id from (select *, row_number() over (partition by video_id order by idx nulls first, start_ms nulls first, id) as place from clip) where place = 1"),
+    lambda g: g.edge("starts_at").select("src_id", "dst_id"),
 )
-def first_event_per_person(spark: SparkSession, folder: str) -> DataFrame:
-    g = graph(spark, folder)
-    rows = g.edge("involves", "event", "person").select("src_id", F.col("dst_id").alias("person")).join(g.node("event").where("start_ms is not null").select(F.col("id").alias("src_id"), "start_ms"), "src_id")
-    return windows.first_of(rows, ["person"], ["start_ms", "src_id"]).select("person", F.col("src_id").alias("first_event"))
 
+# Corrections
+NOTE, AT = "the user asked for this correction", "2024-06-01T00:00:00Z"
+_KNOCK = "(select min(id) from event where type = 'door_knock')"
 
-@query(
-    "dedup_first_per_type",
-    with_graph("select id from (select id, row_number() over (partition by clip_id, type order by start_ms nulls first, id) as place from event where type is not null and clip_id is not null) where place = 1"),
-)
-def dedup_first_per_type(spark: SparkSession, folder: str) -> DataFrame:
-    rows = graph(spark, folder).node("event").where("type is not null and clip_id is not null").select("id", "clip_id", "type", "start_ms")
-    return windows.first_of(rows, ["clip_id", "type"], ["start_ms", "id"]).select("id")
 
+def _first(g: FootageGraph, kind: str, *where: tuple[str, str]) -> str:
+    df = g.node(kind, "id", *[c for c, _ in where])
+    for c, v in where:
+        df = df.where(F.col(c) == v)
+    return df.agg(F.min("id")).first()[0]
 
-_PHRASES = [("step", 0, "watch the step"), ("copy", 1, "copy"), ("distance", 2, "keep your distance"), ("clear", 3, "show me clear")]
-_PHRASES_SQL = "phrases as (select * from (values " + ", ".join(f"('{d}', {r}, '{p}')" for d, r, p in _PHRASES) + ") v(definition, rank, phrase))"
-_HITS_SQL = f"""{_PHRASES_SQL}, hits as (select c.id, definition, rank, phrase,
-  cast((length(transcript) - length(replace(lower(transcript), phrase, ''))) / length(phrase) as int) as count from clip c join phrases on contains(lower(transcript), phrase))"""
 
+def _retyped(g: FootageGraph) -> DataFrame:
+    event = _first(g, "event", ("type", "door_knock"))
+    after = dml.update(g, "event", event, {"type": "gate entry", "start_timestamp": "1:30", "summary": "corrected"}, NOTE, AT, True).graph
+    return after.node("event").join(after.edge("instance_of").select(F.col("src_id").alias("id"), F.col("dst_id").alias("instance")), "id", "left").select(
+        "id", "type", "instance", "start_timestamp", "seek_s", "summary", "correction_note", "corrected_at"
+    )
 
-def _hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    clips = graph(spark, folder).node("clip")
-    return clips, rules.keyword_hits(clips, spark.createDataFrame(_PHRASES, "definition string, rank int, phrase string"))
 
-
-@query("keyword_hits_join", with_graph(f", {_HITS_SQL} select id, definition, phrase, count from hits"))
-def keyword_hits_join(spark: SparkSession, folder: str) -> DataFrame:
-    return _hits(spark, folder)[1].select("id", "definition", "phrase", "count")
-
-
-_COMMANDS = "|".join(text.COMMANDS).replace("'", "''")
-
-
-@query("repeated_commands_regex", f"select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '(?i)\\b({_COMMANDS})\\b')) as int) as commands from documents")
-def repeated_commands_regex(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", text.repeated_commands(F.col("text")).alias("commands"))
-
-
-@query(
-    "rule_candidates",
+question(
+    "correct_update",
     with_graph(
-        f""", {_HITS_SQL}, loud as (select id, max(loudness) as loudness from clips where id is not null group by id),
-        by_signal as (select id, 'noisy' as definition from loud where coalesce(loudness, 0) >= 0.5 and id not in (select c.id from clip c where coalesce(len(regexp_extract_all(coalesce(transcript, ''), '(?i)\\b({_COMMANDS})\\b')), 0) >= 0.5))
-        select distinct id, definition from (select id, definition from hits union all select * from by_signal)"""
+        f"""select id, type, (select id from event_catalog c where c.id = e.type) as instance, start_timestamp, seek_s, summary, correction_note, corrected_at from
+        (select id, case when mine then 'gate_entry' else type end as type, case when mine then '01:30' else start_timestamp end as start_timestamp, case when mine then 90.0 else seek_s end as seek_s,
+        case when mine then 'corrected' else summary end as summary, case when mine then '{NOTE}' end as correction_note, case when mine then '{AT}' end as corrected_at
+        from (select *, id = {_KNOCK} as mine from event)) e"""
     ),
+    _retyped,
 )
-def rule_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    clips, hits = _hits(spark, folder)
-    loud = table(spark, folder, "clips").where("id is not null").groupBy("id").agg(F.max("loudness").alias("loudness"))
-    none = F.lit(None).cast("double")
-    signals = clips.select("id", text.repeated_commands(F.col("transcript")).alias("repeated_commands")).join(loud, "id").withColumns({c: none for c in ("loud_impact", "loud_speech", "yelling")})
-    rule = spark.createDataFrame([("noisy", 9, ["loudness", "yelling"], 1, ["repeated_commands"])], "definition string, rank int, signals array<string>, need int, exclude array<string>")
-    return rules.candidates(signals, rule, hits).select("id", "definition")
 
 
-@query(
-    "local_tags",
-    with_graph(
-        f""", {_HITS_SQL}, named as (select id, list(definition order by rank) as names from hits group by id)
-        select c.id, array_to_string(list_concat(case when trim(coalesce(transcript, '')) <> '' then ['speech'] else ['no_speech'] end, coalesce(names, [])), ',') as tags
-        from clip c left join named on named.id = c.id"""
-    ),
-)
-def local_tags(spark: SparkSession, folder: str) -> DataFrame:
-    clips, hits = _hits(spark, folder)
-    names = hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "definition"))), lambda x: x["definition"]).alias("names"))
-    nothing, zero = F.lit(None).cast("double"), F.lit(0)
-    flags = {**{f"{t}_count": zero for t in ("person", "vehicle", "object")}, "needs_vision": F.lit(False), "loud_impact": nothing, "yelling": nothing, "repeated_commands": zero}
-    tagged = clips.join(names, "id", "left").withColumns(flags)
-    empty = F.array().cast("array<string>")
-    return tagged.select("id", F.array_join(rules.local_tags(empty, F.coalesce("names", empty), empty), ",").alias("tags"))
+def _created(g: FootageGraph) -> DataFrame:
+    after = dml.create(g, "person", "v_harbor_gate_fixed", {"clothes": "blue coat", "role": "officer"}, NOTE, AT, "clip_0003", True).graph
+    return after.node("person", "id", "local_id", "race", "role", "is_cop", "clothes").join(
+        after.edge("contains", "clip", "person").where(F.col("corrected_at").isNotNull()).select(F.col("dst_id").alias("id"), F.col("src_id").alias("clip")), "id", "left"
+    )
 
 
-@query(
-    "local_tags_all",
+question(
+    "correct_create",
     with_graph(
-        f""", {_HITS_SQL}, named as (select id, list(definition order by rank) as names from hits group by id),
-        typed as (select clip_id as id, list(distinct type order by type) as types from clip_events where id is not null and type is not null group by 1),
-        tags as (select c.id, list_concat(case when trim(coalesce(transcript, '')) <> '' then ['speech'] else ['no_speech'] end,
-          case when coalesce(len(regexp_extract_all(coalesce(transcript, ''), '(?i)\\b({_COMMANDS})\\b')), 0) >= 2 then ['repeated_commands'] else [] end, coalesce(names, []), coalesce(types, [])) as t
-          from clip c left join named on named.id = c.id left join typed on typed.id = c.id),
-        placed as (select id, tag, min(i) as i from (select id, unnest(t) as tag, generate_subscripts(t, 1) as i from tags) group by 1, 2)
-        select id, string_agg(tag, ',' order by i) as tags from placed group by 1"""
+        """, top as (select max(cast(regexp_extract(local_id, '^person_([0-9]+)$', 1) as int)) + 1 as n from person where video_id = 'v_harbor_gate_fixed' and regexp_matches(local_id, '^person_[0-9]+$'))
+        select id, local_id, cast(null as varchar) as race, role, is_cop, clothes, cast(null as varchar) as clip from person
+        union all select 'v_harbor_gate_fixed:person_' || n, 'person_' || n, 'unknown', 'officer', true, 'blue coat', 'v_harbor_gate_fixed:clip_0003' from top"""
     ),
+    _created,
 )
-def local_tags_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Tags of every clip with the types of its events and its repeated commands; the tables hold no counts, labels or sounds of a clip."""
-    clips, hits = _hits(spark, folder)
-    names = hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "definition"))), lambda x: x["definition"]).alias("names"))
-    events = table(spark, folder, "clip_events").where("id is not null")
-    types = events.groupBy(F.col("clip_id").alias("id")).agg(F.array_sort(F.collect_set("type")).alias("types"))
-    nothing, zero = F.lit(None).cast("double"), F.lit(0)
-    flags = {**{f"{t}_count": zero for t in ("person", "vehicle", "object")}, "needs_vision": F.lit(False), "loud_impact": nothing, "yelling": nothing}
-    tagged = clips.join(names, "id", "left").join(types, "id", "left").withColumns(flags).withColumn("repeated_commands", text.repeated_commands(F.col("transcript")))
-    empty = F.array().cast("array<string>")
-    return tagged.select("id", F.array_join(rules.local_tags(empty, F.coalesce("names", empty), F.coalesce("types", empty)), ",").alias("tags"))
-
-
-@query(
-    "clip_windows",
-    """with v as (select video_id, max(duration_s) as d from videos group by 1 having max(duration_s) > 0)
-    select video_id, cast(i as int) as idx, i * 170.0 as start_s, least(d, i * 170.0 + 180) as end_s from v, range(0, 100000) t(i) where i <= greatest(0, ceil((d - 180) / 170))""",
-)
-def clip_windows(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "videos").groupBy("video_id").agg(F.max("duration_s").alias("d"))
-    return v.select("video_id", F.explode(windows.clip_windows(F.col("d"))).alias("w")).select("video_id", F.col("w.index").alias("idx"), "w.start_s", "w.end_s")
-
-
-@query(
-    "format_clock",
-    with_graph("select id, case when start_ms >= 3600000 then printf('%d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) else printf('%02d:%02d', start_ms // 60000, start_ms // 1000 % 60) end as clock from event where start_ms is not null"),
-)
-def format_clock(spark: SparkSession, folder: str) -> DataFrame:
-    return graph(spark, folder).node("event").where("start_ms is not null").select("id", clock.format_clock(F.col("start_ms")).alias("clock"))
 
 
-@query("parse_clock", f"select distinct start_timestamp as said, {sql_clock('start_timestamp')} as ms from clip_events where start_timestamp is not null")
-def parse_clock(spark: SparkSession, folder: str) -> DataFrame:
-    said = table(spark, folder, "clip_events").where("start_timestamp is not null").select(F.col("start_timestamp").alias("said")).distinct()
-    return said.select("said", clock.parse_clock(F.col("said")).alias("ms"))
+def _linked(g: FootageGraph) -> DataFrame:
+    event, person = _first(g, "event", ("type", "door_knock")), _first(g, "person", ("video_id", "v_harbor_gate_fixed"))
+    for role in ("civilian", "officer"):
+        g = dml.link(g, "INVOLVES", "event", event, "person", person, NOTE, AT, role, True).graph
+    return g.edge("involves", "event", "person").select("src_id", "dst_id", "role", "correction_note")
 
 
-@query("slugify", "select distinct type, substring(regexp_replace(regexp_replace(lower(type), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) as slug from clip_events where type is not null")
-def slugify(spark: SparkSession, folder: str) -> DataFrame:
-    t = table(spark, folder, "clip_events").where("type is not null").select("type").distinct()
-    return t.select("type", text.slug(F.col("type")).alias("slug"))
-
-
-@query(
-    "normalize_plate",
-    """with p as (select distinct plate, regexp_replace(upper(plate), '[^A-Z0-9]', '', 'g') as bare from vehicle_cards where plate is not null)
-    select plate, case when length(bare) between 4 and 10 and regexp_matches(bare, '[0-9]') then bare else '' end as normal from p""",
+_HARBOR = "(select min(id) from person where video_id = 'v_harbor_gate_fixed')"
+question(
+    "correct_link",
+    with_graph(
+        f"""select src_id, dst_id, role, cast(null as varchar) as correction_note from involves where kind = 'person' and not (src_id = {_KNOCK} and dst_id = {_HARBOR})
+        union all select {_KNOCK}, {_HARBOR}, 'officer', '{NOTE}'"""
+    ),
+    _linked,
 )
-def normalize_plate(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "vehicle_cards").where("plate is not null").select("plate").distinct()
-    return p.select("plate", text.normal_plate(F.col("plate")).alias("normal"))
 
 
-@query("evidence_json_extract", with_graph("select id, json_extract_string(evidence, '$[0].modality') as modality, json_extract_string(evidence, '$[0].value') as value from event where evidence is not null"))
-def evidence_json_extract(spark: SparkSession, folder: str) -> DataFrame:
-    e = graph(spark, folder).node("event").where("evidence is not null")
-    parsed = F.from_json("evidence", "array<struct<modality:string,value:string>>")
-    return e.select("id", F.try_element_at(parsed, F.lit(1)).alias("x")).select("id", "x.modality", "x.value")
+def _pair(g: FootageGraph) -> list[str]:
+    rows = g.node("person", "id", "video_id").where("video_id = 'v_harbor_gate_fixed'").orderBy("id").limit(2).collect()
+    return [r["id"] for r in rows]
 
 
-@query(
-    "role_precedence_merge",
-    with_graph("select video_id, arg_min(role, case role when 'potential_suspect' then 0 when 'officer' then 1 when 'civilian' then 2 else 3 end) as role from person group by 1"),
-)
-def role_precedence_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return graph(spark, folder).node("person").groupBy("video_id").agg(F.min_by("role", text.role_rank(F.col("role"))).alias("role"))
-
-
-@query("signature_text", with_graph("select id, case when lower(trim(coalesce(clothes, ''))) in ('', 'null', 'n/a', 'unreadable', 'unknown') then '' else trim(clothes) end as clothes from person"))
-def signature_text(spark: SparkSession, folder: str) -> DataFrame:
-    p = graph(spark, folder).node("person")
-    only = {k: F.lit(None).cast("string") for k in text.SIGNATURE if k != "clothes"}
-    return p.withColumns(only).select("id", text.signature().alias("clothes"))
+def _merged(g: FootageGraph) -> FootageGraph:
+    keep, drop = _pair(g)
+    return dml.merge(g, "person", keep, drop, NOTE, AT, True).graph
 
 
-_SIGNATURE_SQL = ", ".join(
-    f"case when lower(trim(coalesce({k}, ''))) not in ('', 'null', 'n/a', 'unreadable', 'unknown') then trim({k}) end" for k in text.SIGNATURE if k != "race"
+_MERGED = """, two as (select id, row_number() over (order by id) as n from person where video_id = 'v_harbor_gate_fixed' qualify n <= 2),
+  k as (select * from person where id = (select id from two where n = 1)), d as (select * from person where id = (select id from two where n = 2))"""
+_RANK = "case role when 'potential_suspect' then 0 when 'officer' then 1 when 'civilian' then 2 else 3 end"
+question(
+    "correct_merge_edges",
+    with_graph(
+        f"""{_MERGED} select src_id, dst_id, arg_min(role, {_RANK}) as role from (select src_id, case when dst_id = (select id from d) then (select id from k) else dst_id end as dst_id, role
+        from involves where kind = 'person') group by 1, 2"""
+    ),
+    lambda g: _merged(g).edge("involves", "event", "person").select("src_id", "dst_id", "role"),
 )
-
-
-@query(
-    "signature_text_all",
-    f"""select id, concat_ws(' | ', {_SIGNATURE_SQL}) as signature
-    from (select *, row_number() over (partition by id order by updated_at desc nulls last, card_id desc) as place from people_cards where id is not null) where place = 1""",
+_BLANK = "lower(trim(coalesce(cast({0} as varchar), ''))) in ('', 'unknown')"
+question(
+    "correct_merge_node",
+    with_graph(
+        f"""{_MERGED} select p.id, {", ".join(f"case when p.id = k.id and {_BLANK.format('p.' + c)} and not {_BLANK.format('d.' + c)} then d.{c} else p.{c} end as {c}" for c in ("clothes", "hair", "glasses", "is_cop"))},
+        case when p.id <> k.id then p.role else (select arg_min(role, {_RANK}) from (select role from k union all select role from d)) end as role,
+        case when p.id = k.id then d.local_id else '' end as also_known_as, case when p.id = k.id then d.id else '' end as merged_ids from person p, k, d where p.id <> d.id"""
+    ),
+    lambda g: _merged(g).node("person").select("id", "clothes", "hair", "glasses", "is_cop", "role", "also_known_as", "merged_ids"),
 )
-def signature_text_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The signature of every person over all attributes that the cards have (no race); ``signature_text`` has the clothes only."""
-    return graph(spark, folder).node("person").select("id", text.signature().alias("signature"))
-
 
-@query("upsert_last_writer_wins", with_graph("select id, local_id, clothes, hair from person"))
-def upsert_last_writer_wins(spark: SparkSession, folder: str) -> DataFrame:
-    return last_write(table(spark, folder, "people_cards"), "id", "updated_at", "card_id").select("id", "local_id", "clothes", "hair")
 
+def _counters(g: FootageGraph) -> DataFrame:
+    person = _first(g, "person", ("video_id", "v_harbor_gate_fixed"))
+    return dml.write_counters(g, dml.update(g, "person", person, {"hair": "shaved by request"}, NOTE, AT, True).graph)
 
-@query("upsert_registry", "select video_id, coalesce(min(case when status = 'ready' then 'graphed' end), min(status)) as status from videos where video_id is not null group by 1")
-def upsert_registry(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "videos").where("video_id is not null").groupBy("video_id").agg(F.min("status").alias("status"), F.max("status").alias("most"))
-    new = table(spark, folder, "videos").where("status = 'ready' and video_id is not null").select("video_id", F.lit("graphed").alias("status")).distinct()
-    return upsert(v.select("video_id", "status"), new, ["video_id"])
 
-
-@query("left_anti_resume", "select distinct id from clips where id not in (select id from clips where summary is not null)")
-def left_anti_resume(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "clips").select("id", "summary")
-    return c.select("id").distinct().join(c.where("summary is not null").select("id"), "id", "left_anti")
-
-
-@query(
-    "longest_run",
-    """with x as (select vec_id, i, embedding[i] > 0 as f from embeddings, range(1, 65) t(i)),
-    y as (select *, i - row_number() over (partition by vec_id, f order by i) as g from x)
-    select vec_id, cast(coalesce(max(n), 0) as int) as run from (select vec_id, count(*) filter (f) as n from y group by vec_id, f, g) group by 1""",
+question("correct_counters", "select 'person' as name, 0 as created, 0 as deleted, 1 as changed", _counters)
+question(
+    "correct_footprint",
+    with_graph(
+        f"""select rel, array_to_string(list_sort(list_distinct(list(x))), ',') as ends from (select 'involves' as rel, src_id as x from involves where dst_id = {_HARBOR}
+        union all select 'contains', src_id from contains where dst_id = {_HARBOR} union all select 'has_person', 'v_harbor_gate_fixed') group by 1"""
+    ),
+    lambda g: g.spark.createDataFrame([(k, ",".join(sorted(v))) for k, v in dml.footprint(g, "person", _first(g, "person", ("video_id", "v_harbor_gate_fixed"))).items()], "rel string, ends string"),
 )
-def longest_run(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select("vec_id", arrays.longest_run(F.transform("embedding", lambda x: x > 0)).alias("run"))
-
-
-@query("upper_median_rms", "select vec_id, list_sort(embedding)[len(embedding) // 2 + 1] as median, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))) / len(embedding)), 5) as rms from embeddings")
-def upper_median_rms(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select("vec_id", arrays.upper_median(F.col("embedding")).alias("median"), F.round(arrays.root_mean_square(F.col("embedding")), 5).alias("rms"))
 
 
-def _boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """A box per vector, from its first four numbers in thousandths."""
-    at = lambda i: F.floor(F.abs(F.element_at("embedding", i)) * 1000).cast("int")
-    box = F.array(at(1), at(2), at(1) + at(3) + 1, at(2) + at(4) + 1)
-    return table(spark, folder, "embeddings").select("vec_id", "label", box.alias("box"), F.abs(F.element_at("embedding", 5)).cast("double").alias("confidence"))
+def _replaced(g: FootageGraph) -> DataFrame:
+    """The graph with one video put in anew: nothing doubles, nothing is lost."""
+    again = g.replace_videos(g, ["v_harbor_gate_fixed"])
+    counts = [again.node(k).groupBy("video_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("label"), "video_id", "n") for k in ("clip", "event", "person")]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
-@query(
-    "iou_pairs",
-    """with b as (select vec_id, cast(floor(abs(embedding[1]) * 1000) as int) as x1, cast(floor(abs(embedding[2]) * 1000) as int) as y1,
-      cast(floor(abs(embedding[3]) * 1000) as int) + 1 as w, cast(floor(abs(embedding[4]) * 1000) as int) + 1 as h from embeddings),
-    p as (select a.vec_id, greatest(0, least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1)) * greatest(0, least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1)) as shared,
-      a.w * a.h + b.w * b.h as total from b a join b on b.vec_id = a.vec_id + 1)
-    select vec_id, round(cast(shared as double) / (total - shared), 5) as iou from p""",
-)
-def iou_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    a = _boxes(spark, folder).select("vec_id", "box")
-    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("box").alias("other"))
-    return a.join(b, "vec_id").select("vec_id", F.round(arrays.iou(F.col("box"), F.col("other")), 5).alias("iou"))
+question("graph_upsert_of_video", with_graph(" union all ".join(f"select '{k}' as label, video_id, count(*) as n from {k} group by 2" for k in ("clip", "event", "person"))), _replaced)
 
 
-@query("content_sha256", "select doc_id, sha256(cast(octet_length(encode(text)) as varchar) || text) as print from documents where octet_length(encode(text)) <= 1048576")
-def content_sha256(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where(F.octet_length("text") <= 1 << 20)
-    return d.select("doc_id", fingerprint(F.col("text").cast("binary"), F.octet_length("text")).alias("print"))
+# The catalog
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "clip_events").where("type is not null").select("type").distinct()
 
 
-_BYTES = "encode(text)"
+_SLUG = "substring(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48)"
+_SKIP = "['find', 'all', 'show', 'list', 'the', 'every', 'events', 'event', 'of', 'for', 'videos']"
 
 
 @query(
-    "content_sha256_all",
-    f"""select doc_id, sha256(encode(cast(octet_length({_BYTES}) as varchar)) || {_BYTES}[1:1048576]
-      || case when octet_length({_BYTES}) > 2097152 then {_BYTES}[octet_length({_BYTES}) - 1048575:octet_length({_BYTES})] else ''::blob end) as print from documents""",
+    "resolve_questions",
+    f"""with said as (select distinct type, lower(trim(type)) as low from clip_events where type is not null),
+    asked as (select type, coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '' and not list_contains({_SKIP}, w)), ' '), ''), low) as needle from said),
+    own as (select id, lower(unnest(list_concat([id, title, split_part(id, '_', 1)], aliases))) as text from event_catalog),
+    named as (select text, id from own union select split_part(id, '_', 1), id from event_catalog)
+    select type, coalesce(array_to_string(list_sort(list_distinct(list(id) filter (id is not null))), ','), '') as event_types from asked left join named
+      on needle <> '' and (contains(text, needle) or contains(needle, text) or {_SLUG.format("text")} = {_SLUG.format("needle")}) group by 1""",
 )
-def content_sha256_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The fingerprint of every document, null where there is no text; ``content_sha256`` has those of up to 1 MiB only."""
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", fingerprint(F.col("text").cast("binary"), F.octet_length("text")).alias("print"))
+def resolve_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every type that people typed, asked as a question."""
+    return flat(Catalog.of_table(table(spark, folder, "event_catalog")).resolve_all(_asked(spark, folder), "type"))
 
 
 @query(
-    "video_transcripts",
-    with_graph("""select video_id, string_agg('## ' || coalesce(local_id, id) || chr(10) || coalesce(nullif(trim(transcript), ''), '(no speech)'), chr(10) || chr(10) order by idx nulls first, id) as value from clip group by 1"""),
+    "canonical_types",
+    f"""with named as (select id, {_SLUG.format("trim(n)")} as slug from (select id, unnest(list_concat([id, title], aliases)) as n from event_catalog))
+    select type, min(id) as canonical from (select distinct type from clip_events where type is not null) left join named on slug = {_SLUG.format("type")} group by 1""",
 )
-def transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    out = video_transcripts(graph(spark, folder).node("clip"))
-    return out.select("video_id", F.regexp_replace("value", r"(?m)^(## \S+)  [0-9:]+–[0-9:]+$", "$1").alias("value"))
-
-
-@query(
-    "hop_windows",
-    """with e as (select epoch(ts) as s, event_type from events), w as (select s, event_type, cast(floor(s / 170) as bigint) - i as k from e, range(0, 2) t(i))
-    select k * 170 as from_s, event_type as kind, count(*) as n from w where s >= k * 170 and s < k * 170 + 180 group by 1, 2""",
-)
-def hop_windows(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return hop_counts(e, "ts", "event_type").select(F.unix_timestamp("window_start").alias("from_s"), "kind", "n")
-
-
-@query("audio_signals")
-def audio_signals(spark: SparkSession, folder: str) -> DataFrame:
-    samples = F.flatten(F.array_repeat(F.transform("embedding", lambda x: (x * 8000).cast("smallint")), 100))
-    return table(spark, folder, "embeddings").select("vec_id", arrays.audio_signals(samples).alias("a")).select("vec_id", "a.*")
+def canonical_types(spark: SparkSession, folder: str) -> DataFrame:
+    return Catalog.of_table(table(spark, folder, "event_catalog")).canonicalise(_asked(spark, folder), "type")
 
 
-@query("nms_pandas")
-def nms_pandas(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.suppress_boxes(_boxes(spark, folder).withColumnRenamed("label", "cell_id")).select("cell_id", "vec_id", "confidence")
-
-
-@query("identity_fold")
-def identity_fold(spark: SparkSession, folder: str) -> DataFrame:
-    cards = table(spark, folder, "people_cards").dropDuplicates(["card_id"])
-    index = F.coalesce(F.nullif(F.regexp_extract("first_clip", "([0-9]+)$", 1), F.lit("")), F.lit("0")).cast("int")
-    return identity.consolidate(cards.withColumn("clip_index", index).withColumn("position", F.col("card_id")).withColumn("sighting_id", F.col("card_id").cast("string")))
-
-
-@query("entity_inventory")
-def entity_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    e = _boxes(spark, folder).select(
-        F.col("label").cast("string").alias("clip_id"), F.lit("v").alias("video_id"), F.element_at(F.array(*map(F.lit, ("person", "vehicle", "object"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("type"),
-        F.element_at(F.array(*map(F.lit, ("car", "boat", "bench", "person"))), (F.col("vec_id") % 4 + 1).cast("int")).alias("label"), "confidence", "box",
-        (F.col("vec_id") % 6).cast("int").alias("cell_index"),
-    )
-    kept = rules.denoise(e, rules.scene_prior(e))
-    return rules.inventory(kept).join(rules.best_cell(kept), "clip_id")
-
-
-@query("vlm_merge_canned")
-def vlm_merge_canned(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "clips").where("id is not null").groupBy("id").agg(F.max("summary").alias("summary"), F.max("summary_source").alias("summary_source"))
-    c = c.withColumn("tags", F.array(F.lit("speech"))).withColumn("plates", F.array().cast("array<string>"))
-    told = F.concat(F.lit('Sure: {"summary": "seen '), F.col("id"), F.lit('", "tags": ["speech", "car"], "plates": ["kl-8421"], "vehicles": []} done'))
-    return vision.merge_answers(c, c.select("id", told.alias("answer"))).drop("answered_events")
+@query("event_in_clip_range_join", with_graph("select e.id as event_id, c.id as covering from event e join clip c on c.video_id = e.video_id and e.start_ms between c.start_ms and c.end_ms"))
+def event_in_clip_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    g = graph(spark, folder)
+    points = g.node("event", "id", "video_id", "start_ms").select(F.col("id").alias("event_id"), "video_id", F.col("start_ms").alias("at"))
+    spans = g.node("clip", "id", "video_id", "start_ms", "end_ms").withColumnRenamed("id", "covering")
+    return windows.point_in_interval(points, spans, ["video_id"], "at", "start_ms", "end_ms").select("event_id", "covering")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,88 @@ def next_video(found: DataFrame) -> DataFrame:
 def video_id(source_name: Column) -> Column:
     """A file name's stem as an id; ``video`` if nothing is left."""
     stem = F.regexp_replace(source_name, r"\.[^.]*$", "")
-    made = F.regexp_replace(F.regexp_replace(F.lower(F.trim(stem)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    made = F.lower(F.regexp_replace(F.regexp_replace(stem, "[^a-zA-Z0-9._-]+", "_"), "^_+|_+$", ""))
     return F.coalesce(F.nullif(made, F.lit("")), F.lit("video"))
 
 
+def resolve_video_ids(files: DataFrame, ingested: DataFrame, done: str = "graphed") -> DataFrame:
+    """``source_name, video_id`` of files: the id of an ingested video of their stem, else the first finished one whose id goes on after it, else the stem.
+
+    Ids are listed under each of their beginnings before an underscore, so this is an equality join.
+    """
+    stems = files.select("source_name", video_id(F.col("source_name")).alias("stem")).distinct()
+    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.length("video_id")), lambda i: F.when(F.substr("video_id", i, F.lit(1)) == "_", F.substr("video_id", F.lit(1), i - 1))), lambda x: x.isNotNull())
+    known = ingested.where("video_id is not null").select("video_id", "status").distinct()
+    exact = known.select(F.col("video_id").alias("stem"), "video_id", F.lit(0).alias("order"))
+    longer = known.where(F.col("status") == done).select(F.explode(cuts).alias("stem"), "video_id", F.lit(1).alias("order"))
+    best = exact.unionByName(longer).groupBy("stem").agg(F.min(F.struct("order", "video_id")).alias("b"))
+    return stems.join(best, "stem", "left").select("source_name", F.coalesce("b.video_id", "stem").alias("video_id"))
+
+
+def ingest_records(files: DataFrame, ingested: DataFrame, probed: DataFrame | None = None, at: Column | None = None, root: str = "") -> DataFrame:
+    """A record for each new file (``path, source_name, size_bytes``): its id, the places of its media, what was probed, and its status."""
+    named = files.join(resolve_video_ids(files, ingested), "source_name")
+    place = lambda name: F.concat(F.lit(root), F.lit("/videos/"), "video_id", F.lit("/"), name)
+    ending = F.lower(F.regexp_extract("source_name", r"\.([^.]*)$", 1))
+    probe = "duration_s double, fps double, width int, height int"
+    cells = [p.split(" ") for p in probe.split(", ")]
+    rows = named.join(probed.select("path", *[n for n, _ in cells]), "path", "left") if probed is not None else named.withColumns({n: F.lit(None).cast(t) for n, t in cells})
+    return rows.select(
+        "video_id", "source_name", F.col("path").alias("source_path"), place(F.concat(F.lit("original."), ending)).alias("original_uri"), place(F.lit("audio_16k.wav")).alias("audio_uri"),
+        place(F.lit("processing.mp4")).alias("processing_uri"), *[n for n, _ in cells], "size_bytes",
+        (at if at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("ingested_at"), F.lit("copied").alias("status"), F.lit(False).alias("cached"),
+    )
+
+
+PROBE = "streams array<struct<width:int,height:int,r_frame_rate:string>>, format struct<duration:string>"
+
+
+def probe_fields(answer: Column) -> Column:
+    """``width, height, fps, duration_s`` of a probe's JSON answer; a rate ``n/0`` and what is missing are null."""
+    a = F.from_json(answer, PROBE)
+    first = F.try_element_at(a["streams"], F.lit(1))
+    rate = F.split(first["r_frame_rate"], "/")
+    fps = F.when(F.size(rate) == 2, F.round(F.try_divide(F.try_element_at(rate, F.lit(1)).try_cast("double"), F.try_element_at(rate, F.lit(2)).try_cast("double")), 3))
+    return F.struct(first["width"].alias("width"), first["height"].alias("height"), fps.alias("fps"), a["format"]["duration"].try_cast("double").alias("duration_s"))
+
+
+def probe(files: DataFrame, tool=None) -> DataFrame:
+    """``path`` with the probe's fields, by an injected tool ``tool() -> callable(path) -> JSON text``; nulls without one or where it fails."""
+    if tool is None:
+        return files.select("path", probe_fields(F.lit(None).cast("string")).alias("p")).select("path", "p.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = tool()
+        for pdf in batches:
+            told = []
+            for p in pdf["path"]:
+                try:
+                    told.append(ask(p))
+                except Exception:  # a file that cannot be probed has no fields
+                    told.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "answer": told})
+
+    return files.select("path").mapInPandas(run, "path string, answer string").select("path", probe_fields(F.col("answer")).alias("p")).select("path", "p.*")
+
+
+def status_rows(videos: DataFrame, status: str | None, step: Column, log: DataFrame | None = None) -> DataFrame:
+    """The log of states with a row for each of ``videos``: a status, or its own."""
+    rows = videos.select("video_id", (F.lit(status) if status else F.col("status")).alias("status"), step.alias("step")).distinct()
+    return rows if log is None else log.unionByName(rows)
+
+
+def last_status(log: DataFrame) -> DataFrame:
+    """The last state of each video."""
+    return log.groupBy("video_id").agg(F.max_by("status", F.struct("step", "status")).alias("status"))
+
+
+def run_report(done: DataFrame) -> DataFrame:
+    """One row of a run: how many videos it finished, which, and how many clips each has. A run takes the few videos of one drop."""
+    listed = F.array_sort(F.collect_list(F.struct("id", "clip_count")))
+    of = lambda name: F.transform("l", lambda x: x[name]).alias(f"{'video_ids' if name == 'id' else 'clip_counts'}")
+    return done.agg(F.count("*").alias("graphed"), listed.alias("l")).select("graphed", of("id"), of("clip_count"))
+
+
 def fingerprint(content: Column, size: Column) -> Column:
     """SHA-256 of the size with the first and, of files over two, the last MiB."""
     head, tail = F.substring(content, 1, END_BYTES), F.substring(content, -END_BYTES, END_BYTES)
@@ -71,8 +150,45 @@ def cached(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def clip_records(spark: SparkSession, path: str) -> DataFrame:
-    """Clip records from JSON files under a fixed schema; broken ones are kept in ``_broken``."""
-    return spark.read.schema(CLIP + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    """Clip records from JSON files under a fixed schema, in order; broken ones are kept in ``_broken``.
+
+    ``path`` is a video's folder of clips: one folder per clip, or where there are none, one file per clip.
+    """
+    read = lambda glob: spark.read.schema(CLIP + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(f"{path}/{glob}")
+    try:
+        found = read("clip_*/clip.json")
+    except AnalysisException:
+        found = read("clip_*.json")
+    return found.orderBy("video_id", "index", "id")
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """Registry entries from a JSON file that maps source names to them; without a file there are none."""
+    return _mapped(spark, path, REGISTRY.split(", ", 1)[1]).withColumnRenamed("name", "source_name").where("not startswith(source_name, '_')")
+
+
+def _mapped(spark: SparkSession, path: str, entry: str) -> DataFrame:
+    schema = f"map<string,struct<{entry.replace(' ', ':')}>>".replace(",:", ",")
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    return text.select(F.explode(F.from_json("value", schema)).alias("name", "e")).select("name", "e.*")
+
+
+def identities(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+    """Cards of one kind (``people, vehicles, plates, objects``) from a video's identities file, or of a list or ``{"people": [...]}`` of people.
+
+    A broken or missing file has none; people without an id are left out.
+    """
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    card = f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in schema.split(', '))}>>"
+    cards = F.coalesce(F.from_json("value", f"struct<{kind}:{card}>")[kind], F.from_json("value", card))
+    rows = text.select(F.explode(cards).alias("c")).select("c.*")
+    return rows.where("coalesce(id, '') <> ''") if kind == "people" else rows
 
 
 def unfinished(clips: DataFrame, done: DataFrame) -> DataFrame:

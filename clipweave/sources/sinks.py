@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import format_clock
+from ..functions.clock import minute_clock
+from ..functions.text import strip
 from ..plans.graph import EDGES, NODES, FootageGraph
 from ..session import cut
 
 
+#: The fields of a clip record that come first.
+CLIP_FIELDS = (
+    "id", "video_id", "index", "start_ms", "end_ms", "transcript", "transcript_segments", "asr_error", "summary", "important", "clip_uri", "audio_uri", "folder_uri",
+    "splice_uri", "tagged_splice_uri",
+)
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
     """``existing`` with the rows of ``new`` in place of those of the same key; columns ``keep`` survive a null in ``new``."""
     if keep:
@@ -19,12 +27,21 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], keep: list[str]
 
 
 def video_transcripts(clips: DataFrame) -> DataFrame:
-    """``video_id, value``: a video's clips in order, each with its clocks and its words or ``(no speech)``."""
-    end = F.coalesce("end_ms", "start_ms")
-    words = F.coalesce(F.nullif(F.trim("transcript"), F.lit("")), F.lit("(no speech)"))
-    part = F.concat(F.lit("## "), F.coalesce("local_id", "id"), F.lit("  "), format_clock(F.col("start_ms")), F.lit("–"), format_clock(end), F.lit("\n"), words)
-    ordered = F.array_sort(F.collect_list(F.struct("index", "id", part.alias("part"))))
-    return clips.groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("value"))
+    """``video_id, value``: a video's clips in order, each with its clocks and its words or ``(no speech)``.
+
+    One text per video is what this sink writes, so a video's transcripts meet in one row; ``transcript_parts``
+    has them as lines that can be written part by part.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("index", "id", "part")))
+    parts = F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n")
+    return transcript_parts(clips).groupBy("video_id").agg(F.concat(parts, F.lit("\n")).alias("value"))
+
+
+def transcript_parts(clips: DataFrame) -> DataFrame:
+    """``video_id, index, id, part``: the heading and the words of each clip."""
+    words = F.coalesce(F.nullif(strip(F.col("transcript")), F.lit("")), F.lit("(no speech)"))
+    head = F.concat(F.lit("## "), F.coalesce("local_id", "id"), F.lit("  "), minute_clock(F.col("start_ms")), F.lit("–"), minute_clock(F.col("end_ms")))
+    return clips.select("video_id", "index", "id", F.concat(head, F.lit("\n\n"), words).alias("part"))
 
 
 def write_parquet(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
@@ -35,6 +52,18 @@ def write_parquet(df: DataFrame, path: str, partition: list[str] | None = None)
     writer.parquet(path)
 
 
+def write_clip_records(clips: DataFrame, path: str) -> None:
+    """A JSON file set of clip records by video, in the order of the record's fields; a commit makes all visible at once."""
+    first = [c for c in CLIP_FIELDS if c in clips.columns]
+    write = clips.select(*first, *[c for c in clips.columns if c not in first])
+    write.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").json(path)
+
+
+def write_identities(cards: DataFrame, path: str) -> None:
+    """Cards of people, vehicles, plates and objects by video and kind; the videos that ``cards`` holds are replaced."""
+    cards.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "kind").json(path)
+
+
 def write_graph(graph: FootageGraph, path: str) -> None:
     """Every table of a graph under ``path``; the tables are cut off first, so a graph may be written where it came from."""
     tables = {f"node_{k}": cut(df) for k, df in graph.nodes.items()} | {f"edge_{k}": cut(df) for k, df in graph.edges.items()}

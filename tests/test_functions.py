@@ -29,9 +29,40 @@ def test_clock_seconds(spark):
 
 
 def test_event_window(spark):
-    df = spark.createDataFrame([(None, "02:55", None, None, None, None, 170000, 350000), (None, None, None, None, None, None, 0, 10000), (5000, None, 4000, None, None, None, 0, 9000)], "a bigint, b string, c bigint, d string, e bigint, f bigint, g bigint, h bigint")
+    rows = [
+        (None, "02:55", None, None, None, None, 170000, 350000),
+        (None, None, None, None, None, None, 0, 10000),
+        (5000, None, 4000, None, None, None, 0, 9000),
+        (8900, None, 100, None, None, None, 0, 9000),
+        (None, "x", None, "04:00", 200000, 180000, 170000, 350000),
+        (None, None, None, None, None, 180000, 170000, None),
+    ]
+    df = spark.createDataFrame(rows, "a bigint, b string, c bigint, d string, e bigint, f bigint, g bigint, h bigint")
     got = df.select(clock.event_window(*[F.col(c) for c in "abcdefgh"]).alias("w")).select("w.*").collect()
-    assert [tuple(r) for r in got] == [(175000, 205000), (0, 10000), (5000, 6000)]
+    assert [(r["start_ms"], r["end_ms"]) for r in got] == [(175000, 205000), (0, 10000), (5000, 6000), (8900, 9000), (200000, 240000), (180000, 170000)]
+    assert (got[0]["clock"], got[0]["end_clock"], got[0]["seek_s"]) == ("02:55", "03:25", 175.0)
+
+
+def test_clip_time_of_nothing_is_nothing(spark):
+    df = spark.createDataFrame([(None, 10, 20), (5, 10, 20), (25, 10, 20), (15, 10, None)], "x bigint, a bigint, b bigint")
+    assert [r[0] for r in df.select(clock.clip_time(F.col("x"), F.col("a"), F.col("b"))).collect()] == [None, 10, 20, 10]
+    assert [r[0] for r in df.select(clock.clip_time(F.col("x"), F.col("a"), F.col("b"), True)).collect()] == [None, 15, 20, 10]
+
+
+def test_timelines(spark):
+    rows = [(60000, [(0, 1, "hello"), (65000, 66000, " stop "), (1, 2, " ")], "x"), (None, [], " hi "), (0, None, None)]
+    df = spark.createDataFrame(rows, "s bigint, g array<struct<start_ms:bigint,end_ms:bigint,text:string>>, t string")
+    got = [r[0] for r in df.select(clock.transcript_timeline(F.col("s"), F.col("g"), F.col("t"))).collect()]
+    assert got == ["[01:00] hello\n[02:05] stop", "[00:00] hi", "(no speech)"]
+    cells = spark.createDataFrame([([1000, 61000],), ([],), (None,)], "c array<bigint>")
+    assert [r[0] for r in cells.select(clock.cell_timeline(F.col("c"))).collect()] == ["cell_00 at 00:01 (1000ms)\ncell_01 at 01:01 (61000ms)", "(no splice cells)", "(no splice cells)"]
+    assert column_of(spark, [3723000, 60000, None], "bigint", clock.minute_clock) == ["62:03", "01:00", "00:00"]
+    assert column_of(spark, [3723000, 60000, None], "bigint", clock.padded_clock) == ["01:02:03", "01:00", "00:00"]
+
+
+def test_signature_has_cleaned_values(spark):
+    df = spark.createDataFrame([("Unknown", " F ", "N/A", "No Glasses", "Red Jacket\u00a0", None, "", "none")], ", ".join(f"{k} string" for k in text.SIGNATURE))
+    assert df.select(text.signature()).first()[0] == "f | none | red jacket | none"
 
 
 def test_text(spark):

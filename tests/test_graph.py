@@ -52,6 +52,8 @@ def graph(spark, catalog):
             "bundles": t["bundles"],
             "has_plate": df([("v2:vehicle_1", "vehicle", "v2:plate:ABC123", "plate", None)], edge),
             "continues": df([(events[0][0], "event", events[1][0], "event", None), (events[1][0], "event", events[2][0], "event", None)], edge),
+            "has_person": df([(p[1], "video", p[0], "person", None) for p in people], edge),
+            "has_vehicle": df([("v2", "video", "v2:vehicle_1", "vehicle", None), ("v1", "video", "v1:vehicle_1", "vehicle", None)], edge),
             "starts_at": first,
             "next": following,
         },
@@ -221,12 +223,59 @@ def test_refused_corrections(footage):
 def test_create_and_link(footage):
     footage.correct("create", kind="person", video_id="v1", values={"clothes": "blue coat"}, request=NOTE, at=AT, clip_id="v1:clip_0002", confirmed=True)
     assert footage.graph.node("person").where("id = 'v1:person_3'").first()["correction_note"] == NOTE
-    assert footage.graph.edge("has_person").count() == 1
+    assert footage.graph.edge("has_person").where("corrected_at is not null").count() == 1
     for _ in range(2):
         footage.correct("link", rel="involves", src_kind="event", src_id=STOP2, dst_kind="person", dst_id="v1:person_3", role="potential_suspect", request=NOTE, at=AT, confirmed=True)
     e = footage.graph.edge("involves").where("dst_id = 'v1:person_3'").collect()
     assert [(r["src_id"], r["role"]) for r in e] == [(STOP2, "potential_suspect")]
-    assert footage.graph.node("person").where("id = 'v1:person_3'").first()["potential_suspect"] is True
+    assert footage.graph.node("person").where("id = 'v1:person_3'").first()["potential_suspect"] is False
+    done = dml.involve(footage.graph, STOP2, NOTE, AT, {"person": "v1:person_3", "role": "potential_suspect", "vehicle": "v1:vehicle_1"}, True)
+    person = done.graph.node("person").where("id = 'v1:person_3'").first()
+    assert (person["potential_suspect"], person["role"]) == (True, "potential_suspect")
+    assert done.graph.node("event").where(f"id = '{STOP2}'").first()["subject_ids"] == ["person_3"]
+    assert done.graph.edge("involves", "event", "vehicle").where(f"src_id = '{STOP2}'").count() == 1
+    counted = {r["name"]: (r["created"], r["deleted"], r["changed"]) for r in dml.write_counters(footage.graph, done.graph).collect()}
+    assert counted["edge_involves"] == (1, 0, 0) and counted["person"] == (0, 0, 1) and counted["event"] == (0, 0, 1)
+
+
+def test_create_with_defaults_and_links(footage):
+    footage.correct("create", kind="vehicle", video_id="v1", values={"color": " Red ", "plate": "xy 123"}, request=NOTE, at=AT, clip_id="clip_0002", confirmed=True)
+    row = footage.graph.node("vehicle").where("id = 'v1:vehicle_2'").first()
+    assert (row["color"], row["plate"]) == ("red", "XY 123")
+    assert footage.graph.node("plate").where("id = 'v1:plate:XY 123'").count() == 1
+    assert {(r["src_id"], r["dst_id"]) for r in footage.graph.edge("has_plate").where("dst_id like 'v1%'").collect()} == {("v1:vehicle_2", "v1:plate:XY 123"), ("v1", "v1:plate:XY 123")}
+    also = {"person": "person_1", "role": "civilian", "continues_from": STOP2}
+    footage.correct("create", kind="event", video_id="v1", values={"type": "Night Patrol", "start_timestamp": "06:00"}, request=NOTE, at=AT, also=also, confirmed=True)
+    event = "v1:clip_0002:night_patrol:360000"
+    row = footage.graph.node("event").where(f"id = '{event}'").first()
+    assert (row["title"], row["seek_s"], row["clip_id"], row["source"]) == ("night patrol", 360.0, "v1:clip_0002", "user")
+    assert footage.graph.edge("continues").where(f"dst_id = '{event}'").first()["src_id"] == STOP2
+    assert footage.graph.node("event_type").where("id = 'night_patrol'").first()["title"] == "night patrol"
+    assert sorted(r["src_id"] for r in footage.graph.edge("has_type").where("dst_id = 'night_patrol'").collect()) == ["v1", "v1:clip_0002"]
+    with pytest.raises(dml.CorrectionError):
+        footage.correct("create", kind="event", video_id="v1", values={"type": "Night Patrol", "start_timestamp": "06:00"}, request=NOTE, at=AT, confirmed=True)
+
+
+def test_names_of_nodes(graph):
+    assert dml.locate(graph, "person", "person_1", "v2")["id"] == "v2:person_1"
+    assert dml.locate(graph, "vehicle", "abc123")["id"] == "v2:vehicle_1"
+    assert dml.locate(graph, "plate", "abc123")["id"] == "v2:plate:ABC123"
+    assert dml.locate(graph, "object", "BOTTLE")["id"] == "v1:object_1"
+    assert dml.locate_event(graph, "traffic_stop", "02:50", "v1")["id"] == STOP1
+    for kind, name in (("person", "person_1"), ("object", "object_1"), ("event", "nothing"), ("person", "")):
+        with pytest.raises(dml.CorrectionError):
+            dml.locate(graph, kind, name)
+
+
+def test_clean_patch():
+    assert dml.clean_patch("person", {"role": "officer"}) == {"role": "officer", "is_cop": True}
+    assert dml.clean_patch("person", {"is_cop": "yes"}) == {"is_cop": True, "role": "officer"}
+    assert dml.clean_patch("person", {"role": "potential_suspect", "hair": ""}) == {"role": "potential_suspect", "potential_suspect": True}
+    assert dml.clean_patch("person", {"is_cop": "unknown"}) == {"is_cop": None}
+    assert dml.clean_patch("event", {"cell": "3", "end_timestamp": "1:02:03"}) == {"cell": 3, "end_timestamp": "1:02:03", "end_ms": 3723000}
+    for kind, patch in (("person", {"role": "boss"}), ("person", {"is_cop": "maybe"}), ("event", {"type": "a-b"}), ("event", {"cell": "x"}), ("clip", {"transcript": "x"}), ("video", {"source_name": "x"})):
+        with pytest.raises(dml.CorrectionError):
+            dml.clean_patch(kind, patch)
 
 
 def test_merge(footage):
@@ -250,7 +299,48 @@ def test_catalog(catalog):
     assert catalog.canonical("Pulled Over") == "traffic_stop" and catalog.canonical("x") is None
     c = Catalog(dict(catalog.definitions), dict(catalog.topics))
     assert c.learn([{"id": "Door Knock", "description": "somebody knocks at a door", "aliases": ["knock", "Knock"]}, {"id": "bad", "description": "short"}]) == ["door_knock"]
-    assert c.definitions["door_knock"]["aliases"] == ["knock"]
+    assert c.definitions["door_knock"]["aliases"] == ["knock", "Knock"]
+    assert c.learn([{"id": "murder scene", "description": "a long enough description"}, {"id": "door knock", "title": "No", "description": "short"}]) == []
+    assert c.learn([], [{"id": "none", "title": "x"}, {"id": "door knock", "title": "Knock", "description": "short", "how_to_confirm": "look"}]) == ["door_knock"]
+    knock = c.definitions["door_knock"]
+    assert (knock["title"], knock["description"], knock["how_to_confirm"], knock["source"]) == ("Knock", "somebody knocks at a door", "look", "gemini")
+    assert c.learn([{"id": "door knock", "description": "a quite different description"}]) == ["door_knock"] and c.definitions["door_knock"]["description"] == "a quite different description"
+    assert c.learn([], [{"id": "door knock", "aliases": ["knock"]}]) == []
+    assert c.learn_types([{"type": "event", "id": "Flat tyre"}, {"type": "arrest"}, {"type": "flat tyre"}]) == ["flat_tyre"]
+    assert c.definitions["flat_tyre"]["description"] == "Observable scene labeled flat tyre."
+    assert c.prompt().splitlines()[:2] == ["- traffic_stop (aliases: pulled_over): Traffic stop / pulled over", "  phrases: Pull over; pull over"]
+
+
+def test_many_questions_are_resolved_as_one_is(spark, catalog):
+    said = ["find all drunk driving", "Pulled Over!", "arrest", "", "zzz", None, "the events", "custody"]
+    got = {r["question"]: r["event_types"] for r in catalog.resolve_all(spark.createDataFrame([(s,) for s in said], "question string")).collect()}
+    assert got == {s: catalog.resolve(s)["event_types"] for s in said}
+    names = spark.createDataFrame([("Pulled Over",), ("arrest",), ("x",), (None,)], "n string")
+    assert {r["n"]: r["canonical"] for r in catalog.canonicalise(names, "n").collect()} == {"Pulled Over": "traffic_stop", "arrest": "arrest", "x": None, None: None}
+
+
+def test_recipes_in_the_short_form():
+    assert blocks.parse_pipeline("person_timeline person_id=x") == blocks.recipe_steps("person_timeline", person_id="x")
+    assert blocks.parse_pipeline("all_dui video_id='a b' | count") == [*blocks.recipe_steps("all_dui", video_id="a b"), {"block": "count"}]
+    assert blocks.parse_pipeline("objects") == [{"block": "objects"}] and blocks.parse_pipeline("objects label=kit")[-1] == {"block": "return_objects"}
+    with pytest.raises(blocks.PipelineError):
+        blocks.parse_pipeline("person_timeline x")
+
+
+def test_a_question_reads_only_its_columns(spark, tiny):
+    from clipweave.plans.graph import graph_of_tables
+
+    plan = blocks.assemble(graph_of_tables(spark, tiny), "events | event_type door_knock | count_by_video")._jdf.queryExecution().executedPlan().toString()
+    assert "struct<id:string,video_id:string,source_name:string,type:string>" in plan
+    assert "EqualTo(type,door_knock)" in plan and "SortAggregate" not in plan
+
+
+def test_chains_from_some_starts_only(spark):
+    from clipweave.operators.windows import event_chains
+
+    edges = spark.createDataFrame([(f"e{i}", f"e{i + 1}") for i in range(20)] + [("e3", "x")], "src_id string, dst_id string")
+    got = event_chains(edges, spark.createDataFrame([("e2",), ("nothing",)], "start_id string"))
+    assert {tuple(r) for r in got.collect()} == {("e2", f"e{i}", i - 2) for i in range(3, 21)} | {("e2", "x", 2)}
 
 
 def test_continues_edges_from_loose_names_and_users(spark):

@@ -4,7 +4,7 @@ import pytest
 
 from clipweave import (
     queries,
-    questions,  # noqa: F401 - registers its queries
+    questions_records,  # noqa: F401 - registers all queries of the core
 )
 from clipweave.sources.tables import table
 from tests.oracle import differences
@@ -33,9 +33,9 @@ def test_fingerprints_of_documents_of_any_length(spark, tmp_path):
         b = t.encode()
         return hashlib.sha256(str(len(b)).encode() + b[:mib] + (b[-mib:] if len(b) > 2 * mib else b"")).hexdigest()
 
-    q = queries.QUERIES["content_sha256_all"](spark, str(tmp_path))
+    q = queries.QUERIES["content_sha256"](spark, str(tmp_path))
     assert {r["doc_id"]: r["print"] for r in q.collect()} == {i: None if t is None else want(t) for i, t in enumerate(texts)}
-    more, less = differences(q, queries.ORACLE["content_sha256_all"], str(tmp_path))
+    more, less = differences(q, queries.ORACLE["content_sha256"], str(tmp_path))
     assert not more and not less
 
 
@@ -47,8 +47,8 @@ def test_entry(spark):
 
 
 def test_signatures_and_tags_use_more_than_one_part(spark, tiny):
-    signatures = [r["signature"] for r in queries.QUERIES["signature_text_all"](spark, tiny).collect()]
+    signatures = [r["signature"] for r in queries.QUERIES["signature_text"](spark, tiny).collect()]
     assert max(len(s.split(" | ")) for s in signatures) == 7
     types = {r["type"] for r in table(spark, tiny, "clip_events").select("type").distinct().collect()}
-    tags = [set(r["tags"].split(",")) for r in queries.QUERIES["local_tags_all"](spark, tiny).collect()]
+    tags = [set(r["tags"].split(",")) for r in queries.QUERIES["local_tags"](spark, tiny).collect()]
     assert any(t & types for t in tags)
