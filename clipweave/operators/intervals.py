@@ -7,6 +7,10 @@ sibling pairs upward and coalesces neighbours. All of it is vectorised over the
 batch; the same step runs before the shuffle, where it reduces a hot entity to its local periods,
 and after it. Periods that reach an edge of their top block are stitched by a window over at most
 two rows per entity and top block, a number that the length of the time line bounds.
+
+An interval of more than ``SPAN_BLOCKS`` top blocks, as a mistyped clock may give, is not cut into all of
+them: its ends are, its middle is decomposed into dyadic blocks of higher levels. Those cover the top blocks
+under them in which the entity has anything, and go to the stitch as they are; nobody else's plan changes.
 """
 
 from __future__ import annotations
@@ -18,10 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Levels under a top block; 2**22 ms are about 70 minutes.
 LEVELS = 22
-#: Top blocks that one interval may meet before the blocks are made larger, and the largest ones.
-SPAN_BLOCKS, MOST_LEVELS = 4096, 44
+#: Top blocks that one interval may meet before its middle goes by larger blocks.
+SPAN_BLOCKS = 4096
+#: Levels above a top block that the middle of a long interval may have.
+HIGHER = 41
 #: Rows gathered before a vectorised pass.
 BATCH_ROWS = 200_000
 
@@ -171,57 +179,95 @@ def _whole(levels: int):
     return run
 
 
-def _levels(longest: int | None) -> int:
-    """Levels under a top block, so that the longest interval does not meet too many of them."""
-    return LEVELS if not longest else max(LEVELS, min(MOST_LEVELS, longest.bit_length() - SPAN_BLOCKS.bit_length() + 1))
+def _pieces_of(rows: DataFrame, levels: int) -> DataFrame:
+    """Intervals cut at the edges of their top blocks."""
+    top = 1 << levels
+    return rows.withColumn("chunk", F.explode(F.sequence(F.shiftright("s", levels), F.shiftright(F.col("e") - 1, levels)))).select(
+        "k0", "k1", "chunk", F.greatest("s", F.col("chunk") * top).alias("s"), F.least("e", (F.col("chunk") + 1) * top).alias("e"), F.col("event").alias("lo"), F.col("event").alias("hi")
+    )
+
 
+def _higher_blocks(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The canonical dyadic blocks ``row, level, block`` of ranges ``[first, last)`` of top blocks."""
+    row, out = np.arange(len(first)), []
+    lo, hi = first.copy(), last.copy()
+    for level in range(HIGHER + 1):
+        for odd, block in (((lo < hi) & (lo & 1 == 1), lo), ((lo < hi) & (hi & 1 == 1), hi - 1)):
+            out.append((row[odd], level, block[odd]))
+        lo, hi = (lo + 1) >> 1, hi >> 1
+    rows = np.concatenate([r for r, _, _ in out])
+    return rows, np.concatenate([np.full(len(r), level) for r, level, _ in out]), np.concatenate([b for _, _, b in out])
+
+
+def _raised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows, level, block = _higher_blocks(pdf["first"].to_numpy(np.int64), pdf["last"].to_numpy(np.int64))
+        at = pdf.iloc[rows]
+        yield pd.DataFrame({"k0": at["k0"].to_numpy(), "k1": at["k1"].to_numpy(), "level": level, "block": block, "lo": at["event"].to_numpy(), "hi": at["event"].to_numpy()})
 
-def merge_intervals(intervals: DataFrame, levels: int | None = None) -> DataFrame:
+
+def _long_parts(whole: DataFrame, long: Column, levels: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces that long intervals add, and their middles as blocks ``k0, k1, s, e, lo, hi``.
+
+    A middle is taken by its dyadic blocks. An entity's top block that lies under one of them, found among its
+    ancestors by an equality join, gets a piece of full length.
+    """
+    top = 1 << levels
+    ranged = whole.where(long).withColumns({"first": F.shiftright("s", levels) + 1, "last": F.shiftright(F.col("e") - 1, levels)})
+    ends = ranged.withColumn("x", F.explode(F.array(F.struct("s", (F.col("first") * top).alias("e")), F.struct((F.col("last") * top).alias("s"), "e"))))
+    blocks = cut(
+        ranged.select("k0", "k1", "first", "last", "event").mapInPandas(_raised, "k0 string, k1 string, level int, block bigint, lo bigint, hi bigint")
+        .groupBy("k0", "k1", "level", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    at_ends = _pieces_of(ends.select("k0", "k1", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "event"), levels)
+    here = whole.where(~long).join(blocks.select("k0", "k1").distinct(), ["k0", "k1"], "left_semi")
+    chunks = _pieces_of(here, levels).unionByName(at_ends).select("k0", "k1", "chunk").distinct()
+    ancestors = chunks.withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(HIGHER)))).withColumn("block", F.expr("shiftright(chunk, up)"))
+    under = ancestors.withColumnRenamed("up", "level").join(blocks, ["k0", "k1", "level", "block"])
+    covered = under.select("k0", "k1", "chunk", (F.col("chunk") * top).alias("s"), ((F.col("chunk") + 1) * top).alias("e"), "lo", "hi")
+    size = F.expr("shiftleft(1L, level)") * top
+    return at_ends.unionByName(covered), blocks.select("k0", "k1", (F.col("block") * size).alias("s"), ((F.col("block") + 1) * size).alias("e"), "lo", "hi")
+
+
+def merge_intervals(intervals: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Continuous periods of each entity and the gaps between them.
 
     ``intervals``: columns ``k0, k1`` (the entity; strings, not null), ``s, e`` (bigint) and ``event``
-    (bigint that stands for the record); further columns are ignored. An interval longer than some
-    thousand top blocks, as a mistyped clock may give, makes the top blocks larger. Rows with a null, and rows
+    (bigint that stands for the record); further columns are ignored. Rows with a null, and rows
     whose end is not after their start, have no extent and are left out; repeated rows and ties change
-    nothing; an empty table gives an empty result. Returns ``k0, k1, kind, s, e, events_many`` with
+    nothing; an empty table gives an empty result; times of any size up to 2^62 are whole. Returns ``k0, k1, kind, s, e, events_many`` with
     kind ``period`` or ``gap``; ``events_many`` tells whether a period holds two or more records.
     """
     whole = intervals.select("k0", "k1", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"), "event").where(
         "k0 is not null and k1 is not null and event is not null and s < e"
     )
-    if levels is None:
-        levels = _levels(whole.agg(F.max(F.col("e") - F.col("s"))).first()[0])
-    top = 1 << levels
-    cut_up = (
-        whole.withColumn("chunk", F.explode(F.sequence(F.shiftright("s", levels), F.shiftright(F.col("e") - 1, levels))))
-        .select(
-            "k0",
-            "k1",
-            "chunk",
-            F.greatest("s", F.col("chunk") * top).alias("s"),
-            F.least("e", (F.col("chunk") + 1) * top).alias("e"),
-            F.col("event").alias("lo"),
-            F.col("event").alias("hi"),
-        )
-    )
+    long = F.shiftright("e", levels) - F.shiftright("s", levels) > SPAN_BLOCKS
+    cut_up, middles = _pieces_of(whole.where(~long), levels), None
+    if whole.where(long).limit(1).count():
+        added, middles = _long_parts(whole, long, levels)
+        cut_up = cut_up.unionByName(added)
     local = cut_up.mapInPandas(_local(levels), _PIECE)
     pieces = (
         local.repartition("k0", "k1", "chunk")
         .sortWithinPartitions("k0", "k1", "chunk", "s")
         .mapInPandas(_whole(levels), _DONE)
     )
+    if middles is not None:
+        pieces = pieces.unionByName(middles.withColumns({"kind": F.lit("edge"), "chunk": F.lit(None).cast("bigint")}))
     # Inner rows pass the window in partitions of their own top block, so that the pieces are made once.
     edge = F.col("kind") == "edge"
     part = F.when(edge, F.lit(-1)).otherwise(F.col("chunk"))
-    ordered = Window.partitionBy("k0", "k1", "part").orderBy("s")
+    ordered = Window.partitionBy("k0", "k1", "part").orderBy("s", "e")
     run = Window.partitionBy("k0", "k1", "part", "run")
     stitched = (
         pieces.withColumn("part", part)
-        .withColumn("before", F.lag("e").over(ordered))
-        .withColumn("other", F.lag("chunk").over(ordered) != F.col("chunk"))
-        .withColumn("run", F.sum(F.when(edge & (F.col("before") == F.col("s")), 0).otherwise(1)).over(ordered))
-        .withColumn("closes", edge & (F.max("s").over(run) == F.col("s")))
+        .withColumn("before", F.max("e").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("other", F.coalesce(F.lag("chunk").over(ordered) != F.col("chunk"), F.lit(True)))
+        .withColumn("run", F.sum(F.when(edge & (F.col("before") >= F.col("s")), 0).otherwise(1)).over(ordered))
+        .withColumn("at", F.row_number().over(ordered))
+        .withColumn("closes", edge & (F.max("at").over(run) == F.col("at")))
         .withColumn("from", F.min("s").over(run))
+        .withColumn("to", F.max("e").over(run))
         .withColumn("least", F.min("lo").over(run))
         .withColumn("most", F.max("hi").over(run))
     )
@@ -231,7 +277,7 @@ def merge_intervals(intervals: DataFrame, levels: int | None = None) -> DataFram
 
     none = F.lit(None).cast("boolean")
     found = F.array(
-        F.when(F.col("closes"), row("period", F.col("from"), F.col("e"), F.col("least") != F.col("most"))),
+        F.when(F.col("closes"), row("period", F.col("from"), F.col("to"), F.col("least") != F.col("most"))),
         F.when(edge & F.col("other") & (F.col("before") < F.col("s")), row("gap", F.col("before"), F.col("s"), none)),
         F.when(F.col("kind") == "period", row("period", F.col("s"), F.col("e"), F.col("lo") != F.col("hi"))),
         F.when(F.col("kind") == "gap", row("gap", F.col("s"), F.col("e"), none)),

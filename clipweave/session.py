@@ -61,3 +61,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def broadcast_hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
     """``broadcast`` for tables derived from ``df`` by a constant factor, if it has at most ``rows`` rows; one check for all."""
     return F.broadcast if df.limit(rows + 1).count() <= rows else lambda derived: derived
+
+
+#: Keys that count as hot in ``join_unique``: the most frequent ones above a number of rows.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key at most once, with the rows of hot keys left in place.
+
+    The most frequent keys of ``left``, at most ``HOT_KEYS`` and only those of more than ``HOT_ROWS`` rows, are
+    counted first (summed up before the shuffle); their rows of ``right``, as many at most, are broadcast. Any
+    other key has less than a thousandth of the rows. Without hot keys this is the plain join. ``left`` is
+    read twice, or three times where keys are hot, so it should be a scan or have been cut off.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).drop("_n").collect()
+    if not hot:
+        return left.join(right, keys, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, counts.drop("_n").schema))
+    here = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    rest = left.join(few, keys, "left_anti").join(right, keys, how)
+    return here.unionByName(rest)
