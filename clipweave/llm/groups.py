@@ -4,9 +4,11 @@ Each round takes out, all at once, an independent set of the vertices with at mo
 whose rank of the round is above both neighbours'. A vertex of degree one is stripped, one of degree
 two is spliced out of its chain, its neighbours being linked instead; that is list ranking by removal
 of independent sets, so a chain of any length shrinks by a constant factor in each round. The vertex
-remembers a surviving neighbour. When nothing is left, or only a core that no longer shrinks, the
-core is solved: in one task if its checked size allows it, else by star contraction over the cluster.
-The rounds are then undone in reverse: each removed vertex takes the label of its neighbour.
+remembers a surviving neighbour. The rounds go on until an eighth of the links is left, at every size, and
+until that fits one task or no longer shrinks; this core is solved in one task if its checked size
+allows it, else by star contraction over the cluster. The rounds are then undone in reverse: each removed
+vertex takes the label of its neighbour. Joins on a hub or on the root of a giant group keep the rows of
+such keys in place (``join_unique``); no table is broadcast but for those keys.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, join_unique
 
 #: Links up to which the core is solved in one task (two longs each, so about 1 MB).
 CORE_LINKS = 65_536
+#: The reduced core has at most this part of the links.
+REDUCED = 8
 #: A round that keeps more than this share of the links ends the reduction.
 WORTHWHILE = 0.9
 
@@ -100,7 +104,7 @@ def _stars(links: DataFrame) -> DataFrame:
         """Links of each vertex to the least vertex of its neighbourhood; ``larger`` moves the greater neighbours only."""
         near = both(df) if larger else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = near.join(least, "a").select(F.col("b").alias("x"), "m", "a")
+        moved = join_unique(near, least, ["a"]).select(F.col("b").alias("x"), "m", "a")
         out = moved.where("x > a").select(F.col("m").alias("a"), F.col("x").alias("b")) if larger else moved.select(
             F.col("m").alias("a"), F.col("x").alias("b")
         ).unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
@@ -129,9 +133,9 @@ def group_labels(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     leave on their own.
     """
     now = cut(_ordered(links.where("a is not null and b is not null")).distinct())
-    left = now.count()
+    left = at_first = now.count()
     rounds: list[DataFrame] = []
-    while left > core_links:
+    while left and (left > core_links or left * REDUCED > at_first):
         gone = cut(_removable(now, len(rounds)))
         rounds.append(gone)
         now = cut(_without(now, gone))
@@ -145,9 +149,9 @@ def group_labels(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     for gone in reversed(rounds):
         # The neighbour may have lost its last link with this vertex; it then stands for itself.
         told = gone.select("v", F.col("n1").alias("n"))
-        known = labels.withColumnRenamed("v", "n")
+        known = labels.withColumnRenamed("v", "n").hint("merge")
         near = cut(
-            told.join(known, "n", "left").select(
+            join_unique(told, known, ["n"], "left").select(
                 "v", F.coalesce("root", "n").alias("root"), "n", F.col("root").isNull().alias("alone")
             )
         )
@@ -179,7 +183,7 @@ def name_links(events: DataFrame, continues_links: DataFrame) -> DataFrame:
         .select(F.xxhash64("id").alias("a"), F.explode(names).alias("k"))
         .distinct()
     )
-    by_event = stated.join(known, "k").select("a", F.col("h").alias("b"))
+    by_event = stated.join(known.hint("merge"), "k").select("a", F.col("h").alias("b"))
     given = (
         continues_links.where("src_id is not null and dst_id is not null")
         .select(F.xxhash64(_key(F.col("src_id"))).alias("ka"), F.xxhash64(_key(F.col("dst_id"))).alias("kb"))
@@ -200,10 +204,10 @@ def linked_events(events: DataFrame, continues_links: DataFrame, core_links: int
     an id are none. Two ids with one hash would raise an error instead of joining their groups.
     """
     labels = group_labels(name_links(events, continues_links), core_links)
-    members = (
+    members = cut(
         events.where("id is not null")
         .select(F.xxhash64("id").alias("v"), "id")
-        .join(labels, "v")
+        .join(labels.hint("merge"), "v")
         .groupBy("v", "root")
         .agg(F.min("id").alias("event_id"), F.max("id").alias("other"))
         .select(
@@ -214,4 +218,4 @@ def linked_events(events: DataFrame, continues_links: DataFrame, core_links: int
         )
     )
     first = members.groupBy("root").agg(F.min("event_id").alias("group_id"))
-    return members.join(first, "root").select("event_id", "group_id")
+    return join_unique(members, first.hint("merge"), ["root"]).select("event_id", "group_id")

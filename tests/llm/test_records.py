@@ -191,3 +191,25 @@ def test_events_without_a_place_are_left_out(spark):
     got = runs.collapse_runs(spark.createDataFrame(rows, RUN)).collect()
     assert [(r["first_id"], r["last_id"], r["n"]) for r in got] == [("c", "d", 2)]
     assert runs.collapse_runs(spark.createDataFrame([], RUN)).count() == 0
+
+
+def test_every_size_is_reduced_first(spark, monkeypatch):
+    took = []
+    real = groups._removable
+    monkeypatch.setattr(groups, "_removable", lambda links, turn: took.append(turn) or real(links, turn))
+    links = [(i, i + 1) for i in range(40)]
+    rows = groups.group_labels(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert len(took) >= 3 and len({r["root"] for r in rows}) == 1 and len(rows) == 41
+
+
+def test_a_hub_is_joined_in_place(spark, monkeypatch):
+    from clipweave import session
+
+    monkeypatch.setattr(session, "HOT_ROWS", 20)
+    links = [(0, i) for i in range(1, 300)] + [(300, 301)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    for rows in (groups.group_labels(df).collect(), groups._stars(df).distinct().collect()):
+        got = {}
+        for r in rows:
+            got.setdefault(r["root"], []).append(r["v"])
+        assert sorted(map(sorted, got.values())) == [list(range(300)), [300, 301]]
