@@ -190,7 +190,9 @@ def name_links(events: DataFrame, continues_links: DataFrame) -> DataFrame:
         .distinct()
     )
     by_user = (
-        given.join(known.select(F.col("k").alias("ka"), F.col("h").alias("a")), "ka")
+        given.hint("merge")
+        .join(known.select(F.col("k").alias("ka"), F.col("h").alias("a")), "ka")
+        .hint("merge")
         .join(known.select(F.col("k").alias("kb"), F.col("h").alias("b")), "kb")
         .select("a", "b")
     )
