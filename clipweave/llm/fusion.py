@@ -4,8 +4,8 @@ Sources are the origins of the cards. A source's claim on a field of a record is
 latest card that says something. Rounds of estimation alternate: the posterior of each claimed value
 from the accuracies of the sources that claim it, the accuracy of a source as the mean posterior of
 its claims, and the dependence of each pair of sources from how often they share false values; the
-vote of a source that copies is discounted. A prior over the sources enters the posterior; an ordered
-prior, whose steps outweigh all votes together, makes the trust in a source decide first.
+vote of a source that copies is discounted. Where an order of trust is given whose steps outweigh all votes,
+no vote can change the winner; then nothing is estimated, and the order alone is applied in one pass.
 
 A record is one row with a column per source from the first aggregation on, so a group of any size is
 reduced on the map side, no pairs of rows are made, and the rounds are narrow scans that send a few
@@ -129,12 +129,14 @@ def estimate(
 
     ``false_values`` is the number of false values a field may take, ``copied`` the prior probability
     that two sources depend, ``copy_rate`` the share of values a copier copies. An item of one claim says
-    nothing about accuracy beyond its prior; the estimates are kept in [0.05, 0.95].
+    nothing about accuracy beyond its prior; the estimates are kept in [0.05, 0.95]. The first pass only looks for
+    dependence, by how often sources agree at all: copies that vote in full would otherwise make their own errors
+    true, and the errors of all others shared false values.
     """
     accuracy = [0.8] * n
     discount = [[0.0] * n for _ in range(n)]
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    for _ in range(rounds):
+    for turn in range(rounds + 1 if rounds else 0):
         votes = _Votes(n, accuracy, discount, false_values)
         scored = items.select(*[votes.key[j].alias(f"k{j}") for j in range(n)], *[votes.posterior[j].alias(f"p{j}") for j in range(n)])
         sums = []
@@ -149,7 +151,8 @@ def estimate(
                 F.sum(F.when(~same, 1.0)).alias(f"d{i}_{j}"),
             ]
         seen = scored.agg(*sums).first()
-        accuracy = [min(0.95, max(0.05, seen[f"a{j}"] if seen[f"a{j}"] is not None else accuracy[j])) for j in range(n)]
+        if turn:
+            accuracy = [min(0.95, max(0.05, seen[f"a{j}"] if seen[f"a{j}"] is not None else accuracy[j])) for j in range(n)]
         for i, j in pairs:
             kt, kf, kd = (seen[f"{x}{i}_{j}"] or 0.0 for x in "tfd")
             ai, aj = accuracy[i], accuracy[j]
@@ -160,6 +163,9 @@ def estimate(
                 + kf * math.log(false_ / ((1 - a) * copy_rate + false_ * (1 - copy_rate)))
                 + kd * -math.log(1 - copy_rate)
             )
+            if not turn:
+                by_chance = true_ + false_
+                likely = (kt + kf) * math.log(by_chance / (copy_rate + by_chance * (1 - copy_rate))) + kd * -math.log(1 - copy_rate)
             odds = math.log((1 - copied) / copied) + likely
             depends = 1 / (1 + math.exp(min(700.0, max(-700.0, odds))))
             # Either may be the copier: the less accurate one loses its vote.
@@ -170,56 +176,47 @@ def estimate(
 
 
 def fuse(
-    cards: DataFrame,
-    fields: Sequence[str] = FIELDS,
-    trust: Sequence[str] = TRUST,
-    ordered_prior: bool = True,
-    rounds: int = 4,
-    false_values: int = 20,
+    cards: DataFrame, fields: Sequence[str] = FIELDS, trust: Sequence[str] = TRUST, rounds: int = 4, false_values: int = 20
 ) -> tuple[DataFrame, SourceModel]:
-    """The surviving value of each field of each record that has two or more cards.
+    """The surviving value of each field of each record that has two or more cards, by the greatest posterior.
 
     ``cards``: ``id, card_id, source, updated_at`` and the fields; further columns are ignored. Returns
-    ``id, field, value, card_id, source, posterior`` and the estimated model. With ``ordered_prior`` each
-    step of trust outweighs all votes, so the most trusted source that says something wins; else the
-    prior is flat and the votes decide, equal posteriors going to the more trusted source. Within a
+    ``id, field, value, card_id, source, posterior`` and the estimated model. The prior is flat, so the votes
+    of the sources decide; of equal posteriors the more trusted source's value survives. Within a
     source its latest card speaks. Null ``updated_at`` is the oldest; a card in two rows is one card; rows
     without ``id`` or ``card_id`` are no cards; fields in which no card says anything have no row.
     """
-    n = len(trust) + 1
+    names = [*trust, OTHER]
+    n = len(names)
     items = cut(claims(cards, fields, trust))
     compared = items.select("*", *[_agreed(F.col(f"c{j}.value")).alias(f"k{j}") for j in range(n)])
     accuracy, discount = estimate(compared, n, rounds, false_values)
     votes = _Votes(n, accuracy, discount, false_values)
-    # More than all sources' votes can sum up to.
-    step = 1.0 + 2 * n * math.log(false_values * 0.95 / 0.05) if ordered_prior else 0.0
     ranked = [
-        F.when(
-            F.col(f"c{j}").isNotNull(),
-            F.struct(
-                (votes.score[j] + step * (n - 1 - j)).alias("log_posterior"),
-                F.lit(-j).alias("trust"),
-                votes.posterior[j].alias("posterior"),
-                F.lit([*trust, OTHER][j]).alias("source"),
-                F.col(f"c{j}.card_id").alias("card_id"),
-                F.col(f"c{j}.value").alias("value"),
-            ),
-        )
+        F.when(F.col(f"c{j}").isNotNull(), F.struct(votes.score[j].alias("log_posterior"), F.lit(-j).alias("trust"), votes.posterior[j].alias("posterior"), *_origin(j, names[j])))
         for j in range(n)
     ]
     best = compared.select("id", "field", F.greatest(*ranked).alias("b"))
+    pairs = {(names[i], names[j]): discount[i][j] for i in range(n) for j in range(n) if i != j}
+    return best.select("id", "field", "b.value", "b.card_id", "b.source", "b.posterior"), SourceModel(dict(zip(names, accuracy, strict=True)), pairs, rounds)
+
+
+def _origin(j: int, source: str) -> tuple[Column, ...]:
+    return F.lit(source).alias("source"), F.col(f"c{j}.card_id").alias("card_id"), F.col(f"c{j}.value").alias("value")
+
+
+def by_order(cards: DataFrame, fields: Sequence[str] = FIELDS, trust: Sequence[str] = TRUST) -> DataFrame:
+    """``id, field, value, card_id, source`` as ``fuse``, where the order of trust decides alone: the most trusted source that says something.
+
+    It is the fusion under a prior whose steps no sum of votes outweighs, so nothing has to be estimated.
+    """
     names = [*trust, OTHER]
-    model = SourceModel(
-        dict(zip(names, accuracy, strict=True)),
-        {(names[i], names[j]): discount[i][j] for i in range(n) for j in range(n) if i != j},
-        rounds,
-    )
-    return best.select("id", "field", "b.value", "b.card_id", "b.source", "b.posterior"), model
+    told = F.coalesce(*[F.when(F.col(f"c{j}").isNotNull(), F.struct(*_origin(j, s))) for j, s in enumerate(names)])
+    return claims(cards, fields, trust).select("id", "field", told.alias("b")).select("id", "field", "b.value", "b.card_id", "b.source")
 
 
 def best_cards(cards: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """One row per record of two or more cards: each field's best value and the card it came from."""
-    found, _ = fuse(cards, fields)
-    return found.groupBy("id").agg(
+    return by_order(cards, fields).groupBy("id").agg(
         *[F.max(F.when(F.col("field") == f, F.col(c))).alias(name) for f in fields for c, name in (("value", f), ("card_id", f"{f}_card"))]
     )

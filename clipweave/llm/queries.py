@@ -99,8 +99,8 @@ select distinct id as person_id, field, card_id from ranked where place = 1
 
 @query("p1_found", P1_SQL)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = fusion.fuse(table(spark, folder, "people_cards"))
-    return found.select(F.col("id").alias("person_id"), "field", "card_id")
+    """The stated order (source, then time, then card) leaves nothing to votes, so no source is estimated here; ``p1_voted`` does that."""
+    return fusion.by_order(table(spark, folder, "people_cards")).select(F.col("id").alias("person_id"), "field", "card_id")
 
 
 @query("p1_best_cards")
@@ -110,7 +110,7 @@ def p1_best_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p1_voted")
 def p1_voted(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = fusion.fuse(table(spark, folder, "people_cards"), ordered_prior=False)
+    found, _ = fusion.fuse(table(spark, folder, "people_cards"))
     return found
 
 

@@ -28,7 +28,8 @@ def test_best_cards(spark):
         ("d", 10, "user", T1, None, None, None, "x", 1),
         ("d", 11, "user", T1, "", "", "", "x", 1),
     ]
-    found, model = fusion.fuse(spark.createDataFrame(rows, CARDS))
+    found = fusion.by_order(spark.createDataFrame(rows, CARDS))
+    _, model = fusion.fuse(spark.createDataFrame(rows, CARDS))
     assert {(r["id"], r["field"], r["card_id"]) for r in found.collect()} == {("a", "clothes", 3), ("a", "description", 2), ("c", "clothes", 8)}
     assert set(model.accuracy) == {"user", "gemini", "local", "other"}
     wide = {r["id"]: r for r in fusion.best_cards(spark.createDataFrame(rows, CARDS)).collect()}
@@ -37,7 +38,27 @@ def test_best_cards(spark):
 
 def test_no_cards(spark):
     found, _ = fusion.fuse(spark.createDataFrame([], CARDS))
-    assert found.count() == 0
+    assert found.count() == 0 and fusion.by_order(spark.createDataFrame([], CARDS)).count() == 0
+
+
+def test_votes_recover_planted_values_better_than_a_majority(spark):
+    """Two sources are right eight times in ten on their own; one is right half of the time, and two copy it, errors included."""
+    random.seed(5)
+    said = lambda right, p: right if random.random() < p else f"{right} x{random.randint(1, 20)}"
+    rows, truth, majority = [], {}, 0
+    for i in range(3000):
+        truth[f"r{i}"] = right = f"value {i % 40}"
+        weak = said(right, 0.5)
+        told = {"c": weak, "a": said(right, 0.8), "d": weak if random.random() < 0.9 else said(right, 0.5), "b": said(right, 0.8), None: weak if random.random() < 0.9 else said(right, 0.5)}
+        rows += [(f"r{i}", 10 * i + k, s, T1, v, None, None, "", 0) for k, (s, v) in enumerate(told.items())]
+        majority += max(told.values(), key=list(told.values()).count) == right
+    found, model = fusion.fuse(spark.createDataFrame(rows, CARDS), trust=("c", "a", "d", "b"))
+    voted = sum(r["value"] == truth[r["id"]] for r in found.where("field = 'clothes'").collect())
+    assert voted > 0.8 * 3000 > majority + 300
+    assert min(model.accuracy[x] for x in "ab") > 0.75 > 0.65 > max(model.accuracy[x] for x in ("c", "d", "other"))
+    copies, own = ("c", "d", "other"), ("a", "b")
+    assert max(model.dependence[x, y] for x in copies for y in copies if x != y) > 0.7
+    assert max(v for (x, y), v in model.dependence.items() if x in own or y in own) < 0.1
 
 
 def test_votes_beat_trust_without_the_ordered_prior(spark):
@@ -50,11 +71,11 @@ def test_votes_beat_trust_without_the_ordered_prior(spark):
         gemini = truth if random.random() < 0.9 else f"wrong {i} {random.randrange(9)}"
         local = truth if random.random() < 0.9 else f"wrong {i} {random.randrange(9)}"
         rows += [(str(i), 3 * i, "user", T1, user, None, None, None, 0), (str(i), 3 * i + 1, "gemini", T1, gemini, None, None, None, 0), (str(i), 3 * i + 2, "local", T1, local, None, None, None, 0)]
-    found, model = fusion.fuse(spark.createDataFrame(rows, CARDS), ordered_prior=False)
+    found, model = fusion.fuse(spark.createDataFrame(rows, CARDS), rounds=4)
     right = sum(r["value"] == f"value {r['id']}" for r in found.collect())
     assert right > 370 and model.accuracy["gemini"] > model.accuracy["user"]
     copied = [(r[0], r[1], r[2], r[3], rows[i - 1][4] if r[2] == "gemini" else r[4], *r[5:]) for i, r in enumerate(rows)]
-    _, model = fusion.fuse(spark.createDataFrame(copied, CARDS), ordered_prior=False)
+    _, model = fusion.fuse(spark.createDataFrame(copied, CARDS), rounds=4)
     assert max(model.dependence[("user", "gemini")], model.dependence[("gemini", "user")]) > 0.7
 
 
