@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import moment
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut, join_unique
 from .canonical import UNMATCHED, catalog_names, map_values
 
 #: Milliseconds of a chunk, as a power of two; about 70 minutes.
@@ -57,9 +57,10 @@ def _runs(pdf: pd.DataFrame, near: int) -> pd.DataFrame:
 
 def _chunks(near: int, singles: bool):
     def emit(pdf: pd.DataFrame, before: tuple | None, after: tuple | None) -> pd.DataFrame:
-        keys = list(zip(pdf["video_id"], pdf["chunk"], strict=True))
-        ring = [before, *keys, after]
-        edge = np.array([ring[i] != k or ring[i + 2] != k for i, k in enumerate(keys)])
+        video, chunk = pdf["video_id"].to_numpy(), pdf["chunk"].to_numpy()
+        new = (video[1:] != video[:-1]) | (chunk[1:] != chunk[:-1])
+        ends = [(video[i], chunk[i]) for i in (0, -1)]
+        edge = np.append(before != ends[0], new) | np.append(new, after != ends[1])
         pdf = pdf.assign(edge=edge)
         return pdf if singles else pdf[pdf["edge"] | (pdf["n"] > 1)]
 
@@ -161,9 +162,9 @@ def repeated_events(clip_events: DataFrame, event_catalog: DataFrame, singles: b
         F.col("continues_from").alias("says"),
     ).join(entries, "type", "left")
     loose = timed.where("exact is null and type is not null")
-    mapped = map_values(loose.select(F.lit("event_type").alias("kind"), F.col("type").alias("value")), reference).select(
+    mapped = cut(map_values(loose.select(F.lit("event_type").alias("kind"), F.col("type").alias("value")), reference).select(
         F.col("value").alias("type"), F.when(F.col("canonical") != UNMATCHED, F.col("canonical")).alias("meant")
-    )
+    ))
     clear = timed.where("exact is not null or type is null").withColumn("meant", F.col("exact"))
-    read = clear.unionByName(loose.join(mapped, "type", "left"))
+    read = clear.unionByName(join_unique(loose, mapped, ["type"], "left"))
     return collapse_runs(read.withColumn("what", F.when(F.col("meant").isNotNull(), F.xxhash64("meant"))), singles=singles)
