@@ -4,7 +4,8 @@ A partition join by the pigeonhole principle: a name within ``k`` edits of a val
 of its ``k + 1`` segments with it, at a position shifted by at most ``k``. Names are cut into segments,
 the distinct values into substrings of the segments' lengths; an equality join on the text finds the
 candidates, the built-in ``levenshtein`` with its threshold verifies them. Only distinct values enter
-the join. The reference list is broadcast if its checked size allows it.
+the join. The reference list is broadcast if its checked size allows it. What no name is near to comes from
+an anti-join and is reported as unmatched.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_hint, broadcast_if_small
+from ..session import broadcast_hint, broadcast_if_small, cut, join_unique
 
 #: Words that people put around a value of each kind without changing what it means.
 FILLERS: Mapping[str, Sequence[str]] = {
@@ -131,7 +132,8 @@ def map_values(values: DataFrame, reference: DataFrame, fillers: Mapping[str, Se
         .drop("i")
     )
     sizes = names.groupBy("kind").agg(F.max(F.col("len") + F.col("k")).alias("most"), F.sort_array(F.collect_set("n")).alias("sizes"))
-    asked = (
+    # Distinct values only; candidates and the unmatched are both taken from here.
+    asked = cut(
         values.where("kind is not null and value is not null")
         .select("kind", "value")
         .distinct()
@@ -139,36 +141,41 @@ def map_values(values: DataFrame, reference: DataFrame, fillers: Mapping[str, Se
         .select("kind", "value", _joined(F.col("tokens")).alias("letters"), _joined(F.array_sort("tokens")).alias("sorted"))
         .join(equal("letters"), ["kind", "letters"], "left")
         .join(equal("sorted"), ["kind", "sorted"], "left")
-        .withColumn("same", F.least("as_letters", "as_sorted")["entry"])
+        .select("kind", "value", "letters", F.least("as_letters", "as_sorted")["entry"].alias("same"))
     )
+    # Sizes have a row for each kind, of which there are as many as lists.
     pieces = (
-        asked.join(small(sizes), "kind", "left")
+        asked.where("same is null and letters <> ''")
+        .join(broadcast_if_small(sizes), "kind")
+        .where(F.length("letters") <= F.col("most"))
         .select(
             "kind",
             "value",
             "letters",
-            "same",
-            F.explode_outer(
+            F.explode(
                 F.expr(
-                    """case when same is null and letters <> '' and length(letters) <= most then
-                       flatten(transform(filter(sizes, m -> m <= length(letters)), m ->
-                         transform(sequence(0, length(letters) - m), s -> struct(s as start, substring(letters, s + 1, m) as piece)))) end"""
+                    """flatten(transform(filter(sizes, m -> m <= length(letters)), m ->
+                       transform(sequence(0, length(letters) - m), s -> struct(s as start, substring(letters, s + 1, m) as piece))))"""
                 )
             ).alias("p"),
         )
-        .select("kind", "value", "letters", "same", "p.*")
+        .select("kind", "value", "letters", "p.*")
     )
     p, n = pieces.alias("p"), small(names).alias("n")
     shares = F.expr(
         "p.kind = n.kind and p.piece = n.piece and abs(p.start - n.at) <= n.k and abs(length(p.letters) - n.len) <= n.k"
     )
-    return (
-        p.join(n, shares, "left")
-        .select("p.kind", "p.value", "p.same", "n.entry", F.expr("levenshtein(p.letters, n.name, n.k)").alias("edits"))
+    near = (
+        p.join(n, shares)
+        .select("p.kind", "p.value", "n.entry", F.expr("levenshtein(p.letters, n.name, n.k)").alias("edits"))
+        .where("edits >= 0")
         .groupBy("kind", "value")
-        .agg(F.max("same").alias("same"), F.min(F.when(F.col("edits") >= 0, F.struct("edits", "entry"))).alias("near"))
-        .select("kind", "value", F.coalesce("same", "near.entry", F.lit(UNMATCHED)).alias("canonical"))
+        .agg(F.min(F.struct("edits", "entry")).alias("near"))
+        .select("kind", "value", F.col("near.entry").alias("canonical"))
     )
+    matched = asked.where("same is not null").select("kind", "value", F.col("same").alias("canonical")).unionByName(near)
+    unmatched = asked.select("kind", "value").join(matched, ["kind", "value"], "left_anti").withColumn("canonical", F.lit(UNMATCHED))
+    return matched.unionByName(unmatched)
 
 
 def catalog_names(event_catalog: DataFrame) -> DataFrame:
@@ -190,13 +197,13 @@ def map_records(records: DataFrame, reference: DataFrame) -> DataFrame:
     whose rows disagree takes the entry of its smallest value.
     """
     entries = broadcast_if_small(reference.select("kind", F.col("entry").alias("value")).distinct())
-    typed = (
+    typed = cut(
         records.where("kind is not null and record_id is not null and value is not null")
         .join(entries, ["kind", "value"], "left_anti")
         .groupBy("kind", "record_id")
         .agg(F.min("value").alias("value"))
     )
-    return typed.join(map_values(typed, reference), ["kind", "value"]).select("kind", "record_id", "canonical")
+    return join_unique(typed, map_values(typed, reference), ["kind", "value"]).select("kind", "record_id", "canonical")
 
 
 def unmatched_report(mapped: DataFrame) -> DataFrame:
