@@ -139,6 +139,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+@query("p8_clean")
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with leaked passages cut out."""
+    documents = table(spark, folder, "documents")
+    return leaks.without_leaks(documents, leaks.find_leaks(documents, table(spark, folder, "eval_items"))).select("doc_id", "text")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     told = pii.sanitise(table(spark, folder, "clips"), "id", ["transcript", "summary"])

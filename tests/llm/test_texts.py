@@ -68,6 +68,27 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_with_letters_that_grow_in_lower_case(spark):
+    """A dotted capital I has two characters in lower case; the passage is cut out where it stands."""
+    text = f"İİ {ITEM.upper()} İ end"
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = leaks.find_leaks(d, spark.createDataFrame([(10, ITEM)], "item_id bigint, text string"))
+    row = found.first()
+    assert text[row["first_char"] : row["last_char"]] == ITEM.upper()
+    assert leaks.without_leaks(d, found).first()["text"] == "İİ  İ end"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=4))
+def test_leaks_equal_a_search_by_hand(doc, items):
+    grams = leaks.Grams([(i, " ".join(map(str, t))) for i, t in enumerate(items)], 3)
+    import numpy as np
+
+    got = grams.hits(np.array([grams.number.get(str(w), -1) for w in doc], np.int32))
+    want = {i for i, t in enumerate(items) if any(doc[a : a + 3] == t[b : b + 3] for a in range(len(doc) - 2) for b in range(len(t) - 2))}
+    assert set(got) == want
+
+
 SHAPED = {
     "write me at jo.x+y@mail.example.": ("email", "jo.x+y@mail.example"),
     "you can write me at jo underscore 9 at mail dot example please": ("email", "jo underscore 9 at mail dot example"),
