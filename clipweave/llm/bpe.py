@@ -5,8 +5,9 @@ that is, are themselves the encoding of their joined bytes. So the last token of
 longest token that ends there and is compatible with the last token of the prefix before it, and a
 left-to-right pass needs no more of the past than the longest token is long. That length is the
 sufficient lookahead of the merge list: a token is emitted once all prefixes within it agree on it,
-and what lies before is forgotten. Texts are first cut into pieces by the vocabulary's split pattern;
-encoded pieces are kept in a table of bounded size.
+and what lies before is forgotten. Texts are read in parts of bounded size; each part is cut into pieces by
+the vocabulary's split pattern, and the last pieces, which a later part may change, wait for it. Pieces
+that are tokens need no merging, encoded ones are kept in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the split pattern of the byte-level rank files, as their documentation states it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of a text that are read at once.
+PART = 1 << 16
 #: Pieces and pairs that a worker remembers; the table is emptied when full.
 REMEMBERED = 200_000
 
@@ -159,14 +162,25 @@ class Encoder:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        """All ids of a text, without special tokens; none for an empty or null text."""
-        return self._ids(self.split.findall(text)) if text else []
+        """All ids of a text, without special tokens; none for an empty or null text. Read part by part."""
+        if not text:
+            return []
+        out: list[int] = []
+        for i in range(0, len(text), PART):
+            out += self.feed(text[i : i + PART])
+        return out + self.finish()
 
     def feed(self, text: str) -> list[int]:
-        """Ids that no later part can change: all but the last piece, which may go on."""
-        parts = self.split.findall(self.rest + text)
-        self.rest = parts.pop() if parts else ""
-        return self._ids(parts)
+        """Ids that no later part can change: all but those of the last two pieces.
+
+        The last one may go on, and an apostrophe before it may become the beginning of a contraction. A piece
+        longer than a part waits whole, as only its end shows where it is cut; its bytes pass the transducer.
+        """
+        said = self.rest + text
+        parts = self.split.findall(said)
+        waiting = parts[-2:]
+        self.rest = said[len(said) - sum(map(len, waiting)) :]
+        return self._ids(parts[:-2])
 
     def finish(self) -> list[int]:
         parts, self.rest = self.split.findall(self.rest), ""

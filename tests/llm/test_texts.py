@@ -27,6 +27,13 @@ def test_encoding_is_the_tokenizers(text, step):
     assert "".join(out.feed([i]) for i in whole) + out.finish() == text
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 7])
+def test_parts_never_show(monkeypatch, part):
+    monkeypatch.setattr(bpe, "PART", part)
+    for text in ("we'll they've 'll '' re'  \n\n x", "a  b   c\n \n", "'" * 4 + "s'll", "x" * 50 + "'ve", "日本 '日 'd 1234567 \u3000 \u00a0'm", " ", "\n"):
+        assert bpe.Encoder(VOCABULARY).encode(text) == EXACT.encode_ordinary(text)
+
+
 def test_memory_stays_bounded():
     run, n = bpe.PieceEncoder(VOCABULARY), 0
     for _ in range(40):
