@@ -11,6 +11,7 @@ stand at the end of texts (page numbers, signatures, tags) are endings of their
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, join_unique
 from ..session import cut as cut_lineage
 
 #: Lengths on either side with which a length is compared, and how far above them a spike stands.
@@ -50,12 +51,15 @@ class Reader:
         self.marker = regex.compile(MARKER, regex.IGNORECASE)
         self.ended = regex.compile(_ENDED)
         self.token = regex.compile(_TOKEN)
+        #: The same tokens of a line in ASCII, which need no tables of letters.
+        self.token_ascii = re.compile(r"[0-9]+(?:[.:/,-][0-9]+)*|[a-z]+(?:['-][a-z]+)*|[.?!]")
         self.trail = regex.compile(_TRAIL)
         self.object = regex.compile(r'[^{\n]{0,16}\{\s*(?:"|\Z)')
         self.digits = regex.compile("[0-9]+")
 
     def tokens(self, line: str) -> list[str]:
-        return self.token.findall(self.digits.sub("0", line.lower()))
+        low = self.digits.sub("0", line.lower())
+        return (self.token_ascii if low.isascii() else self.token).findall(low)
 
     def core(self, text: str) -> tuple[str, bool]:
         """A text without blanks and a marker at its end, and whether there was a marker."""
@@ -94,6 +98,19 @@ class Reader:
 _STOP = frozenset(".?!。！？")
 
 
+def _sentences(tokens: list[str]) -> list[list[str]]:
+    """The words between the stops; none is empty."""
+    if _STOP.isdisjoint(tokens):
+        return [tokens] if tokens else []
+    out: list[list[str]] = [[]]
+    for t in tokens:
+        if t not in _STOP:
+            out[-1].append(t)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
 def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]], contexts: Counter, ends_at: Counter) -> None:
     """Adds one text to the counts of ``(what, key)``, each ``[n, ends]``, and to those of contexts.
 
@@ -128,22 +145,19 @@ def _learn(reader: Reader, text: str, counts: dict[tuple[str, str], list[int]],
         if last and i:
             # What closing lines end with is counted apart, by their beginning.
             counts["c", f"{head} {tokens[-1] if tokens else ''}"][0] += 1
-        two, one = "", "^"
-        for j, t in enumerate(tokens):
-            if t in _STOP:
-                continue
-            final = j + 1 == len(tokens)
-            if final and last:
-                break
-            ends = final or tokens[j + 1] in _STOP
-            three = f"{two} {t}" if two else ""
-            two, one = (f"{one} {t}" if one else ""), t
-            said += (three, two, one) if three else (two, one)
-            total[0] += 1
-            if ends:
-                ended += (three, two, one) if three else (two, one)
+        for n, sentence in enumerate(found := _sentences(tokens)):
+            open_ = last and n == len(found) - 1 and tokens[-1] not in _STOP
+            # How a text's own last sentence ends is what is asked, so an open one is counted without its last word.
+            t = ["^", *(sentence[:-1] if open_ else sentence)]
+            two = [f"{a} {b}" for a, b in zip(t, t[1:], strict=False)]
+            three = [f"{a} {b}" for a, b in zip(two, t[2:], strict=False)]
+            said += t[1:]
+            said += two
+            said += three
+            total[0] += len(two)
+            if not open_:
+                ended += [x[-1] for x in (three, two, t) if x]
                 total[1] += 1
-                two, one = "", "^"
     contexts.update(said)
     ends_at.update(ended)
 
@@ -285,11 +299,11 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     placed = cut_lineage(placed)
     clear = placed.where("verdict in ('cut', 'whole')").select(key, source, (F.col("verdict") == "cut").alias("cut"), "at_spike")
     asked = placed.where("verdict not in ('cut', 'whole')")
-    told = (
-        asked.select(key, source, "verdict", "blank", "spike", "at_spike", F.explode_outer("asked").alias("a"))
-        .select(key, source, "verdict", "blank", "spike", "at_spike", "a.*")
-        .join(learnt, ["what", "key"], "left")
+    said = asked.select(key, source, "verdict", "blank", "spike", "at_spike", F.explode_outer("asked").alias("a")).select(
+        key, source, "verdict", "blank", "spike", "at_spike", "a.*"
     )
+    # Many texts end alike; what the corpus knows of such an ending is joined in place.
+    told = join_unique(said, learnt, ["what", "key"], "left")
     total = learnt.where("what = 't'").first()
     blank = learnt.where("what = 'b'").first()
     blanks = (blank["ends"] + 0.5) / (blank["n"] + 1.0) if blank else 0.01
