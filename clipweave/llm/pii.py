@@ -86,6 +86,7 @@ _ADDRESS = rf"""(?<![\w#.:/-])(?:\d{{1,5}}[a-z]?|{_D}(?:\s{_D}){{0,4}})\s(?P<str
 _WORD = r"[\p{L}][\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*"
 
 
+_WORD_ASCII = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 _DIGIT_WORDS, _STREETS = frozenset(DIGITS), frozenset(STREETS)
 
 
@@ -139,6 +140,20 @@ class Patterns:
         self.word = regex.compile(_WORD)
         #: First words of sentences: after the text's start or a sign that no sentence goes on over.
         self.start = regex.compile(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}} ,'’-]\s*){_WORD}")
+        #: The same for texts in ASCII, which need no tables of letters.
+        self.word_ascii = re.compile(_WORD_ASCII)
+        self.start_ascii = re.compile(rf"(?:\A|[^A-Za-z0-9 ,'-]\s*){_WORD_ASCII}")
+
+    def word_of(self, text: str):
+        return self.word_ascii if text.isascii() else self.word
+
+    def words(self, text: str) -> list[str]:
+        return self.word_of(text).findall(text)
+
+    def inner_words(self, text: str) -> list[str]:
+        """The words of a text that begin no sentence."""
+        bare = (self.start_ascii if text.isascii() else self.start).sub("\0", text)
+        return self.words(bare)
 
     def _said(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Phones and identity numbers written out in words, one run of digits at a time."""
@@ -153,8 +168,9 @@ class Patterns:
         ``words``, those of the text in lower case, tell which kinds cannot be in it. A kind is left out only
         where its pattern cannot match: digits and streets also stand inside joined words ("six-one", "Street's").
         """
-        words = self.word.findall(text.lower()) if words is None else words
-        parts = [x for w in words if not w.isalpha() for x in self.letters.findall(w)]
+        words = self.words(text.lower()) if words is None else words
+        joined = not text.isascii() or "-" in text or "'" in text
+        parts = [x for w in words if not w.isalpha() for x in self.letters.findall(w)] if joined else ()
         spans: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, kind: str) -> None:
@@ -235,6 +251,8 @@ _CUES: dict[str, tuple] = defaultdict(tuple)
 for _c in BEFORE_NAMES:
     _CUES[_c[-1]] += (_c,)
 _CUES = dict(_CUES)
+#: Words right before a slot.
+_BEFORE = _TITLES | frozenset(_CUES)
 
 
 def _masked(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
@@ -265,19 +283,19 @@ class _Counts:
 
 def _count(texts: Sequence[str], p: Patterns, counts: _Counts) -> None:
     for text in texts:
-        words = p.word.findall(text.lower())
+        low_text = text.lower()
+        words = p.words(low_text)
         if spans := p.shaped(text, words):
             text = _masked(text, spans)
-            words = p.word.findall(text.lower())
-        low_text = text.lower()
+            low_text = text.lower()
+            words = p.words(low_text)
         counts.n.update(words)
         cased = text != low_text
         if cased:
-            counts.inside.update(p.word.findall(p.start.sub("\0", text)))
-        told = set(words)
-        if told.isdisjoint(_TITLES) and not any(told.issuperset(c) for c in BEFORE_NAMES):
+            counts.inside.update(p.inner_words(text))
+        if _BEFORE.isdisjoint(words):
             continue
-        t = Tokens(text, p.word, ())
+        t = Tokens(text, p.word_of(text), ())
         for i in _slots(t):
             names = _run(t, i) if cased else [i]
             names = [j for j in names if len(t.low[j]) > 1 and t.low[j] not in _PARTICLES]
@@ -409,10 +427,10 @@ def personal_data(text: str | None, p: Patterns, lexicon: dict[str, str]) -> lis
     """All spans of one text in order: ``start, end, kind``."""
     if not text:
         return []
-    words = p.word.findall(text.lower())
+    words = p.words(text.lower())
     spans = p.shaped(text, words)
     if not lexicon.keys().isdisjoint(words):
-        spans += [(s, e, "name") for s, e in _names(text, Tokens(text, p.word, spans), lexicon)]
+        spans += [(s, e, "name") for s, e in _names(text, Tokens(text, p.word_of(text), spans), lexicon)]
     return sorted(spans)
 
 
