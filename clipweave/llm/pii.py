@@ -1,13 +1,16 @@
 """Personal data in free text: found and replaced by typed placeholders.
 
-Emails, phone numbers, identity numbers and addresses have forms of their own and are read by
-patterns, also where they are written out in words. Names have none; which terms reveal a person is
-estimated from the corpus. A first pass over all texts counts for every term how often it occurs, how
-often it stands in a slot that holds a person (after a title, "name is", ...) and how often it is
-capitalised inside a sentence. The disclosure of a term is the information that it gives about the
-slot, log2 P(slot | term) / P(slot); terms above the threshold that are written as proper names are
-protected, and the second pass generalises every mention of them to ``[NAME]``, in texts without case
-and punctuation too, joining first names, initials, particles and surnames to one piece.
+What a term tells about a protected entity is estimated from the corpus. A first pass over all texts counts
+the terms and what they stand with. For words that is a slot that holds a person (after a title, "name is",
+...), for numbers a cue of a kind ("call", "licence", ...) in the three words before; a number's term is its
+form, each digit as 9. The disclosure of a term is the information that it gives about such a place,
+log2 P(place | term) / P(place). Words above the threshold that are written as proper names, and forms of seven
+digits or more above it that mostly stand with one kind, are protected. The second pass generalises every
+mention of them to a placeholder, names in texts without case and punctuation too, joining first names,
+initials, particles and surnames to one piece.
+
+Emails, addresses and the usual forms of phone and identity numbers, also written out in words, disclose by
+themselves whatever stands beside them; they are read by patterns before, and need no estimate.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from ..session import cut
 DISCLOSURE_BITS = 3.0
 #: Share of a protected term's mentions inside sentences of cased texts that are capitalised.
 CAPITALISED = 0.8
-#: Slots that a protected term fills at least.
-SLOTS = 2
+#: Slots that a protected term fills at least, and the share of a number form's mentions that stand with its kind.
+SLOTS, WITH_CUE = 2, 0.5
 #: Protected terms up to which the list is broadcast; beyond, each text gets its own terms by a join.
 LEXICON_ROWS = 300_000
 
@@ -51,6 +54,10 @@ BEFORE_NAMES = (
     ("name", "is"), ("the", "name"), ("named",), ("ask", "for"), ("belongs", "to"), ("taken", "from"), ("spoke", "with"), ("are", "you"),
     ("registered", "owner"), ("thanks",), ("her", "brother"), ("his", "sister"), ("her", "sister"), ("his", "brother"), ("yelled",), ("called",),
 )
+CUES = {
+    "phone": ("call", "called", "calling", "phone", "telephone", "cell", "mobile", "dial", "dialed", "text", "reach", "tel", "fax", "whatsapp"),
+    "id_number": ("license", "licence", "passport", "ssn", "social", "security", "identity", "identification", "dob", "taxpayer", "insurance"),
+}
 DETERMINERS = ("the", "a", "an", "this", "that", "another", "each", "every", "any", "some", "which", "second", "no", "older", "younger")
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "ó", "o", "o'", "mac", "mc", "st")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -86,6 +93,10 @@ _ADDRESS = rf"""(?<![\w#.:/-])(?:\d{{1,5}}[a-z]?|{_D}(?:\s{_D}){{0,4}})\s(?P<str
 _WORD = r"[\p{L}][\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*"
 
 
+#: A number of other forms: at most 24 signs. How many digits it has is counted.
+_NUMBER = r"(?<![\w.+/@-])[+(]?[0-9](?:[0-9() ./-]{5,21})[0-9](?![\w@]|[-.][0-9])"
+LEAST_DIGITS = 7
+_CUE_WORDS = {w: kind for kind, words in CUES.items() for w in words}
 _WORD_ASCII = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 _DIGIT_WORDS, _STREETS = frozenset(DIGITS), frozenset(STREETS)
 
@@ -134,7 +145,9 @@ class Patterns:
         self.email = re.compile(_EMAIL, re.IGNORECASE)
         self.spoken = re.compile(_SPOKEN, re.IGNORECASE)
         self.phone, self.id, self.address = (re.compile(p, flags) for p in (_PHONE, _ID, _ADDRESS))
+        self.number = re.compile(_NUMBER)
         self.four = re.compile(r"\d{4}")
+        self.digits = re.compile(r"[0-9]")
         self.letters = re.compile(r"[^\W\d_]+")
         self.digit = re.compile(_D, re.IGNORECASE)
         self.word = regex.compile(_WORD)
@@ -196,6 +209,18 @@ class Patterns:
                     add(*m.span(), "address")
         return spans
 
+    def forms(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """``start, end, form`` of the numbers of seven digits or more."""
+        for m in self.number.finditer(text):
+            form = self.digits.sub("9", m[0])
+            if form.count("9") >= LEAST_DIGITS:
+                yield m.start(), m.end(), form
+
+    def cue_before(self, text: str, at: int) -> str | None:
+        """The kind that the nearest cue among the three words before a place tells."""
+        said = self.words(text[max(0, at - 60) : at].lower())[-3:]
+        return next((_CUE_WORDS[w] for w in reversed(said) if w in _CUE_WORDS), None)
+
     def _proper(self, m) -> bool:
         """Whether the street's words are capitalised, as they are in a text with case."""
         street = m["street"].split()
@@ -263,7 +288,10 @@ def _masked(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
 
 
 class _Counts:
-    """Counts of a task: mentions, words inside sentences of cased texts as written, and ``[slot, first, last]``."""
+    """Counts of a task: mentions, words inside sentences of cased texts as written, and ``[slot, first, last]``.
+
+    Of a number's form ``first`` are its mentions with a cue of a phone, ``last`` those with one of an identity number.
+    """
 
     def __init__(self):
         self.n, self.inside, self.slots = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
@@ -290,6 +318,10 @@ def _count(texts: Sequence[str], p: Patterns, counts: _Counts) -> None:
             low_text = text.lower()
             words = p.words(low_text)
         counts.n.update(words)
+        for start, _, form in p.forms(text):
+            counts.n[form] += 1
+            if kind := p.cue_before(text, start):
+                counts.slots[form][1 if kind == "phone" else 2] += 1
         cased = text != low_text
         if cased:
             counts.inside.update(p.inner_words(text))
@@ -345,28 +377,41 @@ def _counting(columns: list[str]):
 
 
 def disclosure(texts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every term of the corpus with its counts and ``bits``, the information it gives about a person's slot.
+    """Every term of the corpus with its counts and ``bits``, the information that it gives about a person's slot.
 
-    ``most_bits`` is what a term would give that stands in such slots only.
+    ``most_bits`` is what a term would give that stands in such slots only. For the forms of numbers ``bits`` is
+    what they give about the cues of phones, ``id_bits`` about those of identity numbers.
     """
     counts = texts.select(*columns).mapInPandas(_counting(list(columns)), _COUNTS)
     terms = cut(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "inside", "capitalised", "slot", "first", "last")]))
-    total = terms.agg(F.sum("n").alias("all_n"), F.sum("slot").alias("all_slot"))
-    all_n, all_slot = total.first()
-    most = math.log2((all_n or 1) / (all_slot or 1))
-    return terms.withColumn("bits", F.log2(F.col("slot") / F.col("n")) + most).withColumn("most_bits", F.lit(most))
+    form = F.contains("term", F.lit("9"))
+    # A cue reaches the three words after it.
+    reached = [(3 * F.sum(F.when(F.col("term").isin(*words), F.col("n")).otherwise(0))).alias(kind) for kind, words in CUES.items()]
+    seen = terms.agg(F.sum(F.when(~form, F.col("n"))).alias("n"), F.sum("slot").alias("slot"), *reached).first()
+    of = lambda told: math.log2(max(2, seen["n"] or 1) / max(1, told or 1))
+    most = math.log2((seen["n"] or 1) / (seen["slot"] or 1))
+    told = lambda c, bits: F.log2(F.col(c) / F.col("n")) + bits
+    return terms.withColumns(
+        {"form": form, "bits": F.when(form, told("first", of(seen["phone"]))).otherwise(told("slot", most)), "id_bits": F.when(form, told("last", of(seen["id_number"]))), "most_bits": F.lit(most)}
+    )
 
 
 def protected_terms(
     terms: DataFrame, bits: float = DISCLOSURE_BITS, capitalised: float = CAPITALISED, slots: int = SLOTS
 ) -> DataFrame:
-    """``term, role`` of the terms above the threshold, or above half of what certainty would give if that is less; role is ``F`` (first name), ``L`` (surname) or ``B`` (either)."""
+    """``term, role`` of the terms above the threshold, for words above half of what certainty would give if that is less.
+
+    The role of a word is ``F`` (first name), ``L`` (surname) or ``B`` (either), of a number's form its kind.
+    """
     particles, fixed = F.col("term").isin(*PARTICLES), F.col("term").isin(*TITLES)
     role = F.when(F.col("first") > 2 * F.col("last"), "F").when(F.col("last") > 2 * F.col("first"), "L").otherwise("B")
-    return terms.where(
-        (F.col("bits") >= F.least(F.lit(bits), F.col("most_bits") / 2)) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
+    names = terms.where(
+        ~F.col("form") & (F.col("bits") >= F.least(F.lit(bits), F.col("most_bits") / 2)) & (F.col("slot") >= slots) & (F.col("capitalised") >= capitalised * F.col("inside")) & (F.col("inside") > 0)
         & ~particles & ~fixed & (F.length("term") > 1)
     ).select("term", role.alias("role"))
+    most = F.greatest("first", "last")
+    numbers = terms.where(F.col("form") & (F.greatest("bits", "id_bits") >= bits) & (most >= slots) & (most >= WITH_CUE * F.col("n")))
+    return names.unionByName(numbers.select("term", F.when(F.col("first") >= F.col("last"), "phone").otherwise("id_number").alias("role")))
 
 
 #: A person's name over the roles of its words: comma and blank keep their place, P is a particle, I an initial.
@@ -429,6 +474,9 @@ def personal_data(text: str | None, p: Patterns, lexicon: dict[str, str]) -> lis
         return []
     words = p.words(text.lower())
     spans = p.shaped(text, words)
+    if lexicon and p.digits.search(text):
+        free = lambda a, b: all(b <= s or a >= e for s, e, _ in spans)
+        spans += [(a, b, lexicon[form]) for a, b, form in p.forms(text) if form in lexicon and free(a, b)]
     if not lexicon.keys().isdisjoint(words):
         spans += [(s, e, "name") for s, e in _names(text, Tokens(text, p.word_of(text), spans), lexicon)]
     return sorted(spans)
@@ -477,9 +525,9 @@ def sanitise(records: DataFrame, key: str, columns: Sequence[str], bits: float =
         shared = spark.sparkContext.broadcast({r["term"]: r["role"] for r in terms.collect()})
         return records.select(key, *columns).mapInPandas(_tagging(columns, [key], shared, False), schema)
     numbered = records.select(key, *columns).withColumn("_row", F.xxhash64(key, *columns))
-    said = numbered.select(
-        "_row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit(_WORD), F.lit(0)))).alias("term")
-    ).distinct()
+    text = F.concat_ws("\n", *columns)
+    forms = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, "[0-9]", "9"))
+    said = numbered.select("_row", F.explode(F.array_union(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), forms)).alias("term")).distinct()
     own = said.join(terms, "term").groupBy("_row").agg(F.collect_list(F.struct("term", "role")).alias("_terms"))
     return numbered.join(own, "_row", "left").drop("_row").mapInPandas(_tagging(columns, [key], None, True), schema)
 
