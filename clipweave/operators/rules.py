@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import ordered_distinct
 from ..functions.clock import format_clock, padded_clock
 from ..functions.text import phrase_count
-from ..session import broadcast_if_small
+from ..session import BROADCAST_ROWS
 
 #: Event types whose clips are looked at closely; labels of land, of water and those that are rare on a road.
 KEY_EVENTS = (
@@ -22,14 +22,21 @@ LOOKED_AT = ("knife", "cell phone", "backpack", "suitcase")
 SIGNALS = ("loudness", "loud_impact", "loud_speech", "yelling", "repeated_commands")
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    """A list that people keep (phrases, rules), checked to be one."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a catalog of more than {BROADCAST_ROWS} rows")
+    return df
+
+
 def keyword_hits(clips: DataFrame, phrases: DataFrame, key: str = "id") -> DataFrame:
     """``key, definition, rank, phrase, count, start_ms`` of every phrase in a transcript, case aside.
 
-    The phrase list is the small side of a nested loop join, broadcast if its checked size allows. The
-    start is that of the first segment with the phrase, else of the clip.
+    The phrase list is the small side of a nested loop join and is broadcast; a catalog of more phrases than
+    ``BROADCAST_ROWS`` raises an error, as it would be a product of two large sides. The start is that of the first segment with the phrase, else of the clip.
     """
     have = clips.where(F.col("transcript").isNotNull() & (F.col("transcript") != ""))
-    hit = have.join(broadcast_if_small(phrases), F.contains(F.lower("transcript"), F.lower("phrase")))
+    hit = have.join(F.broadcast(_listed(phrases)), F.contains(F.lower("transcript"), F.lower("phrase")))
     at = F.col("start_ms")
     if "transcript_segments" in clips.columns:
         said = F.filter("transcript_segments", lambda s: F.contains(F.lower(s["text"]), F.lower("phrase")))
@@ -46,7 +53,7 @@ def candidates(signals: DataFrame, rules: DataFrame, hits: DataFrame, key: str =
     on = lambda name: F.coalesce(F.try_element_at("holds", name), F.lit(False))
     by_signal = (
         signals.select(key, holds.alias("holds"))
-        .join(broadcast_if_small(rules.where("size(signals) > 0")), how="cross")
+        .join(F.broadcast(_listed(rules.where("size(signals) > 0"))), how="cross")
         .where(F.size(F.filter("signals", on)) >= F.col("need"))
         .where(~F.exists("exclude", on))
         .select(key, "definition", "rank", F.lit("signal").alias("by"))
