@@ -10,6 +10,30 @@ from pyspark.sql import DataFrame
 
 #: Least confidence by night, by day and of what is neither person nor vehicle; overlap that suppresses.
 NIGHT, DAY, OTHER, OVERLAP = 0.22, 0.28, 0.45, 0.45
+#: The classes of the detector that are kept, by number, and those that are vehicles.
+KEPT = {
+    0: "person",
+    1: "bicycle",
+    2: "car",
+    3: "motorcycle",
+    5: "bus",
+    7: "truck",
+    9: "traffic light",
+    11: "stop sign",
+    24: "backpack",
+    26: "handbag",
+    28: "suitcase",
+    39: "bottle",
+    43: "knife",
+    67: "cell phone",
+}
+VEHICLES = (1, 2, 3, 5, 7)
+
+
+def kept_classes(classes: int = 80) -> tuple[list[str], dict[str, str]]:
+    """Labels by class number, empty for what is not kept, and the kind of each label."""
+    kind = lambda n: "person" if n == 0 else "vehicle" if n in VEHICLES else "object"
+    return [KEPT.get(n, "") for n in range(classes)], {label: kind(n) for n, label in KEPT.items()}
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, overlap: float = OVERLAP) -> np.ndarray:

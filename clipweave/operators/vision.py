@@ -54,3 +54,35 @@ def merge_answers(clips: DataFrame, answers: DataFrame, key: str = "id") -> Data
         .withColumn("answered_events", F.col("a.events"))
         .drop("a")
     )
+
+
+_PERSON = "id:string,local_id:string,match:string,race:string,gender:string,hair:string,glasses:string,clothes:string,shoes:string,bag:string,distinctive:string,description:string,is_cop:string,role:string"
+COMMIT = (
+    f"people array<struct<{_PERSON}>>, vehicles array<struct<id:string,local_id:string,match:string,color:string,plate:string,analysis:string>>, "
+    "plates array<struct<text:string,vehicle_id:string,confidence:double>>, objects array<struct<id:string,local_id:string,match:string,label:string,distinctive:string>>"
+)
+
+
+def committed(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a model says about the identities of clips, as sightings of people and of things for their folds.
+
+    ``answers``: ``video_id, clip_index, answer`` (JSON, also with words around it). A sighting that matches an
+    existing card names it; any other person is new, any other vehicle only if it is said to be. Answers that
+    are no object say nothing. ``sighting_id`` is the name that the clip gave it, for rewriting its events.
+    """
+    told = answers.select("video_id", "clip_index", F.from_json(braces(F.col("answer")), COMMIT).alias("a"))
+
+    def rows(kind: str) -> DataFrame:
+        return told.select("video_id", "clip_index", F.posexplode(f"a.{kind}").alias("position", "x")).select("video_id", "clip_index", "position", "x.*")
+
+    existing = F.col("match") == "existing"
+    named = F.coalesce(F.nullif("local_id", F.lit("")), F.nullif("id", F.lit("")))
+    people = rows("people").withColumns({"sighting_id": named, "claimed_id": F.when(existing, F.col("id")), "is_new": ~F.coalesce(existing, F.lit(False))})
+    own = F.when(F.coalesce(existing, F.lit(False)) | F.startswith("id", F.lit("vehicle_")), F.col("id"))
+    vehicles = rows("vehicles").withColumns({"kind": F.lit("vehicle"), "sighting_id": named, "claimed_id": own, "is_new": F.coalesce(F.lower(F.trim("match")) == "new", F.lit(False))})
+    objects = rows("objects").withColumns({"kind": F.lit("object"), "sighting_id": named, "claimed_id": F.when(existing, F.col("id")), "is_new": F.lit(False)})
+    plates = rows("plates").select("video_id", "clip_index", "position", F.lit("plate").alias("kind"), F.col("text").alias("sighting_id"), F.col("text").alias("plate"), "vehicle_id", "confidence")
+    # Vehicles come before the plates that name them, and objects last.
+    ordered = [d.withColumn("position", F.col("position") + k * 1_000_000) for k, d in enumerate((vehicles, plates, objects))]
+    things = ordered[0].unionByName(ordered[1], allowMissingColumns=True).unionByName(ordered[2], allowMissingColumns=True)
+    return people, things

@@ -4,7 +4,8 @@ import pytest
 
 from clipweave import (
     queries,
-    questions_records,  # noqa: F401 - registers all queries of the core
+    questions_media,  # noqa: F401 - registers its queries
+    questions_records,  # noqa: F401 - registers the others
 )
 from clipweave.sources.tables import table
 from tests.oracle import differences
