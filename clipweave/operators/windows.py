@@ -55,26 +55,32 @@ def first_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 def event_chains(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``start_id, end_id, hops`` of all pairs that a path of edges ``src_id, dst_id`` connects, by the fewest steps.
 
-    ``starts`` (``start_id``) limits the pairs to those that begin there. Steps of length 1, 2, 4, ... stand in
-    a table of their own, which has a row per event in a linear chain; what the starts reach within ``2^k``
-    steps goes on by the steps of that length, so a chain of n events takes log2(n) rounds and no pair is
-    made that is not in the result. A round without a new pair is the last one, also in circles.
+    ``starts`` (``start_id``) limits the pairs to those that begin there. Events are numbered first, so the rounds
+    move numbers. In each round what is reached within ``2^k`` steps goes on by the steps of that length, so a chain of n
+    events takes log2(n) rounds. Without ``starts`` those steps are the pairs whose fewest steps are that many,
+    already known; else they are made from those of half the length, and only pairs that begin at a start are
+    kept beside them. A round without a new pair is the last one, also in circles.
     """
-    step = cut(edges.where("src_id <> dst_id and src_id is not null and dst_id is not null").select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct())
-    first = step.select(F.col("at").alias("start_id")).distinct()
+    named = edges.where("src_id <> dst_id and src_id is not null and dst_id is not null").select("src_id", "dst_id").distinct()
+    names = cut(named.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    number = lambda c, n: names.select(F.col("id").alias(c), F.col("n").alias(n))
+    step = cut(named.join(number("src_id", "at"), "src_id").join(number("dst_id", "to"), "dst_id").select("at", "to"))
+    reached = step.select(F.col("at").alias("a"), F.col("to").alias("b"), F.lit(1).alias("hops"))
     if starts is not None:
-        first = first.join(starts.select("start_id").distinct(), "start_id", "left_semi")
-    reached = cut(first.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops")))
+        wanted = starts.select(F.col("start_id").alias("id")).distinct().join(names, "id").select(F.col("n").alias("a"))
+        reached = cut(reached.join(wanted, "a", "left_semi"))
     n, length = reached.count(), 1
     while n:
-        further = reached.join(step, F.col("end_id") == F.col("at")).select("start_id", F.col("to").alias("end_id"), (F.col("hops") + length).alias("hops"))
-        more = cut(reached.unionByName(further).groupBy("start_id", "end_id").agg(F.min("hops").alias("hops")))
-        was, n, reached = n, more.count(), more
+        further = reached.join(step, F.col("b") == F.col("at")).where("a <> to").select("a", F.col("to").alias("b"), (F.col("hops") + length).alias("hops"))
+        more = cut(reached.unionByName(further).groupBy("a", "b").agg(F.min("hops").alias("hops")))
+        was, n, reached, length = n, more.count(), more, 2 * length
         if n == was:
             break
-        step = cut(step.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to").distinct())
-        length *= 2
-    return reached.where("hops > 0")
+        if starts is None:
+            step = reached.where(F.col("hops") == length).select(F.col("a").alias("at"), F.col("b").alias("to"))
+        else:
+            step = cut(step.alias("x").join(step.alias("y"), F.col("x.to") == F.col("y.at")).select("x.at", "y.to").distinct())
+    return reached.join(number("start_id", "a"), "a").join(number("end_id", "b"), "b").select("start_id", "end_id", "hops")
 
 
 def keyed_chain(rows: DataFrame, group: list[str], index: str) -> DataFrame:
