@@ -176,13 +176,27 @@ def one_of_copies(rows: DataFrame, key: str, varying: tuple[str, ...] = (), colu
     return kept.groupBy(key, *same).agg(*[F.max(c).alias(c) for c in most])
 
 
+#: Clips of a video that one window orders.
+STRETCH = 1024
+
+
 def clip_chain(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``starts_at`` (video to first clip) and ``next`` (clip to clip) edges in playback order."""
-    order = Window.partitionBy("video_id").orderBy("index", "start_ms", "id")
-    placed = clips.select("id", "video_id", F.lead("id").over(order).alias("following"), F.row_number().over(order).alias("place"))
-    first = placed.where("place = 1").select(F.col("video_id").alias("src_id"), F.col("id").alias("dst_id"))
-    following = placed.where("following is not null").select(F.col("id").alias("src_id"), F.col("following").alias("dst_id"))
-    return first, following
+    """``starts_at`` (video to first clip) and ``next`` (clip to clip) edges in playback order.
+
+    A video is ordered by stretches of its clip numbers, so a long one is spread over tasks; the last clip of a stretch
+    is followed by the first of the next. Clips without a number come first.
+    """
+    order = ("index", "start_ms", "id")
+    rows = clips.select("id", "video_id", *[c for c in order if c != "id"]).withColumn("stretch", F.floor(F.coalesce("index", F.lit(-1)) / STRETCH))
+    within = Window.partitionBy("video_id", "stretch").orderBy(*order)
+    placed = rows.select("id", "video_id", "stretch", F.lead("id").over(within).alias("following"))
+    heads = rows.groupBy("video_id", "stretch").agg(F.min_by("id", F.struct(*order)).alias("head"))
+    along = Window.partitionBy("video_id").orderBy("stretch")
+    heads = heads.select("video_id", "stretch", "head", F.lead("head").over(along).alias("after"), F.row_number().over(along).alias("place"))
+    inner = placed.where("following is not null").select(F.col("id").alias("src_id"), F.col("following").alias("dst_id"))
+    last = placed.where("following is null").join(heads.where("after is not null"), ["video_id", "stretch"]).select(F.col("id").alias("src_id"), F.col("after").alias("dst_id"))
+    first = heads.where("place = 1").select(F.col("video_id").alias("src_id"), F.col("head").alias("dst_id"))
+    return first, inner.unionAll(last)
 
 
 def _edge(df: DataFrame, src: Column, src_kind: str, dst: Column, dst_kind: str, *more: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipweave.operators import detect, identity, imaging, vision
-from clipweave.sources import paths
+from clipweave.sources import media, paths
 
 
 def one(spark, column):
@@ -76,3 +76,25 @@ def test_committed_identities_are_folded(spark):
 def test_no_pictures(spark, n):
     df = spark.createDataFrame([], "b array<int>")
     assert df.select(imaging.person_crop(F.col("b"), F.lit(n), F.lit(n))).count() == 0
+
+
+def test_prints_of_files_are_those_of_their_contents(spark, tmp_path):
+    mib = 1 << 20
+    for i, n in enumerate((0, 10, mib, 2 * mib, 2 * mib + 1, 3 * mib)):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * (n // 2) + bytes([i + 9]) * (n - n // 2))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    want = {r["path"]: r["p"] for r in files.select("path", media.fingerprint(F.col("content"), F.col("length")).alias("p")).collect()}
+    gone = spark.createDataFrame([("/no/such/file",)], "path string")
+    got = {r["path"]: r["fingerprint"] for r in media.file_prints(files.select("path").unionAll(gone)).collect()}
+    assert got == want | {"/no/such/file": None} and len(set(want.values())) == 6
+
+
+def test_a_long_video_is_chained_by_stretches(spark, monkeypatch):
+    from clipweave.plans import graph
+
+    monkeypatch.setattr(graph, "STRETCH", 3)
+    rows = [(f"c{i:02d}", "v", i if i != 5 else None, i * 10) for i in range(12)] + [("d1", "w", 7, 0), ("d0", "w", 7, 0)]
+    first, following = graph.clip_chain(spark.createDataFrame(rows, "id string, video_id string, index int, start_ms bigint"))
+    assert {tuple(r) for r in first.collect()} == {("v", "c05"), ("w", "d0")}
+    order = ["c05", *[f"c{i:02d}" for i in range(12) if i != 5]]
+    assert {tuple(r) for r in following.collect()} == {*zip(order, order[1:], strict=False), ("d0", "d1")}
