@@ -616,7 +616,16 @@ def hop_windows(spark: SparkSession, folder: str) -> DataFrame:
     return hop_counts(e, "ts", "event_type").select(F.unix_timestamp("window_start").alias("from_s"), "kind", "n")
 
 
-@query("audio_signals")
+@query(
+    "audio_signals",
+    """with s as (select vec_id, list_transform(embedding, lambda x: pow(cast(trunc(x * 8000::float) as double), 2)) as q from embeddings),
+    f as (select vec_id, i, sqrt(list_sum(list_transform(range(i * 800, i * 800 + 800), lambda k: q[k % 64 + 1])) / 800) / 32768 as r from s, range(0, 7) t(i)),
+    m as (select vec_id, list_sort(list(r))[4] as median, max(r) as peak, list_position(list(r order by i), max(r)) as place from f group by 1),
+    g as (select f.vec_id, i, i - row_number() over (partition by f.vec_id order by i) as island from f join m using (vec_id) where r >= greatest(median * 4, 0.08::double)),
+    l as (select vec_id, max(n) as run from (select vec_id, count(*) as n from g group by vec_id, island) group by 1)
+    select vec_id, round(least(sqrt(list_sum(q) / 64) / 32768 * 8, 1), 3) as loudness, round(greatest(0, least(1, (peak / greatest(median, 1e-4::double) - 4) / 8)), 3) as loud_impact,
+      round(least(coalesce(run, 0) * 0.05::double / 2, 1), 3) as loud_speech, cast(floor((place - 1) * 50) as int) as impact_at_ms from s join m using (vec_id) left join l using (vec_id)""",
+)
 def audio_signals(spark: SparkSession, folder: str) -> DataFrame:
     samples = F.flatten(F.array_repeat(F.transform("embedding", lambda x: (x * 8000).cast("smallint")), 100))
     return table(spark, folder, "embeddings").select("vec_id", arrays.audio_signals(samples).alias("a")).select("vec_id", "a.*")
