@@ -88,22 +88,24 @@ with long as (
   {" union all ".join(f"select id, card_id, source, updated_at, '{f}' as field, {f} as value from people_cards" for f in fusion.FIELDS)}),
 many as (select id from people_cards group by id having count(distinct card_id) > 1),
 ranked as (
-  select id, field, card_id, row_number() over (partition by id, field order by
+  select id, field, value, card_id, row_number() over (partition by id, field order by
     case source when 'user' then 0 when 'gemini' then 1 when 'local' then 2 else 3 end,
     updated_at desc nulls last, card_id desc) as place
   from long where id in (select id from many) and value is not null
     and {_SAYS.format("value", ", ".join(f"'{x}'" for x in fusion.STAND_INS))})
-select distinct id as person_id, field, card_id from ranked where place = 1
 """
+P1_FOUND = P1_SQL + "select distinct id as person_id, field, card_id from ranked where place = 1"
+P1_BEST = P1_SQL + f"""select id, {", ".join(f"max(case when field = '{f}' then value end) as {f}, max(case when field = '{f}' then card_id end) as {f}_card" for f in fusion.FIELDS)}
+from ranked where place = 1 group by id"""
 
 
-@query("p1_found", P1_SQL)
+@query("p1_found", P1_FOUND)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The stated order (source, then time, then card) leaves nothing to votes, so no source is estimated here; ``p1_voted`` does that."""
     return fusion.by_order(table(spark, folder, "people_cards")).select(F.col("id").alias("person_id"), "field", "card_id")
 
 
-@query("p1_best_cards")
+@query("p1_best_cards", P1_BEST)
 def p1_best_cards(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.best_cards(table(spark, folder, "people_cards"))
 
