@@ -143,9 +143,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p8_clean")
 def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents with leaked passages cut out."""
-    documents = table(spark, folder, "documents")
-    return leaks.without_leaks(documents, leaks.find_leaks(documents, table(spark, folder, "eval_items"))).select("doc_id", "text")
+    """The documents with all leaked passages cut out."""
+    return leaks.remove_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items"))
 
 
 @query("p5_found")

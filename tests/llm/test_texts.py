@@ -2,6 +2,7 @@
 
 import base64
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -85,6 +86,59 @@ def test_leaks_with_letters_that_grow_in_lower_case(spark):
     assert leaks.without_leaks(d, found).first()["text"] == "İİ  İ end"
 
 
+@pytest.mark.parametrize("block_chars", [leaks.BLOCK_CHARS, 100])
+def test_every_leaked_passage_is_cut_out(spark, block_chars):
+    """Passages that stand twice, those that a cut brings together, and null, repeated and large keys."""
+    w, other = ITEM.split(), " ".join(f"other{i}" for i in range(12))
+    nested = " ".join([*w[:6], ITEM, *w[6:12]])
+    texts = [
+        (1, f"a {ITEM} b {ITEM} c", "a  b  c"),
+        (2, f"{' '.join(w[:13])} and {' '.join(w[5:18])} z", " and  z"),
+        (3, f"a {nested} end", "a  end"),
+        (4, f"a {' '.join(w[:6])} {other} {nested} {' '.join(w[6:12])} end", "a  end"),
+        (5, f"İ {ITEM} İ {ITEM} İ", "İ  İ  İ"),
+        (6, f"{ITEM} {other} 😀 {other}", "  😀 "),
+        (7, " ".join(w[:11]), " ".join(w[:11])),
+        (8, None, None),
+        (8, "", ""),
+        (None, f"q {ITEM}", "q "),
+        (None, f"qqqq {ITEM}", "qqqq "),
+        (None, "q", "q"),
+        (2**53 + 1, f"{ITEM} r", " r"),
+        (2**53 + 1, f"rr {ITEM}", "rr "),
+        (2**53 + 1, f"rr {ITEM}", "rr "),
+    ]
+    d = spark.createDataFrame([(k, t, i) for i, (k, t, _) in enumerate(texts)], "doc_id bigint, text string, n int")
+    items = spark.createDataFrame([(10, ITEM), (11, other), (12, " ".join(w[2:16]))], "item_id bigint, text string")
+    clean = leaks.remove_leaks(d, items, block_chars=block_chars)
+    assert clean.columns == d.columns
+    assert {r["n"]: (r["doc_id"], r["text"]) for r in clean.collect()} == {i: (k, t) for i, (k, _, t) in enumerate(texts)}
+    assert leaks.find_leaks(clean, items).count() == 0 and clean.count() == len(texts)
+    found = leaks.find_leaks(d, items, block_chars=block_chars)
+    cut = {r["n"]: r["text"] for r in leaks.without_leaks(d, found).collect()}
+    assert all(cut[i] == t for i, (k, _, t) in enumerate(texts) if k not in (3, 4))
+    assert leaks.without_leaks(d, found, spans_only=False).count() == 4
+    assert {r["doc_id"] for r in found.where("item_id = 10").collect()} == {1, 2, 3, 4, 5, 6, None, 2**53 + 1}
+
+
+def test_a_letter_that_a_cut_changes_in_lower_case(spark):
+    """A capital sigma has another lower case at the end of a word; without its neighbour it makes a passage."""
+    d = spark.createDataFrame([(1, f"α β ΑΣ.{ITEM} end")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, ITEM), (11, "α β ας")], "item_id bigint, text string")
+    clean = leaks.remove_leaks(d, items, words=3)
+    assert clean.first()["text"] == ". end" and leaks.find_leaks(clean, items, words=3).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=30), max_size=4))
+def test_the_stretches_told_are_all_windows_of_an_item(doc, items):
+    grams = leaks.Grams([(i, " ".join(map(str, t))) for i, t in enumerate(items)], 3)
+    got = grams.hits(np.array([grams.number.get(str(w), -1) for w in doc], np.int32))
+    for i, t in enumerate(items):
+        windows = [a for a in range(len(doc) - 2) if any(doc[a : a + 3] == t[b : b + 3] for b in range(len(t) - 2))]
+        assert sorted(a for since, n in got.get(i, {}).items() for a in range(since, since + n - 2)) == windows
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=4))
 def test_leaks_equal_a_search_by_hand(doc, items):
